@@ -18,7 +18,7 @@ MAX_VOCABULARY = 1_000_000
 _CACHED_WORDS = 500_000
 
 
-def _tokens(vocab: DataFrame) -> list[str]:
+def vocabulary_of(vocab: DataFrame) -> list[str]:
     """Tokens by id, brought to the driver after a check of their number."""
     size = vocab.count()
     if size > MAX_VOCABULARY:
@@ -43,7 +43,7 @@ def encode(df: DataFrame, tokenizer: Tokenizer, text: str = "text", ids: str = "
     The JVM splits the text into words. Tasks look up each distinct word of an
     Arrow batch once, keep the most recent words, and gather ids by position.
     """
-    tokens = _tokens(tokenizer.vocab)
+    tokens = vocabulary_of(tokenizer.vocab)
     known = {token: token_id for token_id, token in enumerate(tokens)}
     shared = df.sparkSession.sparkContext.broadcast(
         (
@@ -88,7 +88,7 @@ def encode(df: DataFrame, tokenizer: Tokenizer, text: str = "text", ids: str = "
 
 def tokens_of(ids, vocab: DataFrame) -> Column:
     """The token strings of an id array; the vocabulary is a plan constant."""
-    listed = F.from_json(F.lit(json.dumps(_tokens(vocab))), "array<string>")
+    listed = F.from_json(F.lit(json.dumps(vocabulary_of(vocab))), "array<string>")
     return F.transform(_col(ids), lambda token_id: F.try_element_at(listed, token_id + 1))
 
 
