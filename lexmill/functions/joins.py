@@ -32,34 +32,79 @@ def symbol_ids(word: str) -> np.ndarray:
     return points - _FIRST_SYMBOL - np.where(points >= _SURROGATES, _SURROGATE_COUNT, 0).astype(np.int32)
 
 
-def neighbours(word: str) -> set:
-    return set(map("".join, zip(word, word[1:])))
+def ranked_joins(ranked: list) -> tuple:
+    """``(pair, joint)`` in order as plain values: ``(ranks, joints, late)``.
+
+    A rank is *late* if its joint symbol existed before it. Such a join may form
+    a pair of lower rank, which then goes first.
+    """
+    ranks, joints, late, made = {}, [], set(), set()
+    for rank, (pair, joint) in enumerate(ranked):
+        ranks[pair] = rank
+        joints.append(joint)
+        if joint in made:
+            late.add(rank)
+        made.add(joint)
+    return ranks, joints, late
+
+
+_SHORT_WORD = 64
 
 
-def join_symbols(word: str, joins: dict, ascending: bool = False) -> str:
-    """Join pairs of a word, lowest rank first, until no known pair is left.
+def join_symbols(word: str, joins: tuple, ascending: bool = False) -> str:
+    """Join pairs of a word, lowest rank and leftmost first, until none is left.
 
-    ``joins`` maps a pair to ``(rank, pair, joint, stepwise)``. A stepwise pair is
-    joined one occurrence at a time, because its joint symbol is older than its
-    rank and may form pairs that go first. With ``ascending`` no pair is joined
-    after a pair of higher rank.
+    With ``ascending`` no pair is joined after a pair of higher rank.
     """
-    queue = [joins[pair] for pair in neighbours(word) if pair in joins]
+    return (_join_short if len(word) <= _SHORT_WORD else _join_long)(word, joins, ascending)
+
+
+def _join_short(word: str, joins: tuple, ascending: bool) -> str:
+    """Keeps the rank of every adjacent pair in a list."""
+    rank_of, joints = joins[0].get, joins[1]
+    none = len(joints)
+    parts = list(word)
+    ranks = [rank_of(left + right, none) for left, right in zip(word, word[1:])]
+    while ranks:
+        best = min(ranks)
+        if best == none:
+            break
+        at = ranks.index(best)
+        joint = joints[best]
+        parts[at : at + 2] = (joint,)
+        del ranks[at]
+        floor = best if ascending else -1
+        if at:
+            near = rank_of(parts[at - 1] + joint, none)
+            ranks[at - 1] = near if near > floor else none
+        if at < len(ranks):
+            near = rank_of(joint + parts[at + 1], none)
+            ranks[at] = near if near > floor else none
+    return "".join(parts)
+
+
+def _join_long(word: str, joins: tuple, ascending: bool) -> str:
+    """Keeps a queue of ranks and joins all occurrences at once, for long runs."""
+    ranks, joints, late = joins
+    queue = [ranks[pair] for pair in set(map("".join, zip(word, word[1:]))) if pair in ranks]
     heapq.heapify(queue)
+    pairs = {rank: pair for pair, rank in ranks.items()} if queue else {}
     while queue:
-        entry = heapq.heappop(queue)
-        rank, pair, joint, stepwise = entry
+        rank = heapq.heappop(queue)
+        pair, joint = pairs[rank], joints[rank]
         if pair not in word:
             continue
-        word = word.replace(pair, joint, 1 if stepwise else -1)
-        if stepwise:
-            heapq.heappush(queue, entry)
+        if rank in late and not ascending:
+            word = word.replace(pair, joint, 1)
+            heapq.heappush(queue, rank)
+        else:
+            word = word.replace(pair, joint)
         formed, at = set(), word.find(joint)
         while at >= 0:
             formed.add(word[max(at - 1, 0) : at + 1])
             formed.add(word[at : at + 2])
             at = word.find(joint, at + 1)
         for near in formed:
-            if near in joins and not (ascending and joins[near][0] <= rank):
-                heapq.heappush(queue, joins[near])
+            if near in ranks and not (ascending and ranks[near] <= rank):
+                heapq.heappush(queue, ranks[near])
     return word

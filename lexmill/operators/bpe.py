@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.joins import join_symbols, symbol, symbol_id
+from lexmill.functions.joins import join_symbols, ranked_joins, symbol, symbol_id
 from lexmill.functions.tokens import SPECIAL_TOKENS
 from lexmill.operators.vocabulary import adjacent_pairs, init_vocab, pair_counts, symbol_words, word_counts
 from lexmill.session import materialize
@@ -55,12 +55,14 @@ def apply_merges(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
     A word meets only the merges whose pairs it holds, so the cost follows the
     word length. Replacing pair after pair with built-ins costs words x merges.
     """
-    joins = {pair: (rank, pair, joint, False) for rank, (pair, joint) in enumerate(merges)}
+    joins = ranked_joins(merges)
 
     @F.arrow_udf("string")
     def joined(words: pa.Array) -> pa.Array:
         return pa.array([join_symbols(word, joins, ascending=True) for word in words.to_pylist()], pa.string())
 
+    # Not marked deterministic: a filter pushed below the projection would run it twice.
+    joined = joined.asNondeterministic()
     return words.select(joined("word").alias("word"), "cnt").filter(F.length("word") > 1)
 
 
@@ -150,7 +152,7 @@ def train_bpe(
     coded = F.translate("word", "".join(letters), "".join(symbol(tokens.index(letter)) for letter in letters))
     state = words.select(coded.alias("word"), "cnt").filter(F.length("word") > 1)
 
-    merges, width = [], min(64, frequent_pairs)
+    merges, width = [], min(32, frequent_pairs)
     while len(tokens) < vocab_size:
         top = (
             pair_counts(state)

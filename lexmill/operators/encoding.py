@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.cleaning import _col
-from lexmill.functions.joins import join_symbols, symbol, symbol_ids
+from lexmill.functions.joins import join_symbols, ranked_joins, symbol, symbol_ids
 from lexmill.functions.tokens import SPECIAL_TOKENS, UNK_ID, byte_alphabet, text_of_symbols, words_to_encode
 from lexmill.operators.bpe import Tokenizer
 
@@ -26,46 +26,43 @@ def vocabulary_of(vocab: DataFrame) -> list[str]:
     return [row["token"] for row in vocab.orderBy("id").collect()]
 
 
-def _joins(merges: DataFrame) -> dict:
+def _joins(merges: DataFrame) -> tuple:
     if merges.count() > 2 * MAX_VOCABULARY:
         raise ValueError("more merges than a bounded vocabulary can have")
-    joins, made = {}, set()
-    for row in merges.orderBy("rank").collect():
-        pair = symbol(row["left_id"]) + symbol(row["right_id"])
-        joins[pair] = (row["rank"], pair, symbol(row["new_id"]), row["new_id"] in made)
-        made.add(row["new_id"])
-    return joins
+    return ranked_joins(
+        [
+            (symbol(row["left_id"]) + symbol(row["right_id"]), symbol(row["new_id"]))
+            for row in merges.orderBy("rank").collect()
+        ]
+    )
 
 
 def encode(df: DataFrame, tokenizer: Tokenizer, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add the token ids of a text column; a narrow operation.
 
-    The JVM splits the text into words. Tasks look up each distinct word of an
-    Arrow batch once, keep the most recent words, and gather ids by position.
+    The JVM splits the text into words. Workers look up each distinct word of an
+    Arrow batch once and gather ids by position.
     """
     tokens = vocabulary_of(tokenizer.vocab)
     known = {token: token_id for token_id, token in enumerate(tokens)}
-    shared = df.sparkSession.sparkContext.broadcast(
-        (
-            "".join(symbol(known.get(char, UNK_ID)) for char in byte_alphabet()),
-            _joins(tokenizer.merges),
-            {token: symbol(token_id) for token_id, token in enumerate(SPECIAL_TOKENS)},
-            _CACHED_WORDS,
-        )
-    )
+    letters = "".join(symbol(known.get(char, UNK_ID)) for char in byte_alphabet())
+    specials = {token: symbol(token_id) for token_id, token in enumerate(SPECIAL_TOKENS)}
+    # The last item is a worker's word cache. A reused worker keeps the broadcast
+    # value between tasks, and with it the words it has seen.
+    shared = df.sparkSession.sparkContext.broadcast((letters, specials, _joins(tokenizer.merges), {}))
+    limit = _CACHED_WORDS
 
     @F.arrow_udf("array<int>")
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        letters, joins, cache, limit = shared.value
-        cache = dict(cache)
+        letters, specials, joins, cache = shared.value
 
         def lookup(word):
             found = cache.get(word)
             if found is None:
-                if len(cache) > limit:
+                if len(cache) >= limit:
                     cache.clear()
-                    cache.update(shared.value[2])
-                found = cache[word] = join_symbols("".join([letters[byte] for byte in word.encode()]), joins)
+                found = specials.get(word) or join_symbols("".join([letters[byte] for byte in word.encode()]), joins)
+                cache[word] = found
             return found
 
         for batch in batches:
@@ -83,7 +80,8 @@ def encode(df: DataFrame, tokenizer: Tokenizer, text: str = "text", ids: str = "
                 pa.array(offsets), pa.array(values), mask=batch.is_null() if batch.null_count else None
             )
 
-    return df.withColumn(ids, ids_of(words_to_encode(text)))
+    # Not marked deterministic: a filter on the ids would otherwise encode twice.
+    return df.withColumn(ids, ids_of.asNondeterministic()(words_to_encode(text)))
 
 
 def tokens_of(ids, vocab: DataFrame) -> Column:

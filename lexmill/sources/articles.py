@@ -1,8 +1,8 @@
 """Article files: JSON lines and JSON arrays, with file-level rejection.
 
 A *scan* has one row per record, or one row for a file without records:
-``file, folder, title, text, is_article, null_text, error``. ``file`` is relative to the
-scanned folder. An error on any row rejects the whole file.
+``file, folder, title, text, is_article, null_text, error``. ``file`` is
+relative to the scanned folder. An error on any row rejects the whole file.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,8 +36,8 @@ def folder_of(file: Column) -> Column:
 
 def is_one_json_value(value: Column) -> Column:
     """True if the text is exactly one JSON value, nothing before or after it."""
-    alone = F.json_array_length(F.concat(F.lit("["), value, F.lit("]"))) == 1
-    return F.is_valid_utf8(value) & F.coalesce(alone, F.lit(False))
+    wrapped = F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>", _STRICT_JSON)
+    return F.is_valid_utf8(value) & F.coalesce(F.size(wrapped) == 1, F.lit(False))
 
 
 def _opening(value: Column) -> Column:
@@ -45,12 +45,14 @@ def _opening(value: Column) -> Column:
 
 
 def jsonl_records(lines: DataFrame, path: str) -> DataFrame:
-    """A scan of lines ``(value, file_path)``; blank lines are skipped."""
+    """A scan of lines ``(value, file_path)``; a blank line is no article and no error."""
     value = F.col("value")
-    error = F.when(~is_one_json_value(value), INVALID_JSON).when(_opening(value) != "{", OTHER_ERROR)
+    blank = is_blank(value)
+    error = (
+        F.when(blank, None).when(~is_one_json_value(value), INVALID_JSON).when(_opening(value) != "{", OTHER_ERROR)
+    )
     return (
-        lines.filter(~is_blank(value))
-        .withColumn("file", relative_file(path, F.col("file_path")))
+        lines.withColumn("file", relative_file(path, F.col("file_path")))
         .withColumn("error", error)
         .withColumn("record", F.from_json(value, _RECORD, _STRICT_JSON))
         .select(
@@ -58,8 +60,8 @@ def jsonl_records(lines: DataFrame, path: str) -> DataFrame:
             folder_of(F.col("file")).alias("folder"),
             F.coalesce("record.title", F.lit("")).alias("title"),
             F.coalesce("record.text", F.lit("")).alias("text"),
-            F.lit(True).alias("is_article"),
-            F.col("record.text").isNull().alias("null_text"),
+            (~blank).alias("is_article"),
+            (~blank & F.col("record.text").isNull()).alias("null_text"),
             "error",
         )
     )
@@ -151,43 +153,23 @@ def read_article_arrays(
     )
 
 
-def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """All files below a folder, contents unread."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .load(path)
-        .select(relative_file(path, F.col("path")).alias("file"))
-    )
-    return files.withColumn("folder", folder_of(F.col("file")))
-
-
-def load_ledger(scan: DataFrame, files: DataFrame | None = None, empty_is_error: bool = False) -> DataFrame:
+def load_ledger(scan: DataFrame) -> DataFrame:
     """One row per file: ``status``, ``error``, ``n_articles``, ``null_texts``.
 
-    With ``files`` from ``list_files``, files that hold no record are listed too;
-    an empty file is an error for arrays and a success for JSON lines.
+    A file of zero bytes has no row in a scan and none here.
     """
     ledger = scan.groupBy("file", "folder").agg(
         F.max("error").alias("error"),
         F.count_if("is_article").alias("n_articles"),
         F.count_if("null_text").alias("null_texts"),
     )
-    if files is not None:
-        ledger = files.join(ledger.withColumn("seen", F.lit(True)), ["file", "folder"], "left").withColumn(
-            "error", F.when(F.col("seen").isNull() & F.lit(empty_is_error), INVALID_JSON).otherwise(F.col("error"))
-        )
     failed = F.col("error").isNotNull()
     return ledger.select(
         "file",
         "folder",
         F.when(failed, "error").otherwise("ok").alias("status"),
         "error",
-        *[
-            F.when(failed, 0).otherwise(F.coalesce(name, F.lit(0))).cast("bigint").alias(name)
-            for name in ("n_articles", "null_texts")
-        ],
+        *[F.when(failed, 0).otherwise(F.col(name)).alias(name) for name in ("n_articles", "null_texts")],
     )
 
 
