@@ -1,12 +1,14 @@
-"""Joining symbols of one word; the only per-row Python in the package.
+"""Joining symbol pairs in many words at once, on arrays inside a task.
 
-A word is a string with one character per symbol, see ``symbol``.
+Symbols are token ids. Words lie end to end in one array, with their lengths in
+another, so that a round of joins is a few array operations for all words.
 """
 
-import heapq
 import sys
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 
 # Tasks get these helpers with the closure, so executors need no installation.
@@ -14,10 +16,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _FIRST_SYMBOL = 0x100
 _SURROGATES, _SURROGATE_COUNT = 0xD800, 0x800
+_NONE = np.iinfo(np.int32).max
 
 
 def symbol(token_id: int) -> str:
-    """The one character that stands for a token id."""
+    """The one character that stands for a token id in a training word."""
     point = token_id + _FIRST_SYMBOL
     return chr(point if point < _SURROGATES else point + _SURROGATE_COUNT)
 
@@ -27,84 +30,103 @@ def symbol_id(char: str) -> int:
     return point - _FIRST_SYMBOL - (_SURROGATE_COUNT if point >= _SURROGATES else 0)
 
 
-def symbol_ids(word: str) -> np.ndarray:
-    points = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.int32)
-    return points - _FIRST_SYMBOL - np.where(points >= _SURROGATES, _SURROGATE_COUNT, 0).astype(np.int32)
+def symbols_of(words: pa.Array) -> tuple:
+    """Training words as one id array and word lengths."""
+    text = "".join(words.to_pylist())
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int32)
+    ids = points - _FIRST_SYMBOL - np.where(points >= _SURROGATES, _SURROGATE_COUNT, 0).astype(np.int32)
+    return ids, pc.utf8_length(words).to_numpy(zero_copy_only=False)
 
 
-def ranked_joins(ranked: list) -> tuple:
-    """``(pair, joint)`` in order as plain values: ``(ranks, joints, late)``.
+def words_of_symbols(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Inverse of ``symbols_of``."""
+    points = ids + _FIRST_SYMBOL
+    points += np.where(points >= _SURROGATES, _SURROGATE_COUNT, 0)
+    text = points.astype(np.uint32).tobytes().decode("utf-32-le")
+    ends = np.concatenate(([0], np.cumsum(lengths))).tolist()
+    return pa.array([text[start:end] for start, end in zip(ends, ends[1:])], pa.string())
 
-    A rank is *late* if its joint symbol existed before it. Such a join may form
-    a pair of lower rank, which then goes first.
+
+def join_table(merges: list) -> tuple:
+    """``(left, right, joint)`` ids in rank order as plain arrays.
+
+    Returns sorted pair keys, their ranks, the joint of each rank, and which
+    ranks are *late*: their joint existed before them. A late join may form a
+    pair of lower rank, which then goes first.
     """
-    ranks, joints, late, made = {}, [], set(), set()
-    for rank, (pair, joint) in enumerate(ranked):
-        ranks[pair] = rank
+    ranks, joints, late, made = {}, [], [], set()
+    for rank, (left, right, joint) in enumerate(merges):
+        ranks[left << 32 | right] = rank
         joints.append(joint)
-        if joint in made:
-            late.add(rank)
+        late.append(joint in made)
         made.add(joint)
-    return ranks, joints, late
+    keys = np.array(sorted(ranks), np.int64)
+    return (
+        keys,
+        np.array([ranks[key] for key in keys.tolist()], np.int32),
+        np.array(joints, np.int32),
+        np.array(late, bool),
+    )
 
 
-_SHORT_WORD = 64
+def _ranks_of(left: np.ndarray, right: np.ndarray, table: tuple) -> np.ndarray:
+    keys, ranks = table[:2]
+    wanted = left.astype(np.int64) << 32 | right
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, ranks[at], _NONE)
 
 
-def join_symbols(word: str, joins: tuple, ascending: bool = False) -> str:
-    """Join pairs of a word, lowest rank and leftmost first, until none is left.
+def join_words(ids: np.ndarray, lengths: np.ndarray, table: tuple, ascending: bool = False) -> tuple:
+    """Join pairs in every word, lowest rank and leftmost first, until none is left.
 
-    With ``ascending`` no pair is joined after a pair of higher rank.
+    Each round joins, in every word that still has a known pair, all pairs of the
+    word's lowest rank. With ``ascending`` no pair is joined after one of higher
+    rank. Returns ids and lengths like its arguments.
     """
-    return (_join_short if len(word) <= _SHORT_WORD else _join_long)(word, joins, ascending)
-
-
-def _join_short(word: str, joins: tuple, ascending: bool) -> str:
-    """Keeps the rank of every adjacent pair in a list."""
-    rank_of, joints = joins[0].get, joins[1]
-    none = len(joints)
-    parts = list(word)
-    ranks = [rank_of(left + right, none) for left, right in zip(word, word[1:])]
-    while ranks:
-        best = min(ranks)
-        if best == none:
+    joints, late = table[2:]
+    if len(joints) == 0 or len(ids) == 0:
+        return ids, lengths
+    word = np.repeat(np.arange(len(lengths)), lengths)
+    rank = np.full(len(ids), _NONE, np.int32)
+    inside = np.flatnonzero(word[1:] == word[:-1])
+    rank[inside] = _ranks_of(ids[inside], ids[inside + 1], table)
+    done_ids, done_words = [], []
+    while len(ids):
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        sizes = np.diff(np.append(first, len(ids)))
+        best = np.repeat(np.minimum.reduceat(rank, first), sizes)
+        finished = best == _NONE
+        done_ids.append(ids[finished])
+        done_words.append(word[finished])
+        active = ~finished
+        ids, word, rank, best = ids[active], word[active], rank[active], best[active]
+
+        at = np.flatnonzero(rank == best)
+        if len(at) == 0:
             break
-        at = ranks.index(best)
-        joint = joints[best]
-        parts[at : at + 2] = (joint,)
-        del ranks[at]
-        floor = best if ascending else -1
-        if at:
-            near = rank_of(parts[at - 1] + joint, none)
-            ranks[at - 1] = near if near > floor else none
-        if at < len(ranks):
-            near = rank_of(joint + parts[at + 1], none)
-            ranks[at] = near if near > floor else none
-    return "".join(parts)
-
-
-def _join_long(word: str, joins: tuple, ascending: bool) -> str:
-    """Keeps a queue of ranks and joins all occurrences at once, for long runs."""
-    ranks, joints, late = joins
-    queue = [ranks[pair] for pair in set(map("".join, zip(word, word[1:]))) if pair in ranks]
-    heapq.heapify(queue)
-    pairs = {rank: pair for pair, rank in ranks.items()} if queue else {}
-    while queue:
-        rank = heapq.heappop(queue)
-        pair, joint = pairs[rank], joints[rank]
-        if pair not in word:
-            continue
-        if rank in late and not ascending:
-            word = word.replace(pair, joint, 1)
-            heapq.heappush(queue, rank)
-        else:
-            word = word.replace(pair, joint)
-        formed, at = set(), word.find(joint)
-        while at >= 0:
-            formed.add(word[max(at - 1, 0) : at + 1])
-            formed.add(word[at : at + 2])
-            at = word.find(joint, at + 1)
-        for near in formed:
-            if near in ranks and not (ascending and ranks[near] <= rank):
-                heapq.heappush(queue, ranks[near])
-    return word
+        # In a run of one symbol every other pair is joined.
+        begins = np.concatenate(([True], np.diff(at) != 1))
+        run = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
+        at = at[(at - at[run]) % 2 == 0]
+        # A late pair is joined once, then the word is looked at again.
+        repeats = np.concatenate(([False], word[at[1:]] == word[at[:-1]]))
+        at = at[~(repeats & late[rank[at]] & (not ascending))]
+
+        applied = rank[at]
+        ids[at] = joints[applied]
+        kept = np.ones(len(ids), bool)
+        kept[at + 1] = False
+        rank[at] = _NONE
+        ids, word, rank = ids[kept], word[kept], rank[kept]
+        at = at - np.arange(len(at))
+        floor = applied if ascending else np.full(len(at), -1, np.int32)
+        for left in (at, at - 1):
+            valid = (left >= 0) & (left + 1 < len(ids))
+            valid[valid] = word[left[valid]] == word[left[valid] + 1]
+            near = left[valid]
+            found = _ranks_of(ids[near], ids[near + 1], table)
+            rank[near] = np.where(found > floor[valid], found, _NONE)
+
+    words = np.concatenate(done_words)
+    order = np.argsort(words, kind="stable")
+    return np.concatenate(done_ids)[order], np.bincount(words, minlength=len(lengths))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.joins import join_symbols, ranked_joins, symbol, symbol_id
+from lexmill.functions.joins import join_table, join_words, symbol, symbol_id, symbols_of, words_of_symbols
 from lexmill.functions.tokens import SPECIAL_TOKENS
 from lexmill.operators.vocabulary import adjacent_pairs, init_vocab, pair_counts, symbol_words, word_counts
 from lexmill.session import materialize
@@ -55,11 +55,11 @@ def apply_merges(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
     A word meets only the merges whose pairs it holds, so the cost follows the
     word length. Replacing pair after pair with built-ins costs words x merges.
     """
-    joins = ranked_joins(merges)
+    table = join_table([(symbol_id(pair[0]), symbol_id(pair[1]), symbol_id(joint)) for pair, joint in merges])
 
     @F.arrow_udf("string")
     def joined(words: pa.Array) -> pa.Array:
-        return pa.array([join_symbols(word, joins, ascending=True) for word in words.to_pylist()], pa.string())
+        return words_of_symbols(*join_words(*symbols_of(words), table, ascending=True))
 
     # Not marked deterministic: a filter pushed below the projection would run it twice.
     joined = joined.asNondeterministic()

@@ -5,17 +5,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.cleaning import _col
-from lexmill.functions.joins import join_symbols, ranked_joins, symbol, symbol_ids
+from lexmill.functions.joins import join_table, join_words
 from lexmill.functions.tokens import SPECIAL_TOKENS, UNK_ID, byte_alphabet, text_of_symbols, words_to_encode
 from lexmill.operators.bpe import Tokenizer
 
 # A vocabulary is a broadcast value; anything larger than this is not one.
 MAX_VOCABULARY = 1_000_000
-_CACHED_WORDS = 500_000
 
 
 def vocabulary_of(vocab: DataFrame) -> list[str]:
@@ -26,58 +26,46 @@ def vocabulary_of(vocab: DataFrame) -> list[str]:
     return [row["token"] for row in vocab.orderBy("id").collect()]
 
 
-def _joins(merges: DataFrame) -> tuple:
+def _join_table(merges: DataFrame) -> tuple:
     if merges.count() > 2 * MAX_VOCABULARY:
         raise ValueError("more merges than a bounded vocabulary can have")
-    return ranked_joins(
-        [
-            (symbol(row["left_id"]) + symbol(row["right_id"]), symbol(row["new_id"]))
-            for row in merges.orderBy("rank").collect()
-        ]
-    )
+    rows = merges.orderBy("rank").select("left_id", "right_id", "new_id").collect()
+    return join_table([tuple(row) for row in rows])
 
 
 def encode(df: DataFrame, tokenizer: Tokenizer, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add the token ids of a text column; a narrow operation.
 
-    The JVM splits the text into words. Workers look up each distinct word of an
-    Arrow batch once and gather ids by position.
+    The JVM splits the text into words. A task joins each distinct word of an
+    Arrow batch once, all words together, and gathers ids by position.
     """
-    tokens = vocabulary_of(tokenizer.vocab)
-    known = {token: token_id for token_id, token in enumerate(tokens)}
-    letters = "".join(symbol(known.get(char, UNK_ID)) for char in byte_alphabet())
-    specials = {token: symbol(token_id) for token_id, token in enumerate(SPECIAL_TOKENS)}
-    # The last item is a worker's word cache. A reused worker keeps the broadcast
-    # value between tasks, and with it the words it has seen.
-    shared = df.sparkSession.sparkContext.broadcast((letters, specials, _joins(tokenizer.merges), {}))
-    limit = _CACHED_WORDS
+    known = {token: token_id for token_id, token in enumerate(vocabulary_of(tokenizer.vocab))}
+    letters = np.array([known.get(char, UNK_ID) for char in byte_alphabet()], np.int32)
+    specials = SPECIAL_TOKENS
+    shared = df.sparkSession.sparkContext.broadcast((letters, _join_table(tokenizer.merges)))
 
     @F.arrow_udf("array<int>")
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        letters, specials, joins, cache = shared.value
-
-        def lookup(word):
-            found = cache.get(word)
-            if found is None:
-                if len(cache) >= limit:
-                    cache.clear()
-                found = specials.get(word) or join_symbols("".join([letters[byte] for byte in word.encode()]), joins)
-                cache[word] = found
-            return found
-
+        letters, table = shared.value
         for batch in batches:
             words = batch.flatten().dictionary_encode()
-            symbols = [lookup(word) for word in words.dictionary.to_pylist()]
-            sizes = np.fromiter(map(len, symbols), np.int64, len(symbols))
-            starts = np.concatenate(([0], np.cumsum(sizes)))
-            pool = symbol_ids("".join(symbols))
+            distinct = words.dictionary.cast(pa.large_binary())
+            data = b"".join(distinct.to_pylist())
+            sizes = pc.binary_length(distinct).to_numpy(zero_copy_only=False)
+            pool, lengths = join_words(letters[np.frombuffer(data, np.uint8)], sizes, table)
+            starts = np.concatenate(([0], np.cumsum(lengths)))
+            special = pc.index_in(words.dictionary, pa.array(specials)).to_numpy(zero_copy_only=False)
+            for at in np.flatnonzero(~np.isnan(special)):
+                # The bytes of a literal special token give way to its one id.
+                pool[starts[at]] = special[at]
+                lengths[at] = 1
             used = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.concatenate(([0], np.cumsum(sizes[used])))
-            values = pool[np.arange(ends[-1]) + np.repeat(starts[used] - ends[:-1], sizes[used])]
-            lengths = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            offsets = ends[np.concatenate(([0], np.cumsum(lengths)))].astype(np.int32)
+            ends = np.concatenate(([0], np.cumsum(lengths[used])))
+            values = pool[np.arange(ends[-1]) + np.repeat(starts[used] - ends[:-1], lengths[used])]
+            counts = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            offsets = ends[np.concatenate(([0], np.cumsum(counts)))].astype(np.int32)
             yield pa.ListArray.from_arrays(
-                pa.array(offsets), pa.array(values), mask=batch.is_null() if batch.null_count else None
+                pa.array(offsets), pa.array(values, pa.int32()), mask=batch.is_null() if batch.null_count else None
             )
 
     # Not marked deterministic: a filter on the ids would otherwise encode twice.

@@ -4,6 +4,7 @@ import json
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Library
@@ -162,44 +163,73 @@ def test_listing_stats_and_round_trip(spark, trained, library):
 
 
 def random_merges(rng, repeats):
-    """Merges over spelled symbols; two ways to spell a token share its symbol."""
-    spelled = {letter: joins.symbol(i) for i, letter in enumerate("abc")}
-    ranked = []
-    while len(ranked) < 12:
+    """Merges over spelled symbols; two ways to spell a token share its id."""
+    spelled, merges = {"a": 0, "b": 1, "c": 2}, []
+    while len(merges) < 12:
         left, right = rng.choice(list(spelled)), rng.choice(list(spelled))
-        pair, known = spelled[left] + spelled[right], left + right in spelled
-        if all(pair != other for other, _ in ranked) and (repeats or not known):
-            ranked.append((pair, spelled.setdefault(left + right, joins.symbol(len(spelled)))))
-    return ranked
+        pair, known = (spelled[left], spelled[right]), left + right in spelled
+        if all(pair != other[:2] for other in merges) and (repeats or not known):
+            merges.append((*pair, spelled.setdefault(left + right, len(spelled))))
+    return merges
+
+
+def joined(words, merges, ascending):
+    lengths = np.array([len(word) for word in words])
+    ids, lengths = joins.join_words(
+        np.array([i for word in words for i in word], np.int32), lengths, joins.join_table(merges), ascending
+    )
+    return [part.tolist() for part in np.split(ids, np.cumsum(lengths)[:-1])]
+
+
+def replaced(word, left, right, joint, once=False):
+    at = 0
+    while at + 1 < len(word):
+        if word[at : at + 2] == [left, right]:
+            word = word[:at] + [joint] + word[at + 2 :]
+            if once:
+                break
+        at += 1
+    return word
+
+
+def random_words(rng):
+    return [rng.choices(range(3), k=rng.choice([0, 1, 2, 5, 40])) for _ in range(12)]
 
 
 def test_joining_one_pair_at_a_time():
     rng = random.Random(1)
-    for _ in range(300):
-        ranked = random_merges(rng, repeats=True)
-        word = expected = "".join(rng.choices([joins.symbol(i) for i in range(3)], k=40))
-        while True:
-            found = [(rank, expected.find(pair), pair, joint) for rank, (pair, joint) in enumerate(ranked)]
-            found = [entry for entry in found if entry[1] >= 0]
-            if not found:
-                break
-            _, _, pair, joint = min(found)
-            expected = expected.replace(pair, joint, 1)
-        table = joins.ranked_joins(ranked)
-        assert joins._join_short(word, table, False) == expected
-        assert joins._join_long(word, table, False) == expected
+    for _ in range(150):
+        merges, words = random_merges(rng, repeats=True), random_words(rng)
+        expected = []
+        for word in words:
+            while True:
+                pairs = list(zip(word, word[1:]))
+                found = [merge for merge in merges if merge[:2] in pairs]
+                if not found:
+                    break
+                word = replaced(word, *found[0], once=True)
+            expected.append(word)
+        assert joined(words, merges, ascending=False) == expected
 
 
 def test_joining_pair_after_pair():
     rng = random.Random(2)
-    for _ in range(300):
-        ranked = random_merges(rng, repeats=False)
-        word = expected = "".join(rng.choices([joins.symbol(i) for i in range(3)], k=40))
-        for pair, joint in ranked:
-            expected = expected.replace(pair, joint)
-        table = joins.ranked_joins(ranked)
-        assert joins._join_short(word, table, True) == expected
-        assert joins._join_long(word, table, True) == expected
+    for _ in range(150):
+        merges, words = random_merges(rng, repeats=False), random_words(rng)
+        expected = []
+        for word in words:
+            for merge in merges:
+                word = replaced(word, *merge)
+            expected.append(word)
+        assert joined(words, merges, ascending=True) == expected
+
+
+def test_symbols_survive_as_text():
+    ids = np.array([0, 262, 32_000, 55_039, 55_040, 70_000], np.int32)
+    words = joins.words_of_symbols(ids.copy(), np.array([1, 0, 5]))
+    back, lengths = joins.symbols_of(words)
+    assert back.tolist() == ids.tolist() and lengths.tolist() == [1, 0, 5]
+    assert [joins.symbol_id(joins.symbol(int(i))) for i in ids] == ids.tolist()
 
 
 def test_tokenizer_files(spark, trained, library, tmp_path):
