@@ -1,5 +1,8 @@
 """Ordered batches of token sequences."""
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,9 +61,12 @@ def assign_batches(df: DataFrame, order: str | list[str], size: int = BATCH_SIZE
     The order columns must identify a row. The last batch may be short.
     """
     order = [order] if isinstance(order, str) else order
+    placed = positions(df, order).withColumnsRenamed({name: f"_key_{name}" for name in order})
+    same = functools.reduce(operator.and_, [F.col(name).eqNullSafe(F.col(f"_key_{name}")) for name in order])
     return (
-        df.join(positions(df, order), order)
-        .withColumn("batch_id", F.floor(F.col("position") / size).cast("bigint"))
+        df.join(placed, same)
+        .drop(*[f"_key_{name}" for name in order])
+        .withColumn("batch_id", F.expr(f"position div {int(size)}"))
         .withColumn("pos", (F.col("position") % size).cast("int"))
         .drop("position")
     )

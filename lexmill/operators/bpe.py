@@ -3,8 +3,8 @@
 One Spark job per merge would need tens of thousands of jobs, so every round
 settles many merges at once and still gives the one-at-a-time result:
 
-1. Spark counts all adjacent pairs and returns the most frequent few hundred,
-   the round's *frequent* pairs, and the count of the best pair left out.
+1. Spark counts all adjacent pairs and returns the most frequent ones, at most a
+   few thousand: the round's *frequent* pairs and the best pair left out.
 2. Spark cuts every word wherever two neighbours are not a frequent pair and
    sums the remaining fragments. A pair across a cut can never become more
    frequent than the best pair left out, because merging only makes rarer pairs.
@@ -37,6 +37,9 @@ MIN_FREQUENCY = 2
 VOCAB_SCHEMA = "id int, token string"
 MERGES_SCHEMA = "rank int, left_id int, right_id int, new_id int"
 
+# The driver never fetches a digest of more symbols than this.
+MAX_DIGEST_SYMBOLS = 5_000_000
+
 # A separator no symbol uses.
 _CUT = "|"
 
@@ -132,12 +135,27 @@ def replay(digest, outside, min_frequency, tokens, room):
     return settled
 
 
+def fetch_digest(words: DataFrame, frequent: list[str], longest: int, max_rows: int) -> dict | None:
+    """The fragments and their counts, or None if there are too many to fetch.
+
+    Words of ordinary length bound the size through the row limit. Where some
+    word is extremely long, the symbols are summed before anything is fetched.
+    """
+    found = fragments(words, frequent)
+    if max_rows * longest > MAX_DIGEST_SYMBOLS:
+        size = found.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("word")).alias("symbols")).first()
+        if size["rows"] > max_rows or (size["symbols"] or 0) > MAX_DIGEST_SYMBOLS:
+            return None
+    rows = found.limit(max_rows + 1).collect()
+    return {row["word"]: row["cnt"] for row in rows} if len(rows) <= max_rows else None
+
+
 def train_bpe(
     df: DataFrame,
     vocab_size: int = VOCAB_SIZE,
     min_frequency: int = MIN_FREQUENCY,
     text: str = "text",
-    frequent_pairs: int = 512,
+    frequent_pairs: int = 2048,
     digest_rows: int = 20_000,
 ) -> Tokenizer:
     """Learn a byte-pair vocabulary from a text column.
@@ -152,6 +170,8 @@ def train_bpe(
     coded = F.translate("word", "".join(letters), "".join(symbol(tokens.index(letter)) for letter in letters))
     state = words.select(coded.alias("word"), "cnt").filter(F.length("word") > 1)
 
+    longest = state.agg(F.max(F.length("word"))).first()[0] or 0
+
     merges, width = [], min(32, frequent_pairs)
     while len(tokens) < vocab_size:
         top = (
@@ -163,23 +183,22 @@ def train_bpe(
         )
         if not top:
             break
-        while True:
+        digest = None
+        while digest is None:
             frequent = [row["pair"] for row in top[:width]]
             outside = (top[width]["cnt"], top[width]["pair"]) if width < len(top) else (0, "")
             if width == 1:
                 digest = {frequent[0]: top[0]["cnt"]}
-                break
-            rows = fragments(state, frequent).limit(digest_rows + 1).collect()
-            if len(rows) <= digest_rows:
-                digest = {row["word"]: row["cnt"] for row in rows}
-                break
-            width //= 2
+            else:
+                digest = fetch_digest(state, frequent, longest, digest_rows)
+                width = width if digest is not None else width // 2
         settled = replay(digest, outside, min_frequency, tokens, vocab_size)
         merges += settled
         if len(tokens) < vocab_size:
             state = materialize(apply_merges(state, settled))
-        if len(digest) * 4 < digest_rows:
-            width = min(2 * width, frequent_pairs)
+        # A digest far below its limit leaves room for more pairs per round.
+        growth = 4 if len(digest) * 16 < digest_rows else 2 if len(digest) * 4 < digest_rows else 1
+        width = min(growth * width, frequent_pairs)
 
     return Tokenizer(
         vocab=spark.createDataFrame(list(enumerate(tokens)), VOCAB_SCHEMA),

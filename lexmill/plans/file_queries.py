@@ -13,7 +13,7 @@ from lexmill.sources import articles, metrics, sequences as stored, wiki_dump
 from lexmill.sources.tables import read_table
 
 # One array file holds the articles of one source in a range of this many ids.
-_FILE_IDS = 4_000
+_FILE_IDS = 1_000
 
 
 def _jsonl(spark, sf_dir):

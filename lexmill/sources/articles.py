@@ -130,11 +130,7 @@ def accepted(scan: DataFrame) -> DataFrame:
     """
     bad = materialize(scan.filter(F.col("error").isNotNull()).select("file").distinct())
     bad = F.broadcast(bad) if bad.count() <= MAX_BROADCAST_FILES else bad
-    return (
-        scan.filter(F.col("error").isNull() & F.col("is_article"))
-        .join(bad, "file", "left_anti")
-        .select("file", "folder", "title", "text")
-    )
+    return scan.filter("is_article").join(bad, "file", "left_anti").select("file", "folder", "title", "text")
 
 
 def read_jsonl_articles(spark: SparkSession, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when a scan yields far fewer partitions than there are.
+    """Use all cores when a table scan yields far fewer partitions than there are.
 
     A small table in one row group is read by one task; text work on it would
     leave the other cores idle. Large tables already have more partitions than

@@ -40,6 +40,12 @@ def test_positions_with_a_frequent_leading_value(spark):
     assert got == {row: position for position, row in enumerate(sorted(rows))}
 
 
+def test_rows_without_a_key_are_kept(spark):
+    df = sequences(spark, [(None, [9, 9]), (5, [1, 2]), (3, [3, 4])])
+    rows = batches.assign_batches(df, "key", 2).orderBy("batch_id", "pos").collect()
+    assert [(row["key"], row["batch_id"], row["pos"]) for row in rows] == [(None, 0, 0), (3, 0, 1), (5, 1, 0)]
+
+
 def test_shuffling_depends_on_epoch_and_seed_only(spark):
     df = sequences(spark, [(i, [i, i]) for i in range(100)])
 

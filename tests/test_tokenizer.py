@@ -118,6 +118,13 @@ def test_round_limits_do_not_change_the_result(spark, limits):
     assert model_of_ours(bpe.train_bpe(df, 60, **limits)) == model_of(train_library(texts, 60))
 
 
+def test_very_long_words_are_measured_before_they_are_fetched(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_DIGEST_SYMBOLS", 500)
+    texts = ["ab" * 150 + " " + "abc" * 70, "abcabc ab ab cab " * 5]
+    df = spark.createDataFrame([(text,) for text in texts], "text string")
+    assert model_of_ours(bpe.train_bpe(df, 30)) == model_of(train_library(texts, 30))
+
+
 def test_min_frequency_ends_training(spark):
     texts = ["abc abc abd xyz"]
     df = spark.createDataFrame([(text,) for text in texts], "text string")
