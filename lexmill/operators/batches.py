@@ -33,8 +33,8 @@ def short_counts(df: DataFrame, min_length: int = MIN_LENGTH, tokens: str = "tok
 def positions(keys: DataFrame, order: list[str]) -> DataFrame:
     """The 0-based global position of every row, without a one-task window.
 
-    The order columns must identify a row. Only they are range-partitioned and
-    sorted; Spark samples the ranges, so a frequent leading value is split by the
+    The order columns must identify a row; that is checked. Only they are
+    range-partitioned and sorted; Spark samples the ranges, so a frequent leading value is split by the
     columns after it. The sorted keys are checkpointed, which fixes the row
     numbers; each partition then adds the row count of those before it, a table
     of one row per partition.
@@ -47,6 +47,8 @@ def positions(keys: DataFrame, order: list[str]) -> DataFrame:
         .sortWithinPartitions(*order)
         .withColumn("_row", F.monotonically_increasing_id())
     ).withColumn("_part", F.shiftright("_row", _ROW_BITS))
+    if not numbered.groupBy(*order).count().filter("count > 1").isEmpty():
+        raise ValueError(f"several rows have the same {', '.join(order)}")
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     sizes = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
@@ -58,7 +60,8 @@ def positions(keys: DataFrame, order: list[str]) -> DataFrame:
 def assign_batches(df: DataFrame, order: str | list[str], size: int = BATCH_SIZE) -> DataFrame:
     """Add ``batch_id`` and ``pos`` in batch; batches follow the order columns.
 
-    The order columns must identify a row. The last batch may be short.
+    The order columns must identify a row, as ``part`` and ``row`` of stored
+    sequences do. The last batch may be short.
     """
     order = [order] if isinstance(order, str) else order
     placed = positions(df, order).withColumnsRenamed({name: f"_key_{name}" for name in order})
@@ -72,10 +75,13 @@ def assign_batches(df: DataFrame, order: str | list[str], size: int = BATCH_SIZE
     )
 
 
-def shuffle_rows(df: DataFrame, key: str, epoch: int, seed: int = 0, size: int = BATCH_SIZE) -> DataFrame:
+def shuffle_rows(
+    df: DataFrame, key: str | list[str], epoch: int, seed: int = 0, size: int = BATCH_SIZE
+) -> DataFrame:
     """Batches in an order that is random per epoch and the same on every run."""
-    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col(key).cast("string")))
-    return assign_batches(df.withColumn("draw", drawn), ["draw", key], size).drop("draw")
+    key = [key] if isinstance(key, str) else key
+    parts = [F.lit(str(seed)), F.lit(str(epoch)), *[F.col(name).cast("string") for name in key]]
+    return assign_batches(df.withColumn("draw", F.md5(F.concat_ws(":", *parts))), ["draw", *key], size).drop("draw")
 
 
 def collate(df: DataFrame, tokens: str = "tokens") -> DataFrame:

@@ -41,7 +41,7 @@ MERGES_SCHEMA = "rank int, left_id int, right_id int, new_id int"
 MAX_DIGEST_SYMBOLS = 5_000_000
 
 # A separator no symbol uses.
-_CUT = "|"
+_CUT = " "
 
 
 @dataclass(frozen=True)
@@ -75,11 +75,11 @@ def fragments(words: DataFrame, frequent: list[str]) -> DataFrame:
     marked = F.expr(
         f"transform(pairs, pair -> if(pair IN ({listed}), left(pair, 1), concat(left(pair, 1), '{_CUT}')))"
     )
-    cut = F.split(F.concat(F.array_join(marked, ""), F.right("word", F.lit(1))), f"[{_CUT}]")
+    cut = F.concat(F.array_join(marked, ""), F.right("word", F.lit(1)))
+    runs = F.regexp_extract_all(cut, F.lit(f"[^{_CUT}]{{2,}}"), F.lit(0))
     return (
         words.withColumn("pairs", adjacent_pairs("word"))
-        .select(F.explode(cut).alias("word"), "cnt")
-        .filter(F.length("word") > 1)
+        .select(F.explode(runs).alias("word"), "cnt")
         .groupBy("word")
         .agg(F.sum("cnt").alias("cnt"))
     )

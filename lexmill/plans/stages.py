@@ -49,9 +49,9 @@ def build_corpus(
 ) -> tuple[DataFrame, DataFrame]:
     """Cleaned articles to stored train and validation sequences.
 
-    Returns corpus statistics and split shares. A sequence is keyed by a hash of
-    its article, so the same article always falls into the same split. Texts are
-    encoded once; statistics read the stored lengths.
+    Returns corpus statistics and split shares. The split goes by a hash of the
+    article, so equal articles always fall into the same one. Texts are encoded
+    once; statistics read the stored lengths.
     """
     texts = spread(read_cleaned(spark, cleaned).select("file", "title", "text"))
     encoded = encode(texts, read_tokenizer(spark, tokenizer), ids="tokens")
@@ -62,13 +62,13 @@ def build_corpus(
 
 
 def training_batches(
-    spark: SparkSession, sequences: str, split: str, order: str | list[str], epoch: int | None = None, seed: int = 0
+    spark: SparkSession, sequences: str, split: str, epoch: int | None = None, seed: int = 0
 ) -> DataFrame:
-    """Stored sequences to padded batches; with an epoch, shuffled for it."""
+    """Stored sequences to padded batches, in stored order or shuffled for an epoch."""
     rows = batches.filter_short(read_sequences(spark, sequences, split))
     if epoch is None:
-        return batches.collate(batches.assign_batches(rows, order))
-    return batches.collate(batches.shuffle_rows(rows, order, epoch, seed))
+        return batches.collate(batches.assign_batches(rows, ["part", "row"]))
+    return batches.collate(batches.shuffle_rows(rows, ["part", "row"], epoch, seed))
 
 
 def audit_cleaned(spark: SparkSession, folder: str, k: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -10,8 +10,18 @@ def write_splits(df: DataFrame, path: str) -> None:
 
 
 def read_sequences(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """Sequences written by ``write_splits`` or any Parquet table with ``tokens``."""
-    df = spark.read.parquet(path).withColumn("tokens", F.col("tokens").cast("array<int>"))
+    """Sequences written by ``write_splits`` or any Parquet table with ``tokens``.
+
+    ``part`` and ``row``, the file and the position in it, identify a sequence
+    and give the stored order.
+    """
+    df = spark.read.parquet(path).withColumns(
+        {
+            "tokens": F.col("tokens").cast("array<int>"),
+            "part": F.col("_metadata.file_name"),
+            "row": F.col("_metadata.row_index"),
+        }
+    )
     return df if split is None else df.filter(F.col("split") == split)
 
 

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions.sequences import pad_min
@@ -46,6 +47,11 @@ def test_rows_without_a_key_are_kept(spark):
     assert [(row["key"], row["batch_id"], row["pos"]) for row in rows] == [(None, 0, 0), (3, 0, 1), (5, 1, 0)]
 
 
+def test_order_columns_must_identify_a_row(spark):
+    with pytest.raises(ValueError):
+        batches.assign_batches(sequences(spark, [(1, [1]), (1, [2])]), "key")
+
+
 def test_shuffling_depends_on_epoch_and_seed_only(spark):
     df = sequences(spark, [(i, [i, i]) for i in range(100)])
 

@@ -231,7 +231,7 @@ def test_metrics_have_a_fixed_schema(spark, tmp_path):
 
 def test_stages_end_to_end(spark, tmp_path):
     text = "le chat dort et le chien court dans le jardin " * 3
-    pages = "".join(page(f"P{i}", f"{{{{x}}}}{text}{i}", i) for i in range(40))
+    pages = "".join(page(f"P{i % 30}", f"{{{{x}}}}{text}{i % 30}", i) for i in range(40))
     (tmp_path / "dump.xml").write_text(f"<mediawiki>{pages}</mediawiki>")
     at = lambda name: f"{tmp_path}/{name}"
     stages.extract(spark, at("dump.xml"), at("extracted"))
@@ -242,8 +242,8 @@ def test_stages_end_to_end(spark, tmp_path):
     assert stats.collect()[0]["articles"] == 40
     assert sum(row["samples"] for row in shares.collect()) == 40
     train = {row["split"]: row["samples"] for row in shares.collect()}["train"]
-    in_order = stages.training_batches(spark, at("sequences"), "train", "key")
-    shuffled = stages.training_batches(spark, at("sequences"), "train", "key", epoch=2)
+    in_order = stages.training_batches(spark, at("sequences"), "train")
+    shuffled = stages.training_batches(spark, at("sequences"), "train", epoch=2)
     for built in (in_order, shuffled):
         collected = built.collect()
         assert sum(len(row["rows"]) for row in collected) == train
