@@ -53,6 +53,32 @@ def _arrays(spark, sf_dir):
     return path
 
 
+def indented_arrays(spark, sf_dir):
+    """Array files in the indented layout, read in splits; one source is not closed."""
+    fields = F.to_json(F.struct(F.col("doc_id").cast("string").alias("title"), "text"))
+    record = F.concat(F.lit("\n  {\n    "), F.substring(fields, F.lit(2), F.length(fields) - 2), F.lit("\n  }"))
+    grouped = (
+        read_table(spark, sf_dir, "documents")
+        .groupBy(F.col("source").alias("folder"), F.floor(F.col("doc_id") / _FILE_IDS))
+        .agg(F.array_join(F.collect_list(record), ",").alias("records"))
+    )
+    end = F.when(F.col("folder") == "src3", "").otherwise("\n]")
+    path = new_shared_path(spark, "indented")
+    files = grouped.select(F.concat(F.lit("["), "records", end).alias("value"), "folder")
+    files.write.partitionBy("folder").option("maxRecordsPerFile", 1).option("lineSep", " ").text(path)
+    read = articles.read_article_arrays(spark, path, glob="*.txt", indented=True)
+    return read.select(_source().alias("source"), "title", "text")
+
+
+def sequence_arrays(spark, sf_dir):
+    """Id arrays in one JSON array per file."""
+    clipped = corpus.truncate_tokens(sequences(spark, sf_dir))
+    grouped = clipped.groupBy("source", F.floor(F.col("doc_id") / _FILE_IDS)).agg(F.collect_list("tokens").alias("all"))
+    path = new_shared_path(spark, "sequences")
+    grouped.select(F.to_json("all").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return stored.read_sequence_json(spark, path).select(joined("tokens").alias("tokens"))
+
+
 def _source(folder="folder"):
     return F.substring_index(folder, "=", -1)
 
@@ -171,6 +197,8 @@ QUERIES = {
     "jsonl_articles": jsonl_articles,
     "article_arrays_lenient": article_arrays("lenient"),
     "article_arrays_strict": article_arrays("strict"),
+    "article_arrays_indented": indented_arrays,
+    "sequence_arrays": sequence_arrays,
     "load_ledger": load_ledger,
     "strict_ledger": strict_ledger,
     "ledger_totals": ledger_totals,
@@ -185,6 +213,8 @@ _TITLED = "SELECT source, doc_id::VARCHAR AS title, text FROM documents"
 _VAL_SQL = f"SELECT doc_id, tokens[1:512] AS tokens FROM ({SEQUENCES_SQL}) WHERE {SPLIT_SQL} = 'val'"
 
 ORACLES = {
+    "article_arrays_indented": f"{_TITLED} WHERE source <> 'src3'",
+    "sequence_arrays": f"SELECT array_to_string(tokens[1:512], ' ') AS tokens FROM ({SEQUENCES_SQL})",
     "wiki_articles": (
         "SELECT doc_id AS page_id, source || '-' || lang AS title, text || ' <ref>a & b</ref> ' AS text FROM documents"
         " WHERE source NOT IN ('src1', 'src2')"

@@ -20,6 +20,7 @@ MAX_BROADCAST_FILES = 100_000
 
 _STRICT_JSON = {"allowSingleQuotes": "false"}
 _RECORD = "struct<title:string,text:string>"
+_RECORD_END = "\n  }"
 
 
 def relative_file(path: str, file: Column) -> Column:
@@ -78,14 +79,18 @@ def _whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return reader.text(path, wholetext=True).select("value", "_metadata.file_path")
 
 
+def _check_mode(mode: str) -> None:
+    if mode not in ("lenient", "strict"):
+        raise ValueError(f"unknown mode {mode!r}")
+
+
 def scan_arrays(spark: SparkSession, path: str, mode: str = "lenient", glob: str = "*.json") -> DataFrame:
     """Scan the files of a folder tree that match ``glob``, each one JSON array of records.
 
     Lenient: other JSON values hold no articles, records without ``text`` are
     skipped. Strict: both make the file an error. A null text is not an article.
     """
-    if mode not in ("lenient", "strict"):
-        raise ValueError(f"unknown mode {mode!r}")
+    _check_mode(mode)
     value = F.col("value")
     records = F.from_json(value, "array<map<string,string>>", _STRICT_JSON)
     unusual = F.col("records").isNull() | F.exists("records", lambda record: record.isNull())
@@ -122,6 +127,51 @@ def scan_arrays(spark: SparkSession, path: str, mode: str = "lenient", glob: str
     )
 
 
+def scan_indented_arrays(
+    spark: SparkSession, path: str, mode: str = "lenient", glob: str = "*.json"
+) -> DataFrame:
+    """Scan JSON arrays of any size that were written with an indent of two.
+
+    The end of a record is then a line of its own. JSON strings hold no raw line
+    break, so the text source can split files there and one file is read by many
+    tasks. Records must be objects with at least one key. A file that breaks the
+    layout or is not closed is an error.
+    """
+    _check_mode(mode)
+    reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+    chunks = reader.option("lineSep", _RECORD_END).text(path).select("value", "_metadata.file_path")
+    value = F.col("value")
+    opens, closes = value.rlike(r"^(\[|,)\n  \{\n"), value.rlike(r"^(\n\]|\[\])\s*$")
+    text = F.concat(F.substring(value, F.instr(value, "{"), F.length(value)), F.lit(_RECORD_END))
+    error = F.when(~closes & ~(opens & is_one_json_value(text)), INVALID_JSON)
+    if mode == "strict":
+        error = error.when(opens & ~F.map_contains_key("record", "text"), OTHER_ERROR)
+    article = F.try_element_at("record", F.lit("text"))
+    scan = (
+        chunks.withColumn("file", relative_file(path, F.col("file_path")))
+        .withColumn("record", F.when(opens, F.from_json(text, "map<string,string>", _STRICT_JSON)))
+        .select(
+            "file",
+            folder_of(F.col("file")).alias("folder"),
+            F.try_element_at("record", F.lit("title")).alias("title"),
+            article.alias("text"),
+            article.isNotNull().alias("is_article"),
+            (F.coalesce(F.map_contains_key("record", "text"), F.lit(False)) & article.isNull()).alias("null_text"),
+            error.alias("error"),
+            closes.alias("closes"),
+        )
+    )
+    unclosed = scan.groupBy("file", "folder").agg(F.count_if("closes").alias("ends")).filter("ends <> 1")
+    errors = unclosed.select(
+        "file",
+        "folder",
+        F.lit(False).alias("is_article"),
+        F.lit(False).alias("null_text"),
+        F.lit(INVALID_JSON).alias("error"),
+    )
+    return scan.drop("closes").unionByName(errors, allowMissingColumns=True)
+
+
 def accepted(scan: DataFrame) -> DataFrame:
     """Articles of files without an error: ``file, folder, title, text``.
 
@@ -139,9 +189,15 @@ def read_jsonl_articles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_article_arrays(
-    spark: SparkSession, path: str, mode: str = "lenient", glob: str = "*.json"
+    spark: SparkSession, path: str, mode: str = "lenient", glob: str = "*.json", indented: bool = False
 ) -> DataFrame:
-    """Articles of a JSON-array tree; an array scan marks errors per file, so a filter is enough."""
+    """Articles of a JSON-array tree.
+
+    By default a file is one value of one task, with its error beside it.
+    ``indented`` reads files of the indented layout in splits, whatever their size.
+    """
+    if indented:
+        return accepted(scan_indented_arrays(spark, path, mode, glob))
     return (
         scan_arrays(spark, path, mode, glob)
         .filter(F.col("error").isNull() & F.col("is_article"))

@@ -26,6 +26,23 @@ def read_sequences(spark: SparkSession, path: str, split: str | None = None) ->
 
 
 def read_sequence_json(spark: SparkSession, path: str) -> DataFrame:
-    """Sequences of a file that is one JSON array of id arrays, with their position."""
-    value = F.from_json("value", "array<array<int>>")
-    return spark.read.text(path, wholetext=True).select(F.posexplode(value).alias("position", "tokens"))
+    """Sequences of files that are one JSON array of id arrays, of any size.
+
+    Every ``]`` ends one sequence, so the text source splits a file there.
+    ``part``, ``block`` and ``row`` identify a sequence and give its order. Text
+    that is no id array, or a file without its last bracket, is an error.
+    """
+    chunks = spark.read.option("lineSep", "]").text(path)
+    ends = chunks.filter(F.col("value").rlike(r"^\s*\[?\s*$")).groupBy("_metadata.file_path").count()
+    if ends.count() < len(chunks.inputFiles()):
+        raise ValueError(f"a file of {path} is not a closed array")
+    value = F.regexp_replace("value", r"\s", "")
+    # A single bracket is the start of an empty file; a blank is what follows the last sequence.
+    sequence = F.when(value.rlike(r"^(\[|,)\[[\d,]*$"), F.regexp_extract_all(value, F.lit(r"\d+"), F.lit(0)))
+    failed = F.raise_error(F.concat(F.lit("not an array of ids: "), F.left(value, F.lit(80)))).cast("array<string>")
+    return chunks.filter(~value.isin("", "[")).select(
+        F.coalesce(sequence, failed).cast("array<int>").alias("tokens"),
+        F.col("_metadata.file_name").alias("part"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )

@@ -210,11 +210,65 @@ def test_sequence_files(spark, tmp_path):
     df = spark.createDataFrame([("train", [1, 2]), ("val", [])], "split string, tokens array<int>")
     sequences.write_splits(df, f"{tmp_path}/seq")
     assert rows(sequences.read_sequences(spark, f"{tmp_path}/seq", "train"), "tokens") == [([1, 2],)]
-    (tmp_path / "train.json").write_text("[[1, 2, 3], [4]]")
-    assert rows(sequences.read_sequence_json(spark, f"{tmp_path}/train.json"), "position", "tokens") == [
-        (0, [1, 2, 3]),
-        (1, [4]),
-    ]
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Force several splits per file, so that records cross their borders."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(name) for name in names]
+    for name in names:
+        spark.conf.set(name, "64")
+    yield
+    for name, value in zip(names, before):
+        spark.conf.set(name, value)
+
+
+def test_sequence_arrays(spark, tmp_path, small_splits):
+    ids = [list(range(i, 2 * i)) for i in range(40)] + [[]]
+    path = write(tmp_path / "a", {"train.json": json.dumps(ids)})
+    read = sequences.read_sequence_json(spark, path)
+    assert read.rdd.getNumPartitions() > 3
+    assert [row["tokens"] for row in read.orderBy("part", "block", "row").collect()] == ids
+    assert sequences.read_sequence_json(spark, write(tmp_path / "b", {"val.json": "[]\n"})).count() == 0
+    for name, broken in (("c", "[[1, 2], [3"), ("d", "[[1], [2]")):
+        with pytest.raises(ValueError):
+            sequences.read_sequence_json(spark, write(tmp_path / name, {"x.json": broken}))
+    with pytest.raises(Exception, match="not an array of ids"):
+        sequences.read_sequence_json(spark, write(tmp_path / "e", {"x.json": '[["a"], [1]]'})).collect()
+
+
+def indented(records):
+    return json.dumps(records, ensure_ascii=False, indent=2)
+
+
+INDENTED = {
+    "AA/many.json": indented([{"title": f"T{i}", "text": "é { } \n  }\n]" * i, "tags": [{"a": {"b": 1}}]} for i in range(60)]),
+    "AA/empty.json": "[]",
+    "AA/partial.json": indented([{"title": "C"}, {"text": "d"}, {"text": None}]),
+    "BB/cut.json": indented([{"text": "e"}, {"text": "f"}])[:-2],
+    "BB/cut_inside.json": indented([{"text": "g"}, {"text": "h"}])[:-9],
+    "BB/compact.json": '[{"text": "i"}]',
+    "BB/wrong.json": indented([{"text": "j"}]).replace('"j"', "j"),
+}
+
+
+@pytest.mark.parametrize("mode", ["lenient", "strict"])
+def test_indented_arrays_read_in_splits(spark, tmp_path, small_splits, mode):
+    path = write(tmp_path / "cleaned", INDENTED)
+    read = articles.read_article_arrays(spark, path, mode, indented=True)
+    kept = {name: json.loads(INDENTED[name]) for name in ("AA/many.json", "AA/partial.json")}
+    if mode == "strict":
+        del kept["AA/partial.json"]
+    assert rows(read, "file", "text") == sorted(
+        (name, record["text"]) for name, records in kept.items() for record in records if record.get("text") is not None
+    )
+    ledger = articles.load_ledger(articles.scan_indented_arrays(spark, path, mode))
+    errors = {row["file"]: row["error"] for row in ledger.filter("status = 'error'").collect()}
+    expected = dict.fromkeys(name for name in INDENTED if name.startswith("BB/"))
+    assert errors.keys() == expected.keys() | ({"AA/partial.json"} if mode == "strict" else set())
+    assert {error for name, error in errors.items() if name.startswith("BB/")} == {"invalid JSON"}
+    assert ledger.filter("file = 'AA/empty.json'").collect()[0]["n_articles"] == 0
 
 
 def test_metrics_have_a_fixed_schema(spark, tmp_path):
