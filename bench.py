@@ -60,7 +60,7 @@ def main():
         write_splits(corpus.split_corpus(corpus.truncate_tokens(encoded), "doc_id"), made["path"])
 
     def collate():
-        train_rows = batches.filter_short(read_sequences(spark, made["path"], "train"))
+        train_rows = batches.filter_short(read_sequences(spark, made["path"], "train"), count="token_count")
         run(batches.collate(batches.shuffle_rows(train_rows, "doc_id", epoch=0)))
 
     articles = documents.select(F.concat_ws("/", "source", "lang").alias("file"), F.col("source").alias("folder"))

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexmill.functions.cleaning import _col
 from lexmill.functions.sequences import clip, inputs_of, pad_to, targets_of
 from lexmill.functions.tokens import PAD_ID
 from lexmill.session import materialize
@@ -19,9 +18,15 @@ MIN_LENGTH = 2
 _ROW_BITS = 33
 
 
-def filter_short(df: DataFrame, min_length: int = MIN_LENGTH, tokens: str = "tokens") -> DataFrame:
-    """Keep sequences of at least ``min_length`` tokens."""
-    return df.filter(F.size(tokens) >= min_length)
+def filter_short(
+    df: DataFrame, min_length: int = MIN_LENGTH, tokens: str = "tokens", count: str | None = None
+) -> DataFrame:
+    """Keep sequences of at least ``min_length`` tokens.
+
+    With the name of a stored ``count`` column the filter reaches the scan, and a
+    query that needs no tokens does not read them.
+    """
+    return df.filter((F.col(count) if count else F.size(tokens)) >= min_length)
 
 
 def short_counts(df: DataFrame, min_length: int = MIN_LENGTH, tokens: str = "tokens") -> DataFrame:

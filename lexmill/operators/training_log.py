@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexmill.functions.cleaning import _col
 from lexmill.functions.measures import perplexity
 
 ROLLING_WINDOW = 50
@@ -32,9 +31,8 @@ def evaluate(losses: DataFrame, weights: DataFrame) -> DataFrame:
     counts of the batches, see ``target_tokens``.
     """
     joined = losses.join(weights, "batch_id")
-    return joined.agg(_mean_loss().alias("loss"), F.coalesce(F.sum("num_tokens"), F.lit(0)).alias("num_tokens")).withColumn(
-        "perplexity", perplexity("loss")
-    )
+    totals = joined.agg(_mean_loss().alias("loss"), F.coalesce(F.sum("num_tokens"), F.lit(0)).alias("num_tokens"))
+    return totals.withColumn("perplexity", perplexity("loss"))
 
 
 def rolling_loss(df: DataFrame, window: int = ROLLING_WINDOW) -> DataFrame:

@@ -1,7 +1,5 @@
 """All queries and, where SQL can express them, their SQL twins."""
 
-from pyspark.sql import functions as F
-
 from lexmill.functions.cleaning import clean_text
 from lexmill.functions.tokens import words_of
 from lexmill.operators.corpus import corpus_stats, truncate_tokens

@@ -184,7 +184,7 @@ def evaluate(spark, sf_dir):
     built = corpus.split_corpus(corpus.truncate_tokens(sequences(spark, sf_dir)), "doc_id")
     path = new_shared_path(spark, "splits")
     stored.write_splits(built, path)
-    val = batches.filter_short(stored.read_sequences(spark, path, "val"))
+    val = batches.filter_short(stored.read_sequences(spark, path, "val"), count="token_count")
     collated = batches.collate(batches.assign_batches(val, "doc_id"))
     losses = collated.select("batch_id", (F.lit(1.0) + F.col("batch_id") % 7 / 8).alias("loss"))
     return training_log.evaluate(losses, batches.target_tokens(collated)).select(

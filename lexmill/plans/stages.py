@@ -65,7 +65,7 @@ def training_batches(
     spark: SparkSession, sequences: str, split: str, epoch: int | None = None, seed: int = 0
 ) -> DataFrame:
     """Stored sequences to padded batches, in stored order or shuffled for an epoch."""
-    rows = batches.filter_short(read_sequences(spark, sequences, split))
+    rows = batches.filter_short(read_sequences(spark, sequences, split), count="token_count")
     if epoch is None:
         return batches.collate(batches.assign_batches(rows, ["part", "row"]))
     return batches.collate(batches.shuffle_rows(rows, ["part", "row"], epoch, seed))

@@ -21,6 +21,7 @@ MAX_BROADCAST_FILES = 100_000
 _STRICT_JSON = {"allowSingleQuotes": "false"}
 _RECORD = "struct<title:string,text:string>"
 _RECORD_END = "\n  }"
+_END_MARK = "~end of value~"
 
 
 def relative_file(path: str, file: Column) -> Column:
@@ -36,9 +37,14 @@ def folder_of(file: Column) -> Column:
 
 
 def is_one_json_value(value: Column) -> Column:
-    """True if the text is exactly one JSON value, nothing before or after it."""
-    wrapped = F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>", _STRICT_JSON)
-    return F.is_valid_utf8(value) & F.coalesce(F.size(wrapped) == 1, F.lit(False))
+    """True if the text is exactly one JSON value, nothing before or after it.
+
+    The parser ignores what follows a value, so the text is put into an array
+    with an end mark behind it: the array must hold the value and the mark.
+    """
+    marked = F.from_json(F.concat(F.lit("["), value, F.lit(f',"{_END_MARK}"]')), "array<string>", _STRICT_JSON)
+    alone = (F.size(marked) == 2) & (F.try_element_at(marked, F.lit(2)) == _END_MARK)
+    return F.is_valid_utf8(value) & F.coalesce(alone, F.lit(False))
 
 
 def _opening(value: Column) -> Column:

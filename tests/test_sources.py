@@ -83,6 +83,7 @@ ARRAYS = {
     "AA/empty.json": "[]",
     "AA/cut.json": '[{"text": "e"}',
     "AA/twice.json": '[{"text": "e"}] [{"text": "f"}]',
+    "AA/twice_closed.json": '[{"text": "e"}]],[[{"text": "f"}]',
     "AA/object.json": '{"n": 1, "s": "[1]", "items": [1, 2, 3], "more": [1]}',
     "AA/nothing.json": '{"n": 1}',
     "AA/blank_object.json": "{ }",
@@ -112,9 +113,10 @@ def test_arrays_lenient(spark, tmp_path):
         ("AA/quotes.json", "invalid JSON"),
         ("AA/scalars.json", "other"),
         ("AA/twice.json", "invalid JSON"),
+        ("AA/twice_closed.json", "invalid JSON"),
     ]
     assert rows(ledger.filter("null_texts > 0"), "file", "null_texts") == [("AA/partial.json", 1)]
-    assert articles.ledger_totals(ledger).collect()[0]["files"] == len(ARRAYS) - 1 - 4
+    assert articles.ledger_totals(ledger).collect()[0]["files"] == len(ARRAYS) - 1 - 5
 
 
 def test_arrays_strict(spark, tmp_path):
@@ -147,6 +149,7 @@ def test_audit_of_array_files(spark, tmp_path):
         "AA/empty.json": (0, None),
         "AA/cut.json": (None, "invalid JSON"),
         "AA/twice.json": (None, "invalid JSON"),
+        "AA/twice_closed.json": (None, "invalid JSON"),
         "AA/object.json": (3, None),
         "AA/nothing.json": (None, "structure not recognised"),
         "AA/blank_object.json": (None, "structure not recognised"),
@@ -157,10 +160,10 @@ def test_audit_of_array_files(spark, tmp_path):
     totals, folders, ranked = stages.audit_cleaned(spark, path, k=2)
     assert totals.collect()[0].asDict() == {
         "articles": 10,
-        "files": 11,
+        "files": 12,
         "max_articles": 3,
         "min_articles": 0,
-        "mean_articles": 10 / 11,
+        "mean_articles": 10 / 12,
     }
     assert rows(folders, "folder", "articles", "files") == [("AA", 10, 5)]
     assert [row["file"] for row in ranked.collect()] == ["AA/object.json", "AA/partial.json"]
