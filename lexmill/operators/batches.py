@@ -69,14 +69,16 @@ def assign_batches(df: DataFrame, order: str | list[str], size: int = BATCH_SIZE
     sequences do. The last batch may be short.
     """
     order = [order] if isinstance(order, str) else order
-    placed = positions(df, order).withColumnsRenamed({name: f"_key_{name}" for name in order})
+    placed = positions(df, order).withColumnsRenamed(
+        {**{name: f"_key_{name}" for name in order}, "position": "_position"}
+    )
     same = functools.reduce(operator.and_, [F.col(name).eqNullSafe(F.col(f"_key_{name}")) for name in order])
     return (
         df.join(placed, same)
         .drop(*[f"_key_{name}" for name in order])
-        .withColumn("batch_id", F.expr(f"position div {int(size)}"))
-        .withColumn("pos", (F.col("position") % size).cast("int"))
-        .drop("position")
+        .withColumn("batch_id", F.expr(f"_position div {int(size)}"))
+        .withColumn("pos", (F.col("_position") % size).cast("int"))
+        .drop("_position")
     )
 
 
@@ -86,7 +88,8 @@ def shuffle_rows(
     """Batches in an order that is random per epoch and the same on every run."""
     key = [key] if isinstance(key, str) else key
     parts = [F.lit(str(seed)), F.lit(str(epoch)), *[F.col(name).cast("string") for name in key]]
-    return assign_batches(df.withColumn("draw", F.md5(F.concat_ws(":", *parts))), ["draw", *key], size).drop("draw")
+    drawn = df.withColumn("_draw", F.md5(F.concat_ws(":", *parts)))
+    return assign_batches(drawn, ["_draw", *key], size).drop("_draw")
 
 
 def collate(df: DataFrame, tokens: str = "tokens") -> DataFrame:
