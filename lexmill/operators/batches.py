@@ -44,11 +44,9 @@ def positions(keys: DataFrame, order: list[str]) -> DataFrame:
     numbers; each partition then adds the row count of those before it, a table
     of one row per partition.
     """
-    spark = keys.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     numbered = materialize(
         keys.select(*order)
-        .repartitionByRange(parts, *order)
+        .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_row", F.monotonically_increasing_id())
     ).withColumn("_part", F.shiftright("_row", _ROW_BITS))
