@@ -1,11 +1,15 @@
 """The registered queries of this subpackage and, where SQL can express one, its SQL twin."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexmill.llm import sentencepiece_codec
+from lexmill.llm import html_extraction, language_id, sentencepiece_codec, url_filter
+from lexmill.llm.sampling import held_out
 from lexmill.llm.texts import own_columns, table
 
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The rules by which urls are judged first.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +19,31 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_and_check(documents, model).select("doc_id", "ids", "n_ids", "exact")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from the rows that are not held out."""
+    documents = table(spark, sf_dir, "documents")
+    labelled = documents.where(~held_out("doc_id")).select("doc_id", "text", "lang")
+    model = language_id.fit(labelled, key="doc_id", text="text", lang="lang")
+    rows = documents.select("doc_id", held_out("doc_id").alias("held_out"), "text")
+    return language_id.predict(rows, model)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    pages = own_columns(table(spark, sf_dir, "pages"), page_id="page_id", url="url")
+    return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template", F.col("purity"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = own_columns(table(spark, sf_dir, "pages"), page_id="page_id", url="url", html="html")
+    return html_extraction.extract(pages, html_extraction.fit(pages))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_language_id": op2_language_id,
+    "op5_url_filter": op5_url_filter,
+    "op7_html_extraction": op7_html_extraction,
 }
 ORACLES: dict[str, str] = {}
