@@ -265,11 +265,11 @@ def fit(pages: DataFrame, *, key: str = "page_id", source: str = "html", sample_
     if not rows:
         return fit_trees(np.zeros((0, N_FEATURES)), np.zeros(0))
     table = np.array([np.frombuffer(r["row"], np.float32) for r in rows]).astype(np.float64)
-    labels, own, features = table[:, 0], table[:, 1], table[:, 2:]
-    bare = features.copy()
+    labels, own, full = table[:, 0], table[:, 1], table[:, 2:]
+    bare = full.copy()
     bare[:, TAG_FEATURES] = 0
     weights = 0.1 + np.log1p(own)
-    return fit_trees(np.concatenate([features, bare]), np.concatenate([labels, labels]), np.concatenate([2 * weights, weights]))
+    return fit_trees(np.concatenate([full, bare]), np.concatenate([labels, labels]), np.concatenate([2 * weights, weights]))
 
 
 def extract(df: DataFrame, model: Trees, source: str = "html") -> DataFrame:

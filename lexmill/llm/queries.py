@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import html_extraction, language_id, sentencepiece_codec, url_filter
+from lexmill.llm import html_extraction, language_id, sentencepiece_codec, toxicity, url_filter
 from lexmill.llm.sampling import held_out
 from lexmill.llm.texts import own_columns, table
 
@@ -40,10 +40,19 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(pages, html_extraction.fit(pages))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learnt from the labels of rows that are not held out."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id")).select("doc_id", "toxic")
+    index = toxicity.fit(documents, labels)
+    return toxicity.score(documents.select("doc_id", held_out("doc_id").alias("held_out"), "text"), index)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
     "op5_url_filter": op5_url_filter,
     "op7_html_extraction": op7_html_extraction,
+    "op8_toxicity": op8_toxicity,
 }
 ORACLES: dict[str, str] = {}
