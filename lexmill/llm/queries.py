@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import html_extraction, language_id, sentencepiece_codec, toxicity, url_filter
+from lexmill.llm import html_extraction, language_id, quality, sentencepiece_codec, toxicity, url_filter
 from lexmill.llm.sampling import held_out
 from lexmill.llm.texts import own_columns, table
 
@@ -34,6 +34,14 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template", F.col("purity"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document by both views, and whether it is kept."""
+    documents = table(spark, sf_dir, "documents")
+    model = quality.fit(documents, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    rows = documents.select("doc_id", "text", "source", "lang", "n_chars")
+    return quality.score(rows, model).select("doc_id", "score", "content_odds", "metadata_odds", "kept")
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     pages = own_columns(table(spark, sf_dir, "pages"), page_id="page_id", url="url", html="html")
@@ -52,6 +60,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
     "op5_url_filter": op5_url_filter,
+    "op6_quality": op6_quality,
     "op7_html_extraction": op7_html_extraction,
     "op8_toxicity": op8_toxicity,
 }
