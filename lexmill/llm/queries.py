@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import html_extraction, language_id, quality, sentencepiece_codec, toxicity, url_filter
+from lexmill.llm import html_extraction, language_id, quality, sentencepiece_codec, substring_dedup, toxicity, url_filter
 from lexmill.llm.sampling import held_out
 from lexmill.llm.texts import own_columns, table
 
@@ -56,6 +56,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents.select("doc_id", held_out("doc_id").alias("held_out"), "text"), index)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document repeat an earlier one's passage, and the digest of the others."""
+    documents = own_columns(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    return substring_dedup.digest(documents)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
@@ -63,5 +69,6 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_html_extraction": op7_html_extraction,
     "op8_toxicity": op8_toxicity,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
