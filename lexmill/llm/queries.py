@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import html_extraction, language_id, quality, sentencepiece_codec, substring_dedup, toxicity, url_filter
+from lexmill.llm import html_extraction, language_id, minhash_dedup, quality, sentencepiece_codec, substring_dedup, toxicity, url_filter
 from lexmill.llm.sampling import held_out
 from lexmill.llm.texts import own_columns, table
 
@@ -28,6 +28,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(rows, model)
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document by its 4-word shingles."""
+    documents = own_columns(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    return minhash_dedup.near_duplicates(documents, size=4, similarity=0.8)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's url."""
     pages = own_columns(table(spark, sf_dir, "pages"), page_id="page_id", url="url")
@@ -65,6 +71,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_quality": op6_quality,
     "op7_html_extraction": op7_html_extraction,
