@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import html_extraction, language_id, minhash_dedup, quality, sentencepiece_codec, substring_dedup, toxicity, url_filter
+from lexmill.llm import embedding_dedup, html_extraction, language_id, minhash_dedup, quality, sentencepiece_codec, substring_dedup, toxicity, url_filter
 from lexmill.llm.sampling import held_out
 from lexmill.llm.texts import own_columns, table
 
@@ -68,6 +68,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(documents)
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links and the component of every embedding."""
+    embeddings = own_columns(table(spark, sf_dir, "embeddings"), vec_id="vec_id", embedding="embedding")
+    return embedding_dedup.linked(embeddings, cosine=0.9)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
@@ -77,5 +83,6 @@ QUERIES = {
     "op7_html_extraction": op7_html_extraction,
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 ORACLES: dict[str, str] = {}
