@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import embedding_dedup, html_extraction, language_id, minhash_dedup, quality, sentencepiece_codec, substring_dedup, toxicity, url_filter
+from lexmill.llm import decontamination, embedding_dedup, html_extraction, language_id, minhash_dedup, quality, sentencepiece_codec, substring_dedup, toxicity, url_filter
 from lexmill.llm.sampling import held_out
 from lexmill.llm.texts import own_columns, table
 
@@ -28,6 +28,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(rows, model)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold benchmark items, with the items."""
+    documents = own_columns(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    items = own_columns(table(spark, sf_dir, "benchmark"), item_id="item_id", text="text")
+    return decontamination.matches(documents, items)
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document by its 4-word shingles."""
     documents = own_columns(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
@@ -77,6 +84,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
+    "op3_decontamination": op3_decontamination,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_quality": op6_quality,
