@@ -171,8 +171,11 @@ def verified(pairs: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(at, CHUNK)
-                x, y = (unit_rows(part.column(c).to_pylist()) for c in ("x", "y"))
-                good = np.einsum("ij,ij->i", x, y) >= cosine
+                x, y = (part.column(c).to_pylist() for c in ("x", "y"))
+                good, sizes = np.zeros(len(x), bool), np.array([len(v) for v in x])
+                for size in np.unique(sizes):
+                    own = np.flatnonzero(sizes == size)
+                    good[own] = np.einsum("ij,ij->i", unit_rows([x[i] for i in own]), unit_rows([y[i] for i in own])) >= cosine
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(good))
 
     left = nodes.select(F.col("node").alias("a"), F.col("vector").alias("x"))

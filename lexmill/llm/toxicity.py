@@ -167,7 +167,7 @@ def isotonic(raw: np.ndarray, label: np.ndarray, mass: np.ndarray) -> tuple[np.n
     return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 3_000, max_terms: int = 1_024, near: int = 15) -> Index:
+def fit(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 3_000, max_terms: int = 512, near: int = 15) -> Index:
     """Fit on at most ``per_class`` labelled texts of each class; ``documents`` are all texts, ``labels`` only those to learn from."""
     found = sample_ids(labels, key, label, (0, 1), per_class)
     totals = {r[0]: r[1] for r in labels.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
@@ -193,8 +193,10 @@ def fit(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: s
     gap = (a - b) * (a - b) / F.greatest(mean * (1 - mean), F.lit(1e-9))
     counted = sample.mapInArrow(by_label, "term long, label int, n long") if found else documents.sparkSession.createDataFrame([], "term long, label int, n long")
     ranked = counted.groupBy("term").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
-    # Only terms whose dependence is beyond chance: chi-square over 15 with one degree of freedom.
-    chosen = ranked.withColumn("gap", gap).where((F.col("a") + F.col("b") >= 3) & (F.col("gap") * (size[0] * size[1] / max(size[0] + size[1], 1)) > 15)).orderBy(F.desc("gap"), "term").limit(max_terms).collect()
+    # Only terms whose dependence is beyond chance (chi-square over 20) and strong (8 times as frequent in one class).
+    lift = ((F.col("a") + 0.5) / (size[1] + 1)) / ((F.col("b") + 0.5) / (size[0] + 1))
+    strong = (F.col("gap") * (size[0] * size[1] / max(size[0] + size[1], 1)) > 20) & (F.greatest(lift, 1 / lift) >= 8)
+    chosen = ranked.withColumn("gap", gap).where((F.col("a") + F.col("b") >= 3) & strong).orderBy(F.desc("gap"), "term").limit(max_terms).collect()
     terms = np.sort(np.array([r["term"] for r in chosen], np.int64).view(np.uint64))
     shared = documents.sparkSession.sparkContext.broadcast(terms)
 
