@@ -1,5 +1,6 @@
 """Article cleaning as Column expressions; everything stays in the JVM."""
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +37,42 @@ def strip_templates(col) -> Column:
     return F.regexp_replace(_col(col), TEMPLATE_PATTERN, "")
 
 
+def without_templates(text: str) -> str:
+    """A text without balanced ``{{...}}``, however deep and over lines; an opening without an end stays."""
+    opened: list[int] = []
+    spans: list[tuple[int, int]] = []
+    at = 0
+    while True:
+        begin, end = text.find("{{", at), text.find("}}", at)
+        if end < 0 and begin < 0:
+            break
+        if 0 <= begin and (end < 0 or begin < end):
+            opened.append(begin)
+            at = begin + 2
+        else:
+            at = end + 2
+            if opened:
+                start = opened.pop()
+                while spans and spans[-1][0] > start:
+                    spans.pop()
+                spans.append((start, at))
+    kept, at = [], 0
+    for start, end in spans:
+        kept.append(text[at:start])
+        at = end
+    return "".join([*kept, text[at:]])
+
+
+def strip_nested_templates(col) -> Column:
+    """Like ``strip_templates`` for whole dumps: built-ins cannot match nested brackets."""
+
+    @F.arrow_udf("string")
+    def strip(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else without_templates(t) if "{{" in t else t for t in texts.to_pylist()], pa.string())
+
+    return strip(_col(col))
+
+
 def strip_categories(col) -> Column:
     return F.regexp_replace(_col(col), CATEGORY_PATTERN, "")
 

@@ -23,7 +23,7 @@ def hms(col) -> Column:
 def remaining_seconds(elapsed, done, total) -> Column:
     """Time left if the remaining items take as long as those done so far.
 
-    One item is too few to estimate a total, which then counts as zero.
+    One item is too few to estimate a total: nothing is left to show then.
     """
     elapsed, done, total = _col(elapsed), _col(done), _col(total)
-    return F.when(done > 1, elapsed / done * total).otherwise(F.lit(0.0)) - elapsed
+    return F.when(done > 1, elapsed / done * total - elapsed).otherwise(F.lit(0.0))

@@ -1,8 +1,5 @@
 """Ordered batches of token sequences."""
 
-import functools
-import operator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,28 +32,33 @@ def short_counts(df: DataFrame, min_length: int = MIN_LENGTH, tokens: str = "tok
     return df.agg(kept.alias("kept"), (F.count(F.lit(1)) - kept).alias("dropped"))
 
 
-def positions(keys: DataFrame, order: list[str]) -> DataFrame:
-    """The 0-based global position of every row, without a one-task window.
+def numbered(df: DataFrame, order: list[str], name: str = "position", unique: bool = False) -> DataFrame:
+    """Add the 0-based global position of every row, without a one-task window.
 
-    The order columns must identify a row; that is checked. Only they are
-    range-partitioned and sorted; Spark samples the ranges, so a frequent leading value is split by the
-    columns after it. The sorted keys are checkpointed, which fixes the row
-    numbers; each partition then adds the row count of those before it, a table
-    of one row per partition.
+    The rows are range-partitioned and sorted once, with all their columns; Spark
+    samples the ranges, so a frequent leading value is split by the columns after
+    it. They are checkpointed, which fixes the row numbers; each partition then
+    adds the row count of those before it, a table of one row per partition.
+    With ``unique`` the order columns must identify a row: equal keys are
+    neighbours in the sorted partition, so that check needs no shuffle either.
     """
-    numbered = materialize(
-        keys.select(*order)
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_row", F.monotonically_increasing_id())
+    ranged = df.repartitionByRange(*order)
+    if unique:
+        ranged = ranged.withColumn("_same", F.count(F.lit(1)).over(W.partitionBy(*order)))
+    sorted_rows = materialize(
+        ranged.sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
     ).withColumn("_part", F.shiftright("_row", _ROW_BITS))
-    if not numbered.groupBy(*order).count().filter("count > 1").isEmpty():
-        raise ValueError(f"several rows have the same {', '.join(order)}")
+    if unique:
+        if not sorted_rows.filter("_same > 1").isEmpty():
+            raise ValueError(f"several rows have the same {', '.join(order)}")
+        sorted_rows = sorted_rows.drop("_same")
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    sizes = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = sorted_rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    return numbered.join(F.broadcast(offsets), "_part").select(
-        *order, (F.col("_offset") + F.col("_row").bitwiseAND((1 << _ROW_BITS) - 1)).alias("position")
+    return (
+        sorted_rows.join(F.broadcast(offsets), "_part")
+        .withColumn(name, F.col("_offset") + F.col("_row").bitwiseAND((1 << _ROW_BITS) - 1))
+        .drop("_part", "_row", "_offset")
     )
 
 
@@ -67,13 +69,8 @@ def assign_batches(df: DataFrame, order: str | list[str], size: int = BATCH_SIZE
     sequences do. The last batch may be short.
     """
     order = [order] if isinstance(order, str) else order
-    placed = positions(df, order).withColumnsRenamed(
-        {**{name: f"_key_{name}" for name in order}, "position": "_position"}
-    )
-    same = functools.reduce(operator.and_, [F.col(name).eqNullSafe(F.col(f"_key_{name}")) for name in order])
     return (
-        df.join(placed, same)
-        .drop(*[f"_key_{name}" for name in order])
+        numbered(df, order, "_position", unique=True)
         .withColumn("batch_id", F.expr(f"_position div {int(size)}"))
         .withColumn("pos", (F.col("_position") % size).cast("int"))
         .drop("_position")
@@ -123,20 +120,23 @@ def shift_pairs(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     )
 
 
-def target_tokens(batches: DataFrame, include_padding: bool = True) -> DataFrame:
+def target_tokens(batches: DataFrame) -> DataFrame:
     """Target positions per collated batch, the weight of its loss.
 
-    With padding every row counts width - 1; without it only the ids up to the
-    last one that is not padding do.
+    ``num_tokens`` counts width - 1 for every row; ``real_tokens`` only the ids up
+    to the last one that is not padding.
     """
 
     def real(row: Column) -> Column:
         ids = F.transform(row, lambda token, at: F.when(token != PAD_ID, at))
         return F.coalesce(F.array_max(ids), F.lit(0))
 
-    counted = F.transform("rows", lambda row: F.size(row) - 1 if include_padding else real(row))
-    total = F.aggregate(counted, F.lit(0), lambda total, n: total + n)
-    return batches.filter(F.col("width") >= MIN_LENGTH).select("batch_id", total.cast("bigint").alias("num_tokens"))
+    def total(count) -> Column:
+        return F.aggregate(F.transform("rows", count), F.lit(0), lambda total, n: total + n).cast("bigint")
+
+    return batches.filter(F.col("width") >= MIN_LENGTH).select(
+        "batch_id", total(lambda row: F.size(row) - 1).alias("num_tokens"), total(real).alias("real_tokens")
+    )
 
 
 def dataset_summary(df: DataFrame, size: int = BATCH_SIZE) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.functions.measures import perplexity
+from lexmill.operators.batches import numbered
 
 ROLLING_WINDOW = 50
 _BLOCK_STEPS = 65_536
@@ -24,33 +25,38 @@ def weighted_loss(df: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def evaluate(losses: DataFrame, weights: DataFrame) -> DataFrame:
+def evaluate(losses: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """Loss and perplexity of an evaluation from one loss per batch.
 
     ``losses(batch_id, loss)`` come from any model; ``weights`` are the target
-    counts of the batches, see ``target_tokens``.
+    counts of the batches, see ``target_tokens``. Without them the losses have
+    ``num_tokens`` beside them.
     """
-    joined = losses.join(weights, "batch_id")
+    joined = losses if weights is None else losses.join(weights, "batch_id")
     totals = joined.agg(_mean_loss().alias("loss"), F.coalesce(F.sum("num_tokens"), F.lit(0)).alias("num_tokens"))
     return totals.withColumn("perplexity", perplexity("loss"))
 
 
 def rolling_loss(df: DataFrame, window: int = ROLLING_WINDOW) -> DataFrame:
-    """Add the mean loss over the last ``window`` steps of the same epoch.
+    """Add the mean over the last ``window`` recorded losses of the same epoch, and its perplexity.
 
-    An epoch is cut into blocks of steps, and the last steps of a block are also
-    sent to the next one as context, so no task has to hold a whole epoch.
+    Rows count, not step numbers: gaps do not shorten the window, and a repeated
+    step is a record of its own (in the order of its loss). An epoch is cut into
+    blocks of positions, and the last rows of a block are also sent to the next
+    one as context, so no task has to hold a whole epoch.
     """
     size = max(_BLOCK_STEPS, window)
-    block = F.floor(F.col("step") / size)
-    tail = F.col("step") % size > size - window
+    placed = numbered(df, ["epoch", "step", "loss"], "_position")
+    block = F.floor(F.col("_position") / size)
+    tail = F.col("_position") % size > size - window
     copies = F.when(tail, F.array(block, block + 1)).otherwise(F.array(block))
-    frame = W.partitionBy("epoch", "_block").orderBy("step").rangeBetween(-(window - 1), 0)
+    frame = W.partitionBy("epoch", "_block").orderBy("_position").rowsBetween(-(window - 1), 0)
     return (
-        df.withColumn("_block", F.explode(copies))
+        placed.withColumn("_block", F.explode(copies))
         .withColumn("rolling_loss", F.avg("loss").over(frame))
         .filter(F.col("_block") == block)
-        .drop("_block")
+        .withColumn("rolling_perplexity", perplexity("rolling_loss"))
+        .drop("_block", "_position")
     )
 
 
@@ -89,8 +95,8 @@ def epoch_summary(steps: DataFrame, evals: DataFrame) -> DataFrame:
 
 
 def best_epoch(epochs: DataFrame) -> DataFrame:
-    """The row with the lowest validation loss, the earliest on ties."""
-    return epochs.orderBy("val_loss", "epoch").limit(1)
+    """The row with the lowest validation loss, the earliest on ties; an epoch without one is never better."""
+    return epochs.orderBy(F.asc_nulls_last("val_loss"), "epoch").limit(1)
 
 
 def loss_curves(epochs: DataFrame) -> DataFrame:
@@ -106,26 +112,43 @@ def loss_curves(epochs: DataFrame) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """Equal-width counts of a numeric or numeric-array column.
+    """Equal-width counts of a numeric or numeric-array column: ``kind, bin, low, high, cnt``.
 
-    The range comes from one narrow pass as a scalar subquery; counting is
-    combined within tasks. The maximum belongs to the last bin.
+    The range comes from the finite values, in one narrow pass as a scalar
+    subquery; counting is combined within tasks. The maximum belongs to the last
+    bin. NaN and the infinities are counted by themselves, by ``kind``.
     """
+
+    def bounds(value: Column) -> Column:
+        number = value.cast("double")
+        return F.when(F.abs(number) < float("inf"), number)
+
     is_array = df.schema[column].dataType.typeName() == "array"
-    smallest, largest = (F.array_min(column), F.array_max(column)) if is_array else (F.col(column),) * 2
-    low = df.agg(F.min(smallest).cast("double")).scalar()
-    high = df.agg(F.max(largest).cast("double")).scalar()
-    values = df.select(
-        (F.explode(column) if is_array else F.col(column)).alias("value")
-    ).filter(F.col("value").isNotNull())
+    if is_array:
+        finite = F.filter(F.transform(column, bounds), lambda value: value.isNotNull())
+        smallest, largest = F.array_min(finite), F.array_max(finite)
+    else:
+        smallest = largest = bounds(F.col(column))
+    low = df.agg(F.min(smallest)).scalar()
+    high = df.agg(F.max(largest)).scalar()
+    values = df.select((F.explode(column) if is_array else F.col(column)).alias("value"))
+    values = values.select(F.col("value").cast("double")).filter(F.col("value").isNotNull())
+    value = F.col("value")
+    kind = (
+        F.when(F.isnan(value), "nan")
+        .when(value == float("inf"), "inf")
+        .when(value == float("-inf"), "-inf")
+        .otherwise("finite")
+    )
     placed = values.select(
-        F.least(
-            F.greatest(F.width_bucket(F.col("value").cast("double"), low, high, F.lit(bins)), F.lit(1)),
-            F.lit(bins),
-        ).alias("bin")
+        kind.alias("kind"),
+        F.when(
+            kind == "finite",
+            F.least(F.greatest(F.width_bucket(value, low, high, F.lit(bins)), F.lit(1)), F.lit(bins)),
+        ).alias("bin"),
     )
-    counted = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("cnt"))
+    counted = placed.groupBy("kind", "bin").agg(F.count(F.lit(1)).alias("cnt"))
     step = (high - low) / bins
     return counted.select(
-        "bin", (low + (F.col("bin") - 1) * step).alias("low"), (low + F.col("bin") * step).alias("high"), "cnt"
+        "kind", "bin", (low + (F.col("bin") - 1) * step).alias("low"), (low + F.col("bin") * step).alias("high"), "cnt"
     )

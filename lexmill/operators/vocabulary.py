@@ -42,8 +42,12 @@ def init_vocab(words: DataFrame) -> DataFrame:
 
 
 def adjacent_pairs(col) -> Column:
-    """All overlapping two-symbol strings of a word."""
-    return F.regexp_extract_all(_col(col), F.lit("(?s)(?=(..))"), F.lit(1))
+    """All overlapping two-symbol strings of a word; symbols may lie beyond U+FFFF, which regular expressions split."""
+    symbols = F.split(_col(col), "")
+    return F.transform(
+        F.slice(symbols, 1, F.greatest(F.size(symbols) - 1, F.lit(0))),
+        lambda symbol, at: F.concat(symbol, F.get(symbols, at + 1)),
+    )
 
 
 def pair_counts(words: DataFrame) -> DataFrame:

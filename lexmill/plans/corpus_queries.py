@@ -40,15 +40,14 @@ def split_shares(spark, sf_dir):
 
 
 def _short(spark, sf_dir):
-    """Batches by language; the sequences of one language have one id."""
-    tokens = F.when(F.col("lang") == "en", F.slice("tokens", 1, 1)).otherwise(F.slice("tokens", 1, 512))
-    return batches.assign_batches(sequences(spark, sf_dir).withColumn("tokens", tokens), ["lang", "doc_id"])
+    """Batches by language of the truncated sequences; the first ones hold only short sequences."""
+    return batches.assign_batches(corpus.truncate_tokens(sequences(spark, sf_dir)), ["lang", "doc_id"])
 
 
 _SHORT_SQL = (
     "SELECT *, (row_number() OVER (ORDER BY lang, doc_id) - 1) // 8 AS batch_id,"
     " (row_number() OVER (ORDER BY lang, doc_id) - 1) % 8 AS pos FROM (SELECT doc_id, lang,"
-    f" CASE WHEN lang = 'en' THEN tokens[1:1] ELSE tokens[1:512] END AS tokens FROM ({SEQUENCES_SQL}))"
+    f" tokens[1:512] AS tokens FROM ({SEQUENCES_SQL}))"
 )
 # Padding in SQL: valid rows get zeros up to the widest row of their batch.
 _COLLATED_SQL = (
@@ -99,18 +98,23 @@ def shuffle_rows(spark, sf_dir):
     return _assigned(batches.shuffle_rows(documents, "doc_id", epoch=1, seed=7))
 
 
-def filter_short(spark, sf_dir):
-    turns = read_table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", F.slice(word_ids("text"), 1, F.col("turn").cast("int")).alias("tokens")
+def _turns(spark, sf_dir):
+    """Ids of whole turns, and beside them turns without an id and with one."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", word_ids("text").alias("tokens"))
+    added = spark.range(6).select(
+        F.lit(-1).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.slice(F.array(F.lit(8), F.lit(9)), 1, (F.col("id") % 3).cast("int")).alias("tokens"),
     )
-    return batches.filter_short(turns).select("conv_id", "turn", joined("tokens").alias("tokens"))
+    return turns.unionByName(added)
+
+
+def filter_short(spark, sf_dir):
+    return batches.filter_short(_turns(spark, sf_dir)).select("conv_id", "turn", joined("tokens").alias("tokens"))
 
 
 def short_counts(spark, sf_dir):
-    turns = read_table(spark, sf_dir, "conversations").select(
-        F.slice(word_ids("text"), 1, F.col("turn").cast("int")).alias("tokens")
-    )
-    return batches.short_counts(turns)
+    return batches.short_counts(_turns(spark, sf_dir))
 
 
 def pad_min_rows(spark, sf_dir):
@@ -130,11 +134,7 @@ def preview(spark, sf_dir):
 
 
 def target_tokens(spark, sf_dir):
-    collated = batches.collate(_short(spark, sf_dir))
-    weights = batches.target_tokens(collated).join(
-        batches.target_tokens(collated, include_padding=False).withColumnRenamed("num_tokens", "real_tokens"), "batch_id"
-    )
-    return weights
+    return batches.target_tokens(batches.collate(_short(spark, sf_dir)))
 
 
 # Audit. A file is one source and language; the files of one language failed.
@@ -201,7 +201,9 @@ QUERIES = {
 }
 
 _TURNS_SQL = f"SELECT conv_id, turn, {word_ids_sql('text')} AS tokens FROM conversations"
-_CLIPPED_TURNS_SQL = f"SELECT conv_id, turn, tokens[1:turn] AS tokens FROM ({_TURNS_SQL})"
+_ALL_TURNS_SQL = (
+    f"{_TURNS_SQL} UNION ALL SELECT -1, i, ([8, 9]::INT[])[1:i % 3] FROM (SELECT unnest(range(6))::BIGINT AS i)"
+)
 
 ORACLES = {
     "truncate_tokens": (
@@ -219,11 +221,11 @@ ORACLES = {
         f" FROM ({_BUILT_SQL}) GROUP BY split"
     ),
     "filter_short": (
-        f"SELECT conv_id, turn, array_to_string(tokens, ' ') AS tokens FROM ({_CLIPPED_TURNS_SQL}) WHERE len(tokens) >= 2"
+        f"SELECT conv_id, turn, array_to_string(tokens, ' ') AS tokens FROM ({_ALL_TURNS_SQL}) WHERE len(tokens) >= 2"
     ),
     "short_counts": (
         "SELECT count(*) FILTER (len(tokens) >= 2) AS kept, count(*) FILTER (len(tokens) < 2) AS dropped"
-        f" FROM ({_CLIPPED_TURNS_SQL})"
+        f" FROM ({_ALL_TURNS_SQL})"
     ),
     "pad_min": (
         "SELECT conv_id, turn, array_to_string(CASE WHEN len(tokens) < 64 THEN list_resize(tokens, 64, 0) ELSE tokens END,"

@@ -1,13 +1,16 @@
 """Queries that write the given tables as files and read them back.
 
-All files go below the session's shared folder. Some sources are written broken,
-so that the rejection of whole files shows in the results.
+All files go below the session's shared folder. All given rows are written whole;
+files with faults stand beside them, so that the rejection of files shows in the results.
 """
 
+import functools
+
 from pyspark.sql import functions as F
 
+from lexmill.functions.cleaning import strip_nested_templates
 from lexmill.operators import batches, corpus, training_log
-from lexmill.plans.inputs import SEQUENCES_SQL, SPLIT_SQL, joined, sequences
+from lexmill.plans.inputs import SEQUENCES_SQL, SPLIT_SQL, char_sql, joined, sequences
 from lexmill.session import new_shared_path
 from lexmill.sources import articles, metrics, sequences as stored, wiki_dump
 from lexmill.sources.tables import read_table
@@ -16,55 +19,67 @@ from lexmill.sources.tables import read_table
 _FILE_IDS = 1_000
 
 
+def _record():
+    return F.to_json(F.struct(F.col("doc_id").cast("string").alias("title"), "text"))
+
+
 def _jsonl(spark, sf_dir):
-    """JSON lines in one folder per source; one source has a broken line in every file."""
+    """JSON lines in one folder per source; beside them a folder of broken files, each with a good first line."""
+    table = read_table(spark, sf_dir, "documents")
     record = F.to_json(F.struct(F.col("doc_id").cast("string").alias("title"), "text", "lang"))
-    lines = F.when(F.col("source") == "src7", F.concat(record, F.lit('\n{"title": '))).otherwise(
-        F.concat(record, F.lit("\n  "))
-    )
+    given = table.select(F.concat(record, F.lit("\n  ")).alias("value"), F.col("source").alias("folder"))
+    good = F.lit('{"title": "x", "text": "y"}\n')
+    broken = [("cut", '{"title": '), ("list", '["a"]'), ("number", '{"title": "a", "text": 5}')]
+    added = [spark.range(1).select(F.concat(good, F.lit(line)).alias("value"), F.lit(name).alias("folder")) for name, line in broken]
     path = new_shared_path(spark, "extracted")
-    table = read_table(spark, sf_dir, "documents").select(lines.alias("value"), F.col("source").alias("folder"))
-    table.write.partitionBy("folder").text(path)
+    functools.reduce(lambda a, b: a.unionByName(b), [given, *added]).write.partitionBy("folder").text(path)
     return path
 
 
-def _arrays(spark, sf_dir):
-    """Array files, one folder per source: one source cut short, one not an array,
-    one with records that lack a text."""
-    no_text = (F.col("source") == "src8") & (F.col("lang") != "fr")
-    record = F.when(no_text, F.to_json(F.struct(F.col("doc_id").cast("string").alias("title")))).otherwise(
-        F.to_json(F.struct(F.col("doc_id").cast("string").alias("title"), "text"))
-    )
-    grouped = (
+def _array_files(spark, sf_dir, record, separator):
+    """One row per file: the records of one source in a range of ids."""
+    return (
         read_table(spark, sf_dir, "documents")
-        .groupBy("source", F.floor(F.col("doc_id") / _FILE_IDS))
-        .agg(F.array_join(F.collect_list(record), ",\n").alias("records"))
+        .groupBy(F.col("source").alias("folder"), F.floor(F.col("doc_id") / _FILE_IDS))
+        .agg(F.array_join(F.collect_list(record), separator).alias("records"))
     )
-    value = (
-        F.when(F.col("source") == "src3", F.concat(F.lit("["), "records"))
-        .when(F.col("source") == "src5", F.concat(F.lit('{"v": 1, "articles": ['), "records", F.lit("]}")))
-        .when(F.col("source") == "src6", F.lit('{"articles": "none"}'))
-        .otherwise(F.concat(F.lit("["), "records", F.lit("]")))
+
+
+def _arrays(spark, sf_dir):
+    """Array files, one folder per source. Beside them: one cut short, objects with and without a list,
+    one whose records lack a text, one with a scalar, one that says its text twice, and one of zero bytes."""
+    given = _array_files(spark, sf_dir, _record(), ",\n").select(
+        F.concat(F.lit("["), "records", F.lit("]")).alias("value"), "folder"
+    )
+    added = spark.createDataFrame(
+        [
+            ('[{"title": "c", "text": "x"}', "cut"),
+            ('{"v": 1, "articles": [{"title": "o", "text": "x"}]}', "object"),
+            ('{"articles": "none"}', "none"),
+            ('[{"title": "l"}, {"title": "m", "text": "kept"}]', "lacking"),
+            ('["abc", {"title": "s", "text": "beside a scalar"}]', "scalar"),
+        ],
+        "value string, folder string",
     )
     path = new_shared_path(spark, "cleaned")
-    files = grouped.select(value.alias("value"), F.col("source").alias("folder"))
     # One row per file: an array file is one JSON value.
+    files = given.unionByName(added)
     files.write.partitionBy("folder").option("maxRecordsPerFile", 1).text(path)
+    # A text file of no lines has zero bytes.
+    spark.range(0).select(F.lit("").alias("value")).coalesce(1).write.text(f"{path}/folder=zero")
     return path
 
 
 def indented_arrays(spark, sf_dir):
-    """Array files in the indented layout, read in splits; one source is not closed."""
-    fields = F.to_json(F.struct(F.col("doc_id").cast("string").alias("title"), "text"))
+    """Array files in the indented layout, read in splits; beside them one that is not closed."""
+    fields = _record()
     record = F.concat(F.lit("\n  {\n    "), F.substring(fields, F.lit(2), F.length(fields) - 2), F.lit("\n  }"))
-    grouped = (
-        read_table(spark, sf_dir, "documents")
-        .groupBy(F.col("source").alias("folder"), F.floor(F.col("doc_id") / _FILE_IDS))
-        .agg(F.array_join(F.collect_list(record), ",").alias("records"))
+    given = _array_files(spark, sf_dir, record, ",").select(
+        F.concat(F.lit("["), "records", F.lit("\n]")).alias("value"), "folder"
     )
-    end = F.when(F.col("folder") == "src3", "").otherwise("\n]")
+    added = spark.createDataFrame([('[\n  {\n    "title": "c", "text": "x"\n  }', "open")], "value string, folder string")
     path = new_shared_path(spark, "indented")
-    files = grouped.select(F.concat(F.lit("["), "records", end).alias("value"), "folder")
+    files = given.unionByName(added)
     files.write.partitionBy("folder").option("maxRecordsPerFile", 1).option("lineSep", " ").text(path)
     read = articles.read_article_arrays(spark, path, glob="*.txt", indented=True)
     return read.select(_source().alias("source"), "title", "text")
@@ -132,7 +147,7 @@ def split_sink(spark, sf_dir):
     path = new_shared_path(spark, "splits")
     built = corpus.split_corpus(corpus.truncate_tokens(sequences(spark, sf_dir)), "doc_id")
     stored.write_splits(built, path)
-    return stored.read_sequences(spark, path, "val").select("doc_id", joined("tokens").alias("tokens"))
+    return stored.read_sequences(spark, path).select("doc_id", "split", joined("tokens").alias("tokens"))
 
 
 def stored_metrics(spark, sf_dir):
@@ -158,25 +173,45 @@ def _escaped(text):
     return text
 
 
-def wiki_articles(spark, sf_dir):
-    """A bz2 dump of the documents; one source is in another namespace, one redirects."""
-    page = F.concat(
-        F.lit("  <page>\n    <title>"),
-        F.concat_ws("-", "source", "lang"),
-        F.lit("</title>\n    <ns>"),
-        F.when(F.col("source") == "src2", "14").otherwise("0"),
-        F.lit("</ns>\n    <id>"),
-        F.col("doc_id").cast("string"),
-        F.lit("</id>\n"),
-        F.when(F.col("source") == "src1", '    <redirect title="x" />\n').otherwise(""),
-        F.lit("    <revision>\n      <id>1</id>\n      <text bytes=\"1\" xml:space=\"preserve\">"),
-        _escaped(F.concat("text", F.lit(" <ref>a & b</ref> "))),
-        F.lit("</text>\n    </revision>\n  </page>"),
-    )
+_NESTED = "{{Infobox\n| a = {{b|{{c}}}}\n}}"
+
+
+def _dump(spark, sf_dir):
+    """A bz2 dump of the documents, with nested templates; beside them a page of another namespace, a redirect and a broken page."""
+
+    def page(title, ns, number, redirect, text, end="</text>\n    </revision>\n  </page>"):
+        return F.concat(
+            F.lit("  <page>\n    <title>"), title, F.lit(f"</title>\n    <ns>{ns}</ns>\n    <id>"), number.cast("string"),
+            F.lit(f'</id>\n{redirect}    <revision>\n      <id>1</id>\n      <text bytes="1" xml:space="preserve">'),
+            _escaped(text), F.lit(end),
+        ).alias("value")
+
+    text = F.concat(F.lit(_NESTED), "text", F.lit(" <ref>a & b</ref> {{open "))
+    given = read_table(spark, sf_dir, "documents").select(page(F.concat_ws("-", "source", "lang"), 0, F.col("doc_id"), "", text))
+    one = spark.range(1)
+    added = [
+        one.select(page(F.lit("Aide"), 14, F.lit(-1), "", F.lit("x"))),
+        one.select(page(F.lit("Vers"), 0, F.lit(-2), '    <redirect title="x" />\n', F.lit("x"))),
+        one.select(page(F.lit("Faux"), 0, F.lit(-3), "", F.lit("x"), "</txt>\n    </revision>\n  </page>")),
+    ]
     path = new_shared_path(spark, "raw")
-    dump = read_table(spark, sf_dir, "documents").select(page.alias("value"))
-    dump.write.option("compression", "bzip2").text(path)
-    return wiki_dump.read_wiki_dump(spark, path).select("page_id", "title", "text")
+    pages = functools.reduce(lambda a, b: a.unionByName(b), [given, *added])
+    pages.write.option("compression", "bzip2").text(path)
+    return path
+
+
+def wiki_articles(spark, sf_dir):
+    return wiki_dump.read_wiki_dump(spark, _dump(spark, sf_dir)).select("page_id", "title", "text")
+
+
+def wiki_plain(spark, sf_dir):
+    """Article texts without templates, nested ones and those of several lines too."""
+    pages = wiki_dump.read_wiki_dump(spark, _dump(spark, sf_dir))
+    return pages.select("page_id", strip_nested_templates("text").alias("text"))
+
+
+def wiki_ledger(spark, sf_dir):
+    return wiki_dump.dump_ledger(wiki_dump.scan_wiki_dump(spark, _dump(spark, sf_dir)))
 
 
 def evaluate(spark, sf_dir):
@@ -186,14 +221,17 @@ def evaluate(spark, sf_dir):
     stored.write_splits(built, path)
     val = batches.filter_short(stored.read_sequences(spark, path, "val"), count="token_count")
     collated = batches.collate(batches.assign_batches(val, "doc_id"))
-    losses = collated.select("batch_id", (F.lit(1.0) + F.col("batch_id") % 7 / 8).alias("loss"))
-    return training_log.evaluate(losses, batches.target_tokens(collated)).select(
+    weights = batches.target_tokens(collated)
+    losses = weights.withColumn("loss", F.lit(1.0) + F.col("batch_id") % 7 / 8)
+    return training_log.evaluate(losses).select(
         F.round("loss", 6).alias("loss"), "num_tokens", F.round("perplexity", 6).alias("perplexity")
     )
 
 
 QUERIES = {
     "wiki_articles": wiki_articles,
+    "wiki_plain": wiki_plain,
+    "wiki_ledger": wiki_ledger,
     "jsonl_articles": jsonl_articles,
     "article_arrays_lenient": article_arrays("lenient"),
     "article_arrays_strict": article_arrays("strict"),
@@ -212,44 +250,53 @@ QUERIES = {
 _TITLED = "SELECT source, doc_id::VARCHAR AS title, text FROM documents"
 _VAL_SQL = f"SELECT doc_id, tokens[1:512] AS tokens FROM ({SEQUENCES_SQL}) WHERE {SPLIT_SQL} = 'val'"
 
+# Rows that the added files give.
+_LENIENT_ADDED = "(VALUES ('lacking', 'm', 'kept'), ('scalar', 's', 'beside a scalar'))"
+_FILES = f"(SELECT DISTINCT source, doc_id // {_FILE_IDS} FROM documents)"
+
 ORACLES = {
-    "article_arrays_indented": f"{_TITLED} WHERE source <> 'src3'",
+    "article_arrays_indented": _TITLED,
     "sequence_arrays": f"SELECT array_to_string(tokens[1:512], ' ') AS tokens FROM ({SEQUENCES_SQL})",
     "wiki_articles": (
-        "SELECT doc_id AS page_id, source || '-' || lang AS title, text || ' <ref>a & b</ref> ' AS text FROM documents"
-        " WHERE source NOT IN ('src1', 'src2')"
+        "SELECT doc_id AS page_id, source || '-' || lang AS title,"
+        f" {char_sql(_NESTED)} || text || ' <ref>a & b</ref> {{{{open ' AS text FROM documents"
     ),
-    "jsonl_articles": f"{_TITLED} WHERE source <> 'src7'",
-    "article_arrays_lenient": (
-        f"{_TITLED} WHERE source NOT IN ('src3', 'src5', 'src6') AND NOT (source = 'src8' AND lang <> 'fr')"
+    "wiki_plain": "SELECT doc_id AS page_id, text || ' <ref>a & b</ref> {{open ' AS text FROM documents",
+    "wiki_ledger": (
+        "SELECT 'article' AS status, 0 AS ns, count(*) AS pages FROM documents"
+        " UNION ALL SELECT * FROM (VALUES ('article', 14, 1), ('redirect', 0, 1), ('malformed', NULL, 1))"
     ),
-    "article_arrays_strict": f"{_TITLED} WHERE source NOT IN ('src3', 'src5', 'src6', 'src8')",
+    "jsonl_articles": _TITLED,
+    "article_arrays_lenient": f"{_TITLED} UNION ALL SELECT * FROM {_LENIENT_ADDED}",
+    "article_arrays_strict": _TITLED,
     "load_ledger": (
-        "SELECT source, CASE WHEN source = 'src7' THEN 'error' ELSE 'ok' END AS status,"
-        " CASE WHEN source = 'src7' THEN 'invalid JSON' END AS error,"
-        " count(*) FILTER (source <> 'src7') AS articles FROM documents GROUP BY source"
+        "SELECT source, 'ok' AS status, NULL AS error, count(*) AS articles FROM documents GROUP BY source"
+        " UNION ALL SELECT * FROM (VALUES ('cut', 'error', 'invalid JSON', 0), ('list', 'error', 'other', 0),"
+        " ('number', 'error', 'other', 0))"
     ),
     "strict_ledger": (
-        "SELECT source, CASE WHEN source IN ('src3', 'src5', 'src6', 'src8') THEN 'error' ELSE 'ok' END AS status,"
-        " CASE WHEN source = 'src3' THEN 'invalid JSON' WHEN source IN ('src5', 'src6', 'src8') THEN 'other' END AS error,"
-        " count(*) FILTER (source NOT IN ('src3', 'src5', 'src6', 'src8')) AS articles FROM documents GROUP BY source"
+        "SELECT source, 'ok' AS status, NULL AS error, count(*) AS articles FROM documents GROUP BY source"
+        " UNION ALL SELECT * FROM (VALUES ('cut', 'error', 'invalid JSON', 0), ('object', 'error', 'other', 0),"
+        " ('none', 'error', 'other', 0), ('lacking', 'error', 'other', 0), ('scalar', 'error', 'other', 0),"
+        " ('zero', 'error', 'invalid JSON', 0))"
     ),
     "ledger_totals": (
-        "SELECT count(*) FILTER (source NOT IN ('src3', 'src5', 'src6') AND NOT (source = 'src8' AND lang <> 'fr'))"
-        f" AS articles, count(DISTINCT (source, doc_id // {_FILE_IDS})) FILTER (source <> 'src3') AS files,"
-        f" count(DISTINCT doc_id // {_FILE_IDS}) FILTER (source = 'src3') AS errors FROM documents"
+        "SELECT count(*) + 2 AS articles, (SELECT count(*) + 4 FROM " + _FILES + ") AS files, 2 AS errors FROM documents"
     ),
     "array_file_audit": (
-        "SELECT source, CASE WHEN source = 'src3' THEN 'invalid JSON'"
-        " WHEN source = 'src6' THEN 'structure not recognised' END AS error,"
-        " CASE WHEN source NOT IN ('src3', 'src6') THEN count(*) END AS articles,"
+        "SELECT source, NULL AS error, count(*) AS articles,"
         f" count(DISTINCT doc_id // {_FILE_IDS}) AS files FROM documents GROUP BY source"
+        " UNION ALL SELECT * FROM (VALUES ('cut', 'invalid JSON', NULL, 1), ('object', NULL, 1, 1),"
+        " ('none', 'structure not recognised', NULL, 1), ('lacking', NULL, 2, 1), ('scalar', NULL, 2, 1),"
+        " ('zero', 'invalid JSON', NULL, 1))"
     ),
     "cleaned_sink": (
         "SELECT source, doc_id::VARCHAR AS title, trim(lower(regexp_replace(text, '==[^\\n]*?==', '', 'g')),"
-        " ' ' || chr(9) || chr(10) || chr(13)) AS text FROM documents WHERE source <> 'src7'"
+        " ' ' || chr(9) || chr(10) || chr(13)) AS text FROM documents"
+    ),
+    "split_sink": (
+        f"SELECT doc_id, {SPLIT_SQL} AS split, array_to_string(tokens[1:512], ' ') AS tokens FROM ({SEQUENCES_SQL})"
     ),
-    "split_sink": f"SELECT doc_id, array_to_string(tokens, ' ') AS tokens FROM ({_VAL_SQL})",
     "stored_metrics": (
         "SELECT day(ts) AS epoch, round(sum(value * user_id) / sum(user_id), 6) AS loss,"
         " sum(user_id)::BIGINT AS num_tokens FROM events GROUP BY day(ts)"

@@ -79,16 +79,27 @@ def word_ids_sql(text: str) -> str:
     )
 
 
+# Sequences without an id and with one stand beside those of the documents. Their
+# language sorts first, so that whole batches hold nothing else.
+ADDED_SEQUENCES = 24
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One id sequence per document; those of one source are empty."""
-    ids = F.when(F.col("source") == "src9", F.array().cast("array<int>")).otherwise(word_ids("text"))
-    return read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", ids.alias("tokens"))
+    """One id sequence per document, of its whole text, and the added short ones."""
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", word_ids("text").alias("tokens"))
+    added = spark.range(1, ADDED_SEQUENCES + 1).select(
+        (-F.col("id")).alias("doc_id"),
+        F.lit("aa").alias("lang"),
+        F.lit("added").alias("source"),
+        F.when(F.col("id") % 2 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(7))).alias("tokens"),
+    )
+    return documents.unionByName(added)
 
 
 SEQUENCES_SQL = (
-    "SELECT doc_id, lang, source, CASE WHEN source = 'src9' THEN []::INT[] ELSE "
-    + word_ids_sql("text")
-    + " END AS tokens FROM documents"
+    f"SELECT doc_id, lang, source, {word_ids_sql('text')} AS tokens FROM documents UNION ALL"
+    " SELECT -i, 'aa', 'added', CASE WHEN i % 2 = 0 THEN []::INT[] ELSE [7]::INT[] END"
+    f" FROM (SELECT unnest(range(1, {ADDED_SEQUENCES + 1}))::BIGINT AS i)"
 )
 
 SPLIT_SQL = (
@@ -139,15 +150,15 @@ DAILY_STEPS_SQL = (
 
 
 def daily_evals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lexmill.operators.training_log import weighted_loss
-
-    steps = daily_steps(spark, sf_dir)
-    val = weighted_loss(steps.filter("is_val"), "epoch").select("epoch", F.col("loss").alias("val_loss"))
-    seconds = steps.groupBy("epoch").agg(
+    """Validation loss and seconds per epoch, from one pass."""
+    weighted = F.sum(F.when(F.col("is_val"), F.col("loss") * F.col("num_tokens")))
+    evals = daily_steps(spark, sf_dir).groupBy("epoch").agg(
+        (weighted / F.sum(F.when(F.col("is_val"), F.col("num_tokens")))).alias("val_loss"),
         F.sum("seconds").alias("epoch_seconds"),
         F.sum(F.when(F.col("is_val"), F.col("seconds")).otherwise(0.0)).alias("val_seconds"),
+        F.count_if("is_val").alias("_evals"),
     )
-    return val.join(seconds, "epoch")
+    return evals.filter("_evals > 0").drop("_evals")
 
 
 DAILY_EVALS_SQL = (

@@ -21,10 +21,21 @@ def perplexity(spark, sf_dir):
     return steps.select("epoch", "step", F.round(log.perplexity("loss"), 6).alias("perplexity"))
 
 
+def _uneven_steps(spark, sf_dir):
+    """The steps with gaps: their numbers grow by 1 to 100."""
+    return step_metrics(spark, sf_dir).withColumn("step", F.col("step") * 100 - F.col("step") % 7 * 14)
+
+
+_UNEVEN_STEPS_SQL = f"SELECT epoch, step * 100 - step % 7 * 14 AS step, loss FROM ({inputs.STEP_METRICS_SQL})"
+
+
 def rolling_loss(spark, sf_dir):
     # Nine digits: the mean of up to 50 losses of four decimals has no tie there.
-    rolled = log.rolling_loss(step_metrics(spark, sf_dir))
-    return rolled.select("epoch", "step", F.round("rolling_loss", 9).alias("rolling_loss"))
+    rolled = log.rolling_loss(_uneven_steps(spark, sf_dir))
+    return rolled.select(
+        "epoch", "step", F.round("rolling_loss", 9).alias("rolling_loss"),
+        F.round("rolling_perplexity", 6).alias("rolling_perplexity"),
+    )
 
 
 def global_step(spark, sf_dir):
@@ -75,20 +86,33 @@ def durations(spark, sf_dir):
     ).select("user_id", "t.hours", "t.minutes", "t.seconds", "remaining")
 
 
-def histogram(table, column, bins):
+_ODD_VALUES = ("nan", "inf", "inf", "-inf")
+
+
+def histogram(table, column, bins, is_array=False):
+    """Histogram of a column with a few values beside it that are no finite numbers."""
+
     def query(spark, sf_dir):
-        counted = log.histogram(spark.read.parquet(f"{sf_dir}/{table}.parquet"), column, bins)
+        odd = F.array(*[F.lit(float(value)) for value in _ODD_VALUES])
+        kind = "array<double>" if is_array else "double"
+        given = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(column).cast(kind).alias("value"))
+        added = spark.range(1).select((odd if is_array else F.explode(odd)).alias("value"))
+        counted = log.histogram(given.unionByName(added), "value", bins)
         return _rounded(counted, "low", "high").withColumn("bin", F.col("bin").cast("bigint"))
 
     return query
 
 
 def _histogram_sql(values: str, bins: int) -> str:
+    odd = ", ".join(f"('{value}'::DOUBLE)" for value in _ODD_VALUES)
     return (
-        f"WITH v AS ({values}), r AS (SELECT min(value) AS lo, max(value) AS hi FROM v), b AS (SELECT lo, hi,"
+        f"WITH a AS ({values} UNION ALL SELECT * FROM (VALUES {odd}) AS t(value)),"
+        " v AS (SELECT value FROM a WHERE isfinite(value)), r AS (SELECT min(value) AS lo, max(value) AS hi FROM v), b AS (SELECT lo, hi,"
         f" least(floor({bins}::DOUBLE * (value - lo) / (hi - lo))::BIGINT + 1, {bins}) AS bin FROM v, r)"
-        f" SELECT bin, round(lo + (bin - 1) * ((hi - lo) / {bins}), 6) AS low,"
+        f" SELECT 'finite' AS kind, bin, round(lo + (bin - 1) * ((hi - lo) / {bins}), 6) AS low,"
         f" round(lo + bin * ((hi - lo) / {bins}), 6) AS high, count(*) AS cnt FROM b GROUP BY bin, lo, hi"
+        " UNION ALL SELECT CASE WHEN isnan(value) THEN 'nan' WHEN value > 0 THEN 'inf' ELSE '-inf' END, NULL, NULL, NULL,"
+        " count(*) FROM a WHERE NOT isfinite(value) GROUP BY 1"
     )
 
 
@@ -102,7 +126,7 @@ QUERIES = {
     "best_epoch": best_epoch,
     "loss_curves": loss_curves,
     "durations": durations,
-    "array_histogram": histogram("embeddings", "embedding", 30),
+    "array_histogram": histogram("embeddings", "embedding", 30, is_array=True),
     "value_histogram": histogram("events", "value", 20),
 }
 
@@ -120,8 +144,9 @@ ORACLES = {
     ),
     "perplexity": f"SELECT epoch, step, round(exp(loss), 6) AS perplexity FROM ({inputs.STEP_METRICS_SQL})",
     "rolling_loss": (
-        "SELECT epoch, step, round(avg(loss) OVER (PARTITION BY epoch ORDER BY step ROWS BETWEEN 49 PRECEDING AND"
-        f" CURRENT ROW), 9) AS rolling_loss FROM ({inputs.STEP_METRICS_SQL})"
+        "SELECT epoch, step, round(mean, 9) AS rolling_loss, round(exp(mean), 6) AS rolling_perplexity FROM"
+        " (SELECT epoch, step, avg(loss) OVER (PARTITION BY epoch ORDER BY step, loss ROWS BETWEEN 49 PRECEDING AND"
+        f" CURRENT ROW) AS mean FROM ({_UNEVEN_STEPS_SQL}))"
     ),
     "global_step": (
         "SELECT epoch, step, epoch * (SELECT max(step) + 1 FROM (" + inputs.STEP_METRICS_SQL + ")) + step AS global_step"
@@ -145,7 +170,7 @@ ORACLES = {
     ),
     "durations": (
         "SELECT user_id, s // 3600 AS hours, s % 3600 // 60 AS minutes, s % 60 AS seconds,"
-        " round(CASE WHEN items > 1 THEN total / items * (items * 3) ELSE 0 END - total, 3) AS remaining"
+        " round(CASE WHEN items > 1 THEN total / items * (items * 3) - total ELSE 0 END, 3) AS remaining"
         " FROM (SELECT *, floor(total)::BIGINT AS s FROM (SELECT user_id, round(sum(value), 3) AS total,"
         " count(*) AS items FROM events GROUP BY user_id))"
     ),

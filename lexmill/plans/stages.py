@@ -3,9 +3,11 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.functions.cleaning import strip_nested_templates
 from lexmill.operators import audit, batches, corpus
 from lexmill.operators.bpe import MIN_FREQUENCY, VOCAB_SIZE, Tokenizer, train_bpe
 from lexmill.operators.encoding import encode
+from lexmill.session import materialize
 from lexmill.sources import articles
 from lexmill.sources.sequences import read_sequences, write_splits
 from lexmill.sources.tables import spread
@@ -14,16 +16,18 @@ from lexmill.sources.wiki_dump import read_wiki_dump
 
 
 def extract(spark: SparkSession, dump: str, target: str) -> None:
-    """Dump to JSON lines with ``id``, ``title`` and ``text``."""
+    """Dump to JSON lines with ``id``, ``title`` and ``text`` without templates."""
     pages = read_wiki_dump(spark, dump)
-    pages.select(F.col("page_id").alias("id"), "title", "text").write.json(target)
+    text = strip_nested_templates("text").alias("text")
+    pages.select(F.col("page_id").alias("id"), "title", text).write.json(target)
 
 
 def clean(spark: SparkSession, extracted: str, target: str) -> DataFrame:
     """JSON lines to cleaned articles; returns the ledger of the files read."""
     scan = articles.scan_jsonl(spark, extracted)
-    articles.write_cleaned(corpus.clean_articles(articles.accepted(scan)), target)
-    return articles.load_ledger(scan)
+    ledger = materialize(articles.load_ledger(scan))
+    articles.write_cleaned(corpus.clean_articles(articles.accepted(scan, ledger)), target)
+    return ledger
 
 
 def read_cleaned(spark: SparkSession, cleaned: str) -> DataFrame:

@@ -32,31 +32,33 @@ _CLEAN_SQL = _LOWER_TRIM.format(_HEADINGS.format(_CATEGORIES.format(_TEMPLATES.f
 
 
 def clean_articles(spark, sf_dir):
-    articles = marked_up_documents(spark, sf_dir).select(
-        "doc_id",
-        F.when(F.col("lang") != "de", F.col("source")).alias("title"),
-        F.when(F.col("source") != "src4", F.col("text")).alias("text"),
+    given = marked_up_documents(spark, sf_dir).select("doc_id", F.col("source").alias("title"), "text")
+    added = spark.createDataFrame(
+        [(-1, None, "{{x}} Text"), (-2, "Titre", None), (-3, None, None)], "doc_id bigint, title string, text string"
     )
-    return corpus.clean_articles(articles)
+    return corpus.clean_articles(given.unionByName(added))
+
+
+def _total_length(strings):
+    return F.aggregate(strings, F.lit(0).cast("bigint"), lambda total, text: total + F.length(text))
 
 
 def drop_blank_lines(spark, sf_dir):
     padded = F.concat("text", F.lit("\n \n\t \n"), F.col("source"))
-    lines = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(padded, "\n")).alias("line"))
+    kept = F.filter(F.split(padded, "\n"), lambda line: ~cleaning.is_blank(line))
     return (
-        lines.filter(~cleaning.is_blank("line"))
-        .groupBy("doc_id")
-        .agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+        read_table(spark, sf_dir, "documents")
+        .select("doc_id", kept.alias("kept"))
+        .select("doc_id", F.size("kept").cast("bigint").alias("lines"), _total_length("kept").alias("chars"))
     )
 
 
 def records_with_text(spark, sf_dir):
-    record = F.when(F.col("lang") == "en", F.to_json(F.struct("source"))).otherwise(
-        F.to_json(F.struct("source", "text"))
-    )
-    records = read_table(spark, sf_dir, "documents").select(
-        "doc_id", F.from_json(record, "map<string,string>").alias("record")
-    )
+    """Records of all documents, and beside them one without a text for each."""
+    documents = read_table(spark, sf_dir, "documents")
+    given = documents.select("doc_id", F.to_json(F.struct("source", "text")).alias("record"))
+    added = documents.select((-1 - F.col("doc_id")).alias("doc_id"), F.to_json(F.struct("source")).alias("record"))
+    records = given.unionByName(added).select("doc_id", F.from_json("record", "map<string,string>").alias("record"))
     return records.filter(F.map_contains_key("record", "text")).select(
         "doc_id", F.element_at("record", "text").alias("text")
     )
@@ -69,10 +71,13 @@ def union_articles(spark, sf_dir):
 
 
 def pretokenized(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select(
-        "doc_id", F.explode(words_of("text")).alias("word")
-    ).groupBy("doc_id").agg(
-        F.count("*").alias("words"), F.sum(F.length("word")).alias("chars"), F.max("word").alias("last_word")
+    """Counts of each text's words, within its row."""
+    words = read_table(spark, sf_dir, "documents").select("doc_id", words_of("text").alias("words"))
+    return words.filter(F.size("words") > 0).select(
+        "doc_id",
+        F.size("words").cast("bigint").alias("words"),
+        _total_length("words").alias("chars"),
+        F.array_max("words").alias("last_word"),
     )
 
 
@@ -136,15 +141,15 @@ ORACLES = {
     "lower_trim": _cleaned_sql(_LOWER_TRIM.format(f"({MARKED_UP_SQL})")),
     "clean_text": _cleaned_sql(_CLEAN_SQL),
     "clean_articles": (
-        "SELECT doc_id, CASE WHEN lang <> 'de' THEN source ELSE '' END AS title,"
-        f" CASE WHEN source <> 'src4' THEN {_CLEAN_SQL} ELSE '' END AS text FROM documents"
+        f"SELECT doc_id, source AS title, {_CLEAN_SQL} AS text FROM documents"
+        " UNION ALL SELECT * FROM (VALUES (-1, '', 'text'), (-2, 'Titre', ''), (-3, '', ''))"
     ),
     "drop_blank_lines": (
         "SELECT doc_id, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM (SELECT doc_id, unnest(string_split("
         "text || chr(10) || ' ' || chr(10) || chr(9) || chr(160) || chr(10) || source, chr(10))) AS line FROM documents)"
         f" WHERE trim(line, {WHITESPACE_SQL}) <> '' GROUP BY doc_id"
     ),
-    "records_with_text": "SELECT doc_id, text FROM documents WHERE lang <> 'en'",
+    "records_with_text": "SELECT doc_id, text FROM documents",
     "union_articles": (
         "SELECT text, 'documents' AS origin FROM documents UNION ALL SELECT text, 'conversations' FROM conversations"
     ),

@@ -5,6 +5,8 @@ A *scan* has one row per record, or one row for a file without records:
 relative to the scanned folder. An error on any row rejects the whole file.
 """
 
+import fnmatch
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,15 +21,57 @@ NOT_RECOGNISED = "structure not recognised"
 MAX_BROADCAST_FILES = 100_000
 
 _STRICT_JSON = {"allowSingleQuotes": "false"}
-_RECORD = "struct<title:string,text:string>"
+_RECORD = "struct<title:variant,text:variant>"
 _RECORD_END = "\n  }"
 _END_MARK = "~end of value~"
 
 
-def relative_file(path: str, file: Column) -> Column:
-    """The file below ``path``; file metadata comes as an encoded URI."""
+def base_folder(spark: SparkSession, path: str) -> str:
+    """The absolute path of a folder as its file system knows it, without scheme and host."""
+    given = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = given.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(given).toUri().getPath().rstrip("/")
+
+
+def relative_file(base: str, file: Column) -> Column:
+    """The file below ``base``, a result of ``base_folder``; a file that is not below it is an error.
+
+    File metadata comes as an encoded URI.
+    """
     decoded = F.try_url_decode(F.replace(file, F.lit("+"), F.lit("%2B")))
-    return F.substring_index(decoded, path.rstrip("/") + "/", -1)
+    own = F.regexp_replace(decoded, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    below = F.when(own == base, F.regexp_extract(own, "[^/]*$", 0)).when(
+        F.startswith(own, F.lit(base + "/")), F.substr(own, F.lit(len(base.encode("utf-16-le")) // 2 + 2))
+    )
+    return F.coalesce(below, F.raise_error(F.concat(F.lit(f"not below {base}: "), file)).cast("string"))
+
+
+def empty_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """``file, folder`` of the files of zero bytes, which Spark's readers leave out.
+
+    Only the file system's listing is read, as for any scan of the folder; hidden
+    files do not count, as in a scan.
+    """
+    given = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listing = given.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(given, True)
+    base, found = base_folder(spark, path), []
+    while listing.hasNext():
+        status = listing.next()
+        if status.getLen() == 0:
+            file = status.getPath().toUri().getPath().removeprefix(base + "/")
+            parts = file.split("/")
+            hidden = any(part.startswith(".") or part.startswith("_") and "=" not in part for part in parts)
+            if not hidden and (glob is None or fnmatch.fnmatchcase(parts[-1], glob)):
+                found.append((file,))
+    return spark.createDataFrame(found, "file string").withColumn("folder", folder_of(F.col("file")))
+
+
+def _with_empty_files(scan: DataFrame, path: str, glob: str | None, error: str | None) -> DataFrame:
+    """A scan with a row for each file of zero bytes."""
+    empty = empty_files(scan.sparkSession, path, glob).select(
+        "file", "folder", F.lit(False).alias("is_article"), F.lit(False).alias("null_text"), F.lit(error).cast("string").alias("error")
+    )
+    return scan.unionByName(empty, allowMissingColumns=True)
 
 
 def folder_of(file: Column) -> Column:
@@ -52,23 +96,30 @@ def _opening(value: Column) -> Column:
 
 
 def jsonl_records(lines: DataFrame, path: str) -> DataFrame:
-    """A scan of lines ``(value, file_path)``; a blank line is no article and no error."""
+    """A scan of lines ``(value, file_path)``; a blank line is no article and no error, a text or title that is no string is one."""
     value = F.col("value")
     blank = is_blank(value)
+
+    def is_text(field: str) -> Column:
+        return F.coalesce(F.schema_of_variant(f"record.{field}"), F.lit("VOID")).isin("STRING", "VOID")
+
     error = (
-        F.when(blank, None).when(~is_one_json_value(value), INVALID_JSON).when(_opening(value) != "{", OTHER_ERROR)
+        F.when(blank, None)
+        .when(~is_one_json_value(value), INVALID_JSON)
+        .when((_opening(value) != "{") | ~is_text("title") | ~is_text("text"), OTHER_ERROR)
     )
+    base = base_folder(lines.sparkSession, path)
     return (
-        lines.withColumn("file", relative_file(path, F.col("file_path")))
-        .withColumn("error", error)
+        lines.withColumn("file", relative_file(base, F.col("file_path")))
         .withColumn("record", F.from_json(value, _RECORD, _STRICT_JSON))
+        .withColumn("error", error)
         .select(
             "file",
             folder_of(F.col("file")).alias("folder"),
-            F.coalesce("record.title", F.lit("")).alias("title"),
-            F.coalesce("record.text", F.lit("")).alias("text"),
+            F.coalesce(F.try_variant_get("record.title", "$", "string"), F.lit("")).alias("title"),
+            F.coalesce(F.try_variant_get("record.text", "$", "string"), F.lit("")).alias("text"),
             (~blank).alias("is_article"),
-            (~blank & F.col("record.text").isNull()).alias("null_text"),
+            (~blank & F.try_variant_get("record.text", "$", "string").isNull()).alias("null_text"),
             "error",
         )
     )
@@ -77,7 +128,7 @@ def jsonl_records(lines: DataFrame, path: str) -> DataFrame:
 def scan_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Scan a folder tree of JSON-lines files of any extension, in splits."""
     lines = spark.read.option("recursiveFileLookup", True).text(path)
-    return jsonl_records(lines.select("value", "_metadata.file_path"), path)
+    return _with_empty_files(jsonl_records(lines.select("value", "_metadata.file_path"), path), path, None, None)
 
 
 def _whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
@@ -93,44 +144,60 @@ def _check_mode(mode: str) -> None:
 def scan_arrays(spark: SparkSession, path: str, mode: str = "lenient", glob: str = "*.json") -> DataFrame:
     """Scan the files of a folder tree that match ``glob``, each one JSON array of records.
 
-    Lenient: other JSON values hold no articles, records without ``text`` are
-    skipped. Strict: both make the file an error. A null text is not an article.
+    Lenient: other JSON values hold no articles; records without ``text``, strings
+    and lists among the records are skipped. Strict: all of these make the file an
+    error; numbers, truth values and nulls among the records always do. A null
+    text is not an article. Of a repeated key the last value counts. A file of
+    zero bytes is no JSON.
     """
     _check_mode(mode)
     value = F.col("value")
-    records = F.from_json(value, "array<map<string,string>>", _STRICT_JSON)
-    unusual = F.col("records").isNull() | F.exists("records", lambda record: record.isNull())
+
+    def record(item: Column) -> Column:
+        text = F.try_variant_get(item, "$.text", "string")
+        kind = F.schema_of_variant(item)
+        return F.struct(
+            F.when(F.startswith(kind, F.lit("OBJECT")), "object")
+            .when((kind == "STRING") | F.startswith(kind, F.lit("ARRAY")), "skipped")
+            .otherwise("bad")
+            .alias("kind"),
+            F.coalesce(F.try_variant_get(item, "$.text", "variant").isNotNull(), F.lit(False)).alias("has_text"),
+            F.try_variant_get(item, "$.title", "string").alias("title"),
+            text.alias("text"),
+        )
+
+    # Repeated keys are no valid variant; the parser of structs takes their last value.
+    plain = F.from_json(value, "array<struct<title:string,text:string>>", _STRICT_JSON)
+    repeated = F.transform(
+        plain, lambda item: F.struct(F.lit("object").alias("kind"), item["text"].isNotNull().alias("has_text"), item["title"].alias("title"), item["text"].alias("text"))
+    )
+    records = F.coalesce(F.transform(F.from_json(value, "array<variant>", _STRICT_JSON), record), repeated)
+    unusual = F.col("records").isNull() | F.exists("records", lambda item: item["kind"] == "bad")
     error = F.when(~is_one_json_value(value), INVALID_JSON).when((_opening(value) == "[") & unusual, OTHER_ERROR)
     if mode == "strict":
-        incomplete = F.exists("records", lambda record: ~F.map_contains_key(record, "text"))
+        incomplete = F.exists("records", lambda item: ~item["has_text"] | (item["kind"] != "object"))
         empty = F.regexp_replace(strip_whitespace(value), r"\s", "").isin("{}", '""')
         error = error.when((_opening(value) == "[") & incomplete, OTHER_ERROR).when(
             (_opening(value) != "[") & ~empty, OTHER_ERROR
         )
-    with_text = F.filter("records", lambda record: F.map_contains_key(record, "text"))
-    return (
+    with_text = F.filter("records", lambda item: item["has_text"] & (item["kind"] == "object"))
+    base = base_folder(spark, path)
+    scan = (
         _whole_files(spark, path, glob)
-        .withColumn("records", records)
-        .select(
-            relative_file(path, F.col("file_path")).alias("file"),
-            error.alias("error"),
-            F.coalesce(with_text, F.array().cast("array<map<string,string>>")).alias("records"),
-        )
-        .select(
-            "file",
-            "error",
-            F.explode_outer(F.when(F.col("error").isNull(), F.col("records"))).alias("record"),
-        )
+        .withColumn("records", F.when(_opening(value) == "[", records))
+        .select(relative_file(base, F.col("file_path")).alias("file"), error.alias("error"), with_text.alias("records"))
+        .select("file", "error", F.explode_outer(F.when(F.col("error").isNull(), F.col("records"))).alias("record"))
         .select(
             "file",
             folder_of(F.col("file")).alias("folder"),
-            F.try_element_at("record", F.lit("title")).alias("title"),
-            F.try_element_at("record", F.lit("text")).alias("text"),
-            F.try_element_at("record", F.lit("text")).isNotNull().alias("is_article"),
-            (F.col("record").isNotNull() & F.try_element_at("record", F.lit("text")).isNull()).alias("null_text"),
+            "record.title",
+            "record.text",
+            F.col("record.text").isNotNull().alias("is_article"),
+            (F.col("record").isNotNull() & F.col("record.text").isNull()).alias("null_text"),
             "error",
         )
     )
+    return _with_empty_files(scan, path, glob, INVALID_JSON)
 
 
 def scan_indented_arrays(
@@ -154,7 +221,7 @@ def scan_indented_arrays(
         error = error.when(opens & ~F.map_contains_key("record", "text"), OTHER_ERROR)
     article = F.try_element_at("record", F.lit("text"))
     scan = (
-        chunks.withColumn("file", relative_file(path, F.col("file_path")))
+        chunks.withColumn("file", relative_file(base_folder(spark, path), F.col("file_path")))
         .withColumn("record", F.when(opens, F.from_json(text, "map<string,string>", _STRICT_JSON)))
         .select(
             "file",
@@ -175,16 +242,18 @@ def scan_indented_arrays(
         F.lit(False).alias("null_text"),
         F.lit(INVALID_JSON).alias("error"),
     )
-    return scan.drop("closes").unionByName(errors, allowMissingColumns=True)
+    return _with_empty_files(scan.drop("closes").unionByName(errors, allowMissingColumns=True), path, glob, INVALID_JSON)
 
 
-def accepted(scan: DataFrame) -> DataFrame:
+def accepted(scan: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Articles of files without an error: ``file, folder, title, text``.
 
-    The names of rejected files are found in a pass of their own and broadcast
-    after a check of their number, so texts are not shuffled to reject files.
+    The names of rejected files come from the ledger, if there is one, or from a
+    pass of their own. They are broadcast after a check of their number, so texts
+    are not shuffled to reject files.
     """
-    bad = materialize(scan.filter(F.col("error").isNotNull()).select("file").distinct())
+    found = scan.filter(F.col("error").isNotNull()) if ledger is None else ledger.filter("status = 'error'")
+    bad = materialize(found.select("file").distinct())
     bad = F.broadcast(bad) if bad.count() <= MAX_BROADCAST_FILES else bad
     return scan.filter("is_article").join(bad, "file", "left_anti").select("file", "folder", "title", "text")
 
@@ -212,10 +281,7 @@ def read_article_arrays(
 
 
 def load_ledger(scan: DataFrame) -> DataFrame:
-    """One row per file: ``status``, ``error``, ``n_articles``, ``null_texts``.
-
-    A file of zero bytes has no row in a scan and none here.
-    """
+    """One row per file: ``status``, ``error``, ``n_articles``, ``null_texts``."""
     ledger = scan.groupBy("file", "folder").agg(
         F.max("error").alias("error"),
         F.count_if("is_article").alias("n_articles"),
@@ -248,7 +314,7 @@ def require_nonempty(df: DataFrame) -> DataFrame:
 
 
 def count_array_files(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
-    """Articles per matching file exactly one folder below ``path``.
+    """Articles per matching file exactly one folder below ``path``; a file of zero bytes is no JSON.
 
     An array counts its elements, an object those of its first array-valued
     key; anything else is an error: ``file, folder, n_articles, error``.
@@ -268,10 +334,9 @@ def count_array_files(spark: SparkSession, path: str, glob: str = "*.json") -> D
         .when(_opening(value) != "{", OTHER_ERROR)
         .when(first.isNull(), NOT_RECOGNISED)
     )
-    return (
+    counts = (
         _whole_files(spark, path, glob)
-        .withColumn("file", relative_file(path, F.col("file_path")))
-        .filter(F.length(F.regexp_replace("file", "[^/]", "")) == 1)
+        .withColumn("file", relative_file(base_folder(spark, path), F.col("file_path")))
         .select(
             "file",
             folder_of(F.col("file")).alias("folder"),
@@ -279,6 +344,9 @@ def count_array_files(spark: SparkSession, path: str, glob: str = "*.json") -> D
             error.alias("error"),
         )
     )
+    empty = empty_files(spark, path, glob).withColumn("error", F.lit(INVALID_JSON))
+    every = counts.unionByName(empty, allowMissingColumns=True)
+    return every.filter(F.length(F.regexp_replace("file", "[^/]", "")) == 1)
 
 
 def write_cleaned(df: DataFrame, path: str, file_format: str = "parquet") -> None:

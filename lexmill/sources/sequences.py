@@ -33,8 +33,8 @@ def read_sequence_json(spark: SparkSession, path: str) -> DataFrame:
     that is no id array, or a file without its last bracket, is an error.
     """
     chunks = spark.read.option("lineSep", "]").text(path)
-    ends = chunks.filter(F.col("value").rlike(r"^\s*\[?\s*$")).groupBy("_metadata.file_path").count()
-    if ends.count() < len(chunks.inputFiles()):
+    ends = chunks.filter(F.col("value").rlike(r"^\s*\[?\s*$")).select("_metadata.file_path").distinct()
+    if ends.count() < spark.read.format("binaryFile").load(path).select("path").count():
         raise ValueError(f"a file of {path} is not a closed array")
     value = F.regexp_replace("value", r"\s", "")
     # A single bracket is the start of an empty file; a blank is what follows the last sequence.

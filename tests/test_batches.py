@@ -37,7 +37,7 @@ def test_positions_with_a_frequent_leading_value(spark):
     rows = [("hot" if i % 3 else f"k{rng.randint(0, 50)}", i) for i in range(3000)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "name string, i int").repartition(13)
-    got = {(row["name"], row["i"]): row["position"] for row in batches.positions(df, ["name", "i"]).collect()}
+    got = {(row["name"], row["i"]): row["position"] for row in batches.numbered(df, ["name", "i"]).collect()}
     assert got == {row: position for position, row in enumerate(sorted(rows))}
 
 
@@ -68,8 +68,8 @@ def test_shuffling_depends_on_epoch_and_seed_only(spark):
 def test_target_tokens_with_and_without_padding(spark):
     assigned = batches.assign_batches(sequences(spark, [(1, [1, 2, 3]), (2, [4, 5])]), "key")
     collated_batches = batches.collate(assigned)
-    assert batches.target_tokens(collated_batches).collect()[0]["num_tokens"] == 4
-    assert batches.target_tokens(collated_batches, include_padding=False).collect()[0]["num_tokens"] == 3
+    weight = batches.target_tokens(collated_batches).collect()[0]
+    assert (weight["num_tokens"], weight["real_tokens"]) == (4, 3)
 
 
 def test_preview_pads_to_its_batch(spark):

@@ -1,5 +1,3 @@
-import re
-
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -34,14 +32,41 @@ def test_missing_text_stays_missing(spark):
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.text(alphabet="{}[]=:Catégorie \n\r\u0085  xX", max_size=60), min_size=1, max_size=40))
-def test_same_as_plain_regular_expressions(spark, texts):
-    def expected(text):
-        for pattern in (r"\{\{.*?\}\}", r"\[\[Catégorie:.*?\]\]", "==.*?=="):
-            text = re.sub(pattern, "", text)
-        return text.lower().strip()
-
-    assert run(spark, texts, cleaning.clean_text("text")) == [expected(text) for text in texts]
+@given(st.lists(st.text(alphabet="{}[]=:Catégorie \n\r\u0085　xX", max_size=60), min_size=1, max_size=40))
+def test_no_removable_span_is_left(spark, texts):
+    """Each step leaves no span of its own on any line that it did not make itself by joining what stood around one."""
+
+    def spans(text, opening, closing):
+        return sum(closing in line[at + len(opening) :] for line in text.split("\n") for at in range(len(line)) if line.startswith(opening, at))
+
+    for step, opening, closing in (
+        (cleaning.strip_templates, "{{", "}}"),
+        (cleaning.strip_categories, "[[Catégorie:", "]]"),
+        (cleaning.strip_headings, "==", "=="),
+    ):
+        made = run(spark, texts, step("text"))
+        for text, cleaned in zip(texts, made):
+            assert (cleaned == text) == (spans(text, opening, closing) == 0)
+            assert cleaned.count("\n") == text.count("\n")
+            assert spans(cleaned, opening, closing) <= spans(text, opening, closing)
+    trimmed = run(spark, texts, cleaning.lower_trim("text"))
+    assert all(text == text.lower() and not text[:1].isspace() and not text[-1:].isspace() for text in trimmed)
+
+
+@pytest.mark.parametrize(
+    "text, plain",
+    [
+        ("a {{b {{c}} d\n{{e}}}} f", "a  f"),
+        ("{{open {{x}} y", "{{open  y"),
+        ("x}} {{a}}", "x}} "),
+        ("{{{{a}}}}{{", "{{"),
+        ("{{" * 5000 + "}}" * 5000 + "z", "z"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_nested_templates(spark, text, plain):
+    assert run(spark, [text], cleaning.strip_nested_templates("text")) == [plain]
 
 
 @pytest.mark.parametrize("text, blank", [(" \t 　", True), ("", True), (" x ", False)])

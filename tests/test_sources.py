@@ -1,11 +1,12 @@
 import bz2
 import json
+import random
 
 import pytest
 
 from lexmill.operators import audit
 from lexmill.plans import stages
-from lexmill.sources import articles, metrics, sequences
+from lexmill.sources import articles, metrics, sequences, wiki_dump
 from lexmill.sources.wiki_dump import read_wiki_dump
 from lexmill.streaming.clean_files import clean_new_files
 
@@ -316,3 +317,71 @@ def test_new_files_are_cleaned_once(spark, tmp_path):
     clean_new_files(spark, source, target, checkpoint)
     clean_new_files(spark, source, target, checkpoint)
     assert rows(spark.read.parquet(target), "title", "text", "folder") == [("A", "x", "AA"), ("B", "y", "BB")]
+
+
+@pytest.mark.parametrize("spelling", ["{}", "file://{}", "{}/", "{}/../extracted", "{}//"])
+def test_any_spelling_of_a_folder(spark, extracted, spelling):
+    read = articles.read_jsonl_articles(spark, spelling.format(extracted).replace("/extracted", "//extracted"))
+    assert rows(read, "file", "folder", "title")[0] == ("AA/wiki_00", "AA", "A")
+
+
+def test_relative_folder(spark, extracted):
+    import os
+
+    relative = "./" + os.path.relpath(extracted, spark.sparkContext._jvm.java.lang.System.getProperty("user.dir"))
+    assert articles.read_jsonl_articles(spark, relative).count() == 5
+
+
+def test_a_file_elsewhere_is_an_error(spark, extracted):
+    lines = spark.createDataFrame([("{}", "file:///elsewhere/a")], "value string, file_path string")
+    with pytest.raises(Exception, match="not below"):
+        articles.jsonl_records(lines, extracted).collect()
+
+
+def test_text_that_is_no_string_rejects_the_file(spark, tmp_path):
+    path = write(tmp_path / "x", {"a": '{"text": 5}\n', "b": '{"text": ["x"]}\n', "c": '{"text": null, "title": "n"}\n'})
+    assert rows(articles.read_jsonl_articles(spark, path), "file", "title", "text") == [("c", "n", "")]
+
+
+def test_files_of_zero_bytes(spark, tmp_path):
+    path = write(tmp_path / "x", {"AA/a.json": "", "AA/b.json": "[]", "AA/_hidden.json": "", "AA/a.txt": ""})
+    ledger = articles.load_ledger(articles.scan_arrays(spark, path))
+    assert rows(ledger, "file", "status") == [("AA/a.json", "error"), ("AA/b.json", "ok")]
+    assert rows(articles.count_array_files(spark, path).na.fill(-1), "file", "n_articles") == [("AA/a.json", -1), ("AA/b.json", 0)]
+    lines = articles.load_ledger(articles.scan_jsonl(spark, path))
+    assert ("AA/a.txt", "ok", 0) in rows(lines, "file", "status", "n_articles")
+
+
+def test_scalars_and_repeated_keys_in_arrays(spark, tmp_path):
+    path = write(
+        tmp_path / "x",
+        {"s.json": '["abc", ["d"], {"text": "x"}]', "r.json": '[{"text": "first", "text": "last"}]', "n.json": '[null, {"text": "y"}]'},
+    )
+    assert rows(articles.read_article_arrays(spark, path), "file", "text") == [("r.json", "last"), ("s.json", "x")]
+    assert rows(articles.read_article_arrays(spark, path, "strict"), "file", "text") == [("r.json", "last")]
+
+
+def test_malformed_pages_are_counted(spark, tmp_path):
+    page = "<page><title>{}</title><ns>0</ns><id>{}</id><revision><id>1</id><text>x</text></revision></page>\n"
+    dump = "<mediawiki>\n" + page.format("a", 1) + page.format("b", 2).replace("</title>", "</titel>") + page.format("c", 3) + "</mediawiki>\n"
+    path = write(tmp_path / "raw", {"d.xml.bz2": bz2.compress(dump.encode())})
+    scan = wiki_dump.scan_wiki_dump(spark, path)
+    assert rows(wiki_dump.dump_ledger(scan).na.fill(-1), "status", "ns", "pages") == [("article", 0, 2), ("malformed", -1, 1)]
+    assert "titel" in scan.filter("malformed IS NOT NULL").collect()[0]["malformed"]
+    assert rows(read_wiki_dump(spark, path, namespaces=None), "page_id", "title") == [(1, "a"), (3, "c")]
+
+
+def test_a_compressed_dump_is_read_in_splits(spark, tmp_path):
+    """Every page once, although the file is cut at places that know nothing of pages."""
+    rng = random.Random(1)
+    page = "<page><title>{0}</title><ns>0</ns><id>{0}</id><revision><id>1</id><text>{1}</text></revision></page>\n"
+    dump = "<mediawiki>\n" + "".join(page.format(i, "".join(rng.choices("abcdefghij ", k=600))) for i in range(3000)) + "</mediawiki>\n"
+    path = write(tmp_path / "raw", {"d.xml.bz2": bz2.compress(dump.encode(), 1)})
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        read = read_wiki_dump(spark, path)
+        assert read.rdd.getNumPartitions() > 3
+        assert sorted(row["page_id"] for row in read.select("page_id").collect()) == list(range(3000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

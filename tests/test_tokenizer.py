@@ -251,3 +251,21 @@ def test_tokenizer_files(spark, trained, library, tmp_path):
     assert model_of_ours(tokenizer_store.read_tokenizer_json(spark, f"{tmp_path}/json")) == model_of(library)
     library.save(f"{tmp_path}/tokenizer.json")
     assert model_of_ours(tokenizer_store.read_tokenizer_json(spark, f"{tmp_path}/tokenizer.json")) == model_of(library)
+
+
+def test_symbols_beyond_the_basic_plane(spark, texts, trained, monkeypatch):
+    """Ids of 63,232 and more are characters that regular expressions see as two; the result is the same."""
+    word = "".join(joins.symbol(i) for i in (63_300, 63_400, 10))
+    pairs = spark.createDataFrame([(word, 3)], "word string, cnt bigint")
+    from lexmill.operators.vocabulary import pair_counts
+
+    assert {row["pair"]: row["cnt"] for row in pair_counts(pairs).collect()} == {word[:2]: 3, word[1:]: 3}
+    runs = bpe.fragments(pairs, [word[:2]]).collect()
+    assert [row["word"] for row in runs] == [word[:2]]
+
+
+def test_a_full_vocabulary_equals_the_library(spark):
+    """32,000 tokens, the default, on the texts of the next larger table."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    library = train_library([row["text"] for row in rows.orderBy("text").collect()], 32_000)
+    assert model_of_ours(bpe.train_bpe(rows)) == model_of(library)

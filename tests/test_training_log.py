@@ -50,7 +50,27 @@ def test_durations(spark):
     left = spark.range(1).select(
         remaining_seconds(F.lit(10.0), F.lit(2), F.lit(8)), remaining_seconds(F.lit(10.0), F.lit(1), F.lit(8))
     )
-    assert tuple(left.collect()[0]) == (30.0, -10.0)
+    assert tuple(left.collect()[0]) == (30.0, 0.0)
+
+
+def test_rolling_loss_counts_records(spark):
+    """Gaps do not shorten the window; a repeated step is a record."""
+    steps = [(0, 0, 1.0), (0, 100, 3.0), (0, 200, 5.0), (0, 200, 7.0)]
+    rows = log.rolling_loss(spark.createDataFrame(steps, "epoch int, step int, loss double"), window=3).orderBy("step", "loss")
+    assert [row["rolling_loss"] for row in rows.collect()] == [1.0, 2.0, 3.0, 5.0]
+
+
+def test_best_epoch_has_a_loss(spark):
+    epochs = spark.createDataFrame([(0, None), (1, 2.0)], "epoch int, val_loss double")
+    assert log.best_epoch(epochs).collect()[0]["epoch"] == 1
+
+
+def test_histogram_counts_odd_values_apart(spark):
+    values = [1.0, 2.0, float("nan"), float("inf"), float("inf"), float("-inf"), None]
+    df = spark.createDataFrame([(value,) for value in values], "x double")
+    rows = {(row["kind"], row["bin"]): (row["low"], row["high"], row["cnt"]) for row in log.histogram(df, "x", 2).collect()}
+    assert rows.pop(("finite", 1)) == (1.0, 1.5, 1) and rows.pop(("finite", 2)) == (1.5, 2.0, 1)
+    assert {kind: row[2] for (kind, _), row in rows.items()} == {"nan": 1, "inf": 2, "-inf": 1}
 
 
 def test_histogram_of_one_value_and_of_integers(spark):
