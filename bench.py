@@ -15,12 +15,14 @@ from pyspark.sql import SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from lexmill.functions.cleaning import clean_text  # noqa: E402
-from lexmill.functions.tokens import words_of  # noqa: E402
 from lexmill.operators import audit, batches, bpe, corpus, encoding, training_log, vocabulary  # noqa: E402
+from lexmill.plans import text_queries  # noqa: E402
 from lexmill.plans.inputs import marked_up, step_metrics  # noqa: E402
 from lexmill.session import new_shared_path  # noqa: E402
+from lexmill.sources.articles import read_jsonl_articles  # noqa: E402
 from lexmill.sources.sequences import read_sequences, write_splits  # noqa: E402
 from lexmill.sources.tables import read_table  # noqa: E402
+from lexmill.sources.wiki_dump import read_wiki_dump  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -63,10 +65,21 @@ def main():
         train_rows = batches.filter_short(read_sequences(spark, made["path"], "train"), count="token_count")
         run(batches.collate(batches.shuffle_rows(train_rows, "doc_id", epoch=0)))
 
+    made["extracted"] = new_shared_path(spark, "extracted")
+    lines = documents.select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("title"), "text")), "source")
+    lines.write.partitionBy("source").text(made["extracted"])
+    made["dump"] = new_shared_path(spark, "dump")
+    page = F.concat(
+        F.lit("<page><title>"), F.col("doc_id").cast("string"), F.lit("</title><ns>0</ns><id>"), F.col("doc_id").cast("string"),
+        F.lit("</id><revision><id>1</id><text>"), F.translate("text", "<>&", "   "), F.lit("</text></revision></page>"),
+    )
+    documents.select(page).write.option("compression", "bzip2").text(made["dump"])
     articles = documents.select(F.concat_ws("/", "source", "lang").alias("file"), F.col("source").alias("folder"))
     queries = {
         "clean_text": lambda: run(documents.select("doc_id", clean_text(marked_up()).alias("text"))),
-        "pretokenize": lambda: run(documents.select("doc_id", words_of("text").alias("words"))),
+        "jsonl_articles": lambda: run(read_jsonl_articles(spark, made["extracted"])),
+        "wiki_articles": lambda: run(read_wiki_dump(spark, made["dump"])),
+        "pretokenize": lambda: run(text_queries.QUERIES["pretokenize"](spark, SF_DIR)),
         "word_counts": lambda: run(vocabulary.word_counts(documents)),
         "train_bpe": train,
         "encode": encode,

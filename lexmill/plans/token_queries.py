@@ -4,14 +4,15 @@ import functools
 
 from pyspark.sql import functions as F
 
-from lexmill.operators import bpe, encoding
-from lexmill.plans.inputs import byte_symbols_sql, joined, words_sql
+from lexmill.operators import batches, bpe, corpus, encoding
+from lexmill.plans.inputs import SPLIT_SQL, byte_symbols_sql, joined, words_sql
 from lexmill.plans.text_queries import ALPHABET_SQL, SYMBOL_WORDS_SQL
 from lexmill.session import new_shared_path
 from lexmill.sources.tables import read_table
 from lexmill.sources.tokenizer_store import read_tokenizer, write_tokenizer
 
-# Small enough for SQL to repeat the training, one recursion step per merge.
+# How far SQL can repeat the training, one recursion step per merge over all words.
+# ``train_bpe_full`` goes on to the default size.
 VOCAB_SIZE = 300
 
 
@@ -78,8 +79,37 @@ def roundtrip_ok(spark, sf_dir):
     return checked.select("doc_id", "roundtrip_ok")
 
 
+def train_bpe_full(spark, sf_dir):
+    """The default vocabulary; SQL cannot recurse that far, the tests compare it with the public library."""
+    merges = bpe.train_bpe(read_table(spark, sf_dir, "documents", "text")).merges
+    return merges.select([F.col(name).cast("bigint").alias(name) for name in merges.columns])
+
+
+def _corpus(spark, sf_dir):
+    encoded = encoding.encode(read_table(spark, sf_dir, "documents"), trained(spark, sf_dir), ids="tokens")
+    return corpus.split_corpus(corpus.truncate_tokens(encoded.select("doc_id", "tokens")), "doc_id")
+
+
+def encoded_corpus(spark, sf_dir):
+    """Texts to vocabulary ids, truncated and split."""
+    return _corpus(spark, sf_dir).select(
+        "doc_id", "split", F.col("token_count").cast("bigint").alias("token_count"), "truncated", joined("tokens").alias("tokens")
+    )
+
+
+def encoded_batches(spark, sf_dir):
+    """Padded batches of the encoded training texts."""
+    train = batches.filter_short(_corpus(spark, sf_dir).filter("split = 'train'"))
+    rows = F.array_join(F.transform("rows", joined), ";")
+    collated = batches.collate(batches.assign_batches(train, "doc_id"))
+    return collated.select("batch_id", F.col("width").cast("bigint").alias("width"), rows.alias("rows"))
+
+
 QUERIES = {
     "train_bpe": train_bpe,
+    "train_bpe_full": train_bpe_full,
+    "encoded_corpus": encoded_corpus,
+    "encoded_batches": encoded_batches,
     "vocabulary": vocabulary,
     "encode": encode,
     "decode": decode,
@@ -135,7 +165,24 @@ _IDS = "list_transform(string_split(symbols, ''), lambda s: unicode(s) - 256)"
 _TOKENS = "list_transform(string_split(symbols, ''), lambda s: tokens[unicode(s) - 255])"
 _TURN = "conv_id, turn"
 
+_CORPUS = f"""{_encoded_sql('documents', 'doc_id')},
+built AS MATERIALIZED (
+    SELECT doc_id, {SPLIT_SQL} AS split, len(tokens) AS token_count, len(tokens) > 512 AS truncated,
+        tokens[1:512] AS tokens
+    FROM (SELECT doc_id, {_IDS} AS tokens FROM encoded))
+"""
+
 ORACLES = {
+    "encoded_corpus": (
+        f"{_CORPUS} SELECT doc_id, split, token_count, truncated, array_to_string(tokens, ' ') AS tokens FROM built"
+    ),
+    "encoded_batches": (
+        f"{_CORPUS} SELECT batch_id, max(width)::BIGINT AS width,"
+        " string_agg(array_to_string(list_resize(tokens, width, 0), ' '), ';' ORDER BY doc_id) AS rows FROM"
+        " (SELECT *, max(len(tokens)) OVER (PARTITION BY batch_id) AS width FROM"
+        " (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS batch_id FROM built"
+        " WHERE split = 'train' AND len(tokens) >= 2)) GROUP BY batch_id"
+    ),
     "train_bpe": (
         f"{_TRAINING} SELECT rank, (unicode(pair[1]) - 256)::BIGINT AS left_id,"
         " (unicode(pair[2]) - 256)::BIGINT AS right_id, new_id FROM merges"
