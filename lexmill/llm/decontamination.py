@@ -5,9 +5,9 @@ longest item, so that any copy of an item lies whole in one of them. A passage's
 distinct words are a query; an item's score is its BM25 score as a share of the
 score that the item itself gets. Items are indexed in blocks with the largest
 weight of each word per block. Frequent words, whose weights together stay under
-half the threshold, only ever add that constant to a bound; the bounds of all
-blocks come from the other words, and only blocks that can reach the threshold
-are scored in full. All items over the threshold are retrieved, without a cap.
+half the threshold, only ever add a constant to a bound; the bounds of all
+blocks come from the other words, and only items in blocks that can reach the
+threshold are scored. All items over the threshold are retrieved, without a cap.
 
 A retrieved item is verified: of its question (what stands before its last
 sentence) and of its answer (the last sentence, or the last quarter if there is
@@ -38,7 +38,8 @@ WORD[ord("0") : ord("9") + 1] = True
 
 
 class Index(NamedTuple):
-    """Item ids and their question and answer runs; terms with postings by item and, for the rare ones, by block."""
+    """Item ids and their question and answer runs; terms with postings by item and, for the rare ones, by block; each item's
+    terms, and what its frequent ones can add at most (``rest``)."""
 
     ids: list
     questions: list[np.ndarray]
@@ -47,10 +48,14 @@ class Index(NamedTuple):
     begin: np.ndarray
     item: np.ndarray
     weight: np.ndarray
+    item_begin: np.ndarray
+    item_terms: np.ndarray
+    item_weight: np.ndarray
+    rare: np.ndarray
     block_begin: np.ndarray
     block: np.ndarray
     bound: np.ndarray
-    rest: float
+    rest: np.ndarray
     passage: int
 
 
@@ -101,7 +106,11 @@ def build(ids: list, texts: list[str | None], threshold: float) -> Index:
     bound = np.zeros(len(block_keys))
     np.maximum.at(bound, which, weight[some])
     block_term = block_keys // (n // BLOCK + 1)
-    return Index(ids, questions, answers, terms, begin, item, weight, np.searchsorted(block_term, np.arange(len(terms) + 1)), block_keys % (n // BLOCK + 1), bound, float(largest[frequent].sum()), 2 * max(int(sizes.max(initial=1)), RUN))
+    by_item = np.lexsort((term, item))
+    return Index(
+        ids, questions, answers, terms, begin, item, weight, np.searchsorted(item[by_item], np.arange(n + 1)), term[by_item], weight[by_item], rare,
+        np.searchsorted(block_term, np.arange(len(terms) + 1)), block_keys % (n // BLOCK + 1), bound, np.bincount(item[~some], weight[~some], n), 2 * max(int(sizes.max(initial=1)), RUN),
+    )
 
 
 def expand(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,35 +120,52 @@ def expand(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + begin[which]
 
 
-def search(index: Index, words: np.ndarray, threshold: float, may: np.ndarray) -> Iterator[tuple[int, int, float]]:
-    """First word of a passage, item and score of all items over the threshold; ``may`` sorts out most words by their low bits."""
-    step = index.passage // 2
+def search(index: Index, words: np.ndarray, firsts: np.ndarray, threshold: float, may: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+    """Text, first word of a passage in it, item and score of all items over the threshold, for all texts at once.
+
+    ``may`` sorts out most words by their low bits. Bounds of blocks come first,
+    then the rare words' part of the scores in blocks that pass, then whole scores.
+    """
+    n_terms, n_items = len(index.terms), len(index.ids)
+    if not n_terms:
+        return
+    step, blocks = index.passage // 2, n_items // BLOCK + 1
+    sizes = np.diff(firsts)
+    counts = np.where(sizes > 0, np.maximum((sizes - 1) // step, 1), 0)
+    base = np.cumsum(counts) - counts
     at = np.flatnonzero(may[(words & np.uint64(0xFFFF)).astype(np.int64)])
-    term = np.minimum(np.searchsorted(index.terms, words[at]), len(index.terms) - 1)
+    term = np.minimum(np.searchsorted(index.terms, words[at]), n_terms - 1)
     hit = index.terms[term] == words[at]
     at, term = at[hit], term[hit]
-    passages = max((len(words) - 1) // step, 1) if len(words) else 0
-    blocks = len(index.ids) // BLOCK + 1
-    group = max(1, (1 << 22) // blocks)
-    for low in range(0, passages, group):
-        high = min(low + group, passages)
-        a, b = np.searchsorted(at, [low * step, (high + 1) * step])
-        # A word is in the passage that begins in its step and in the one before.
-        own = at[a:b] // step
-        keys = np.concatenate([own[own < high] * len(index.terms) + term[a:b][own < high], (own[own > low] - 1) * len(index.terms) + term[a:b][own > low]])
-        keys = np.unique(keys)
-        passage, word = keys // len(index.terms), keys % len(index.terms)
-        which, place = expand(index.block_begin[word], index.block_begin[word + 1])
-        bounds = np.bincount((passage[which] - low) * blocks + index.block[place], index.bound[place], (high - low) * blocks)
-        for key in np.flatnonzero(bounds >= threshold - index.rest - 1e-9).tolist():
-            p, block = key // blocks + low, key % blocks
-            u, v = np.searchsorted(passage, [p, p + 1])
-            which, place = expand(index.begin[word[u:v]], index.begin[word[u:v] + 1])
-            items = index.item[place] - block * BLOCK
-            inside = (items >= 0) & (items < BLOCK)
-            scores = np.bincount(items[inside], index.weight[place[inside]], BLOCK)
-            for i in np.flatnonzero(scores >= threshold - 1e-9).tolist():
-                yield p * step, block * BLOCK + i, float(scores[i])
+    text = np.searchsorted(firsts, at, "right") - 1
+    own = (at - firsts[text]) // step
+    # A word is in the passage that begins in its step and in the one before.
+    here, before = own < counts[text], own > 0
+    own += base[text]
+    keys = np.unique(np.concatenate([own[here] * n_terms + term[here], (own[before] - 1) * n_terms + term[before]]))
+    passage, word = keys // n_terms, keys % n_terms
+    group = max(1, (1 << 22) // n_items)
+    for low in range(0, int(counts.sum()), group):
+        high = min(low + group, int(counts.sum()))
+        u, v = np.searchsorted(passage, [low, high])
+        local, used = passage[u:v] - low, word[u:v]
+        which, place = expand(index.block_begin[used], index.block_begin[used + 1])
+        bounds = np.bincount(local[which] * blocks + index.block[place], index.bound[place], (high - low) * blocks)
+        good = bounds >= threshold - index.rest.max(initial=0) - 1e-9
+        some = good.reshape(-1, blocks).any(axis=1)[local] & index.rare[used]
+        local_some, used_some = local[some], used[some]
+        which, place = expand(index.begin[used_some], index.begin[used_some + 1])
+        inside = good[local_some[which] * blocks + index.item[place] // BLOCK]
+        which, place = which[inside], place[inside]
+        scores = np.bincount(local_some[which] * n_items + index.item[place], index.weight[place], (high - low) * n_items)
+        for key in np.flatnonzero(scores >= threshold - np.tile(index.rest, high - low) - 1e-9).tolist():
+            p, i = key // n_items, key % n_items
+            a, b = np.searchsorted(local, [p, p + 1])
+            c, d = index.item_begin[i], index.item_begin[i + 1]
+            score = float(index.item_weight[c:d][np.isin(index.item_terms[c:d], used[a:b])].sum())
+            if score >= threshold - 1e-9:
+                t = int(np.searchsorted(base + counts, low + p, "right"))
+                yield t, (low + p - int(base[t])) * step, i, score
 
 
 def matches(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = 0.5, least_overlap: float = 0.5) -> DataFrame:
@@ -162,17 +188,19 @@ def in_shard(rows: DataFrame, index: Index, threshold: float, least_overlap: flo
     shared = rows.sparkSession.sparkContext.broadcast(index)
     names = ["id", "item", "passage_start", "score", "question_overlap", "answer_overlap"]
 
-    def verified(words: np.ndarray, may: np.ndarray) -> list[tuple]:
-        index, best, runs_of = shared.value, {}, {}
-        for start, item, value in search(index, words, threshold, may):
-            if start not in runs_of:
-                passage = words[start : start + index.passage]
+    def verified(words: np.ndarray, firsts: np.ndarray, may: np.ndarray) -> list[tuple]:
+        """Text, item and the best passage of each pair that both overlaps confirm."""
+        index, best, last = shared.value, {}, None
+        for text, start, item, value in search(index, words, firsts, threshold, may):
+            if last != (text, start):
+                last = (text, start)
+                passage = words[firsts[text] + start : min(firsts[text] + start + index.passage, firsts[text + 1])]
                 # Runs of five words, and shorter ones for items with shorter parts.
-                runs_of = {start: np.concatenate([run_hashes(passage, n) ^ np.uint64(n % RUN) for n in range(1, RUN + 1)])}
-            question, answer = (float(np.isin(r, runs_of[start]).mean()) if len(r) else 0.0 for r in (index.questions[item], index.answers[item]))
-            if min(question, answer) >= least_overlap and (item not in best or question + answer > best[item][2] + best[item][3]):
-                best[item] = (start, value, question, answer)
-        return [(index.ids[i], *row) for i, row in sorted(best.items())]
+                runs = np.concatenate([run_hashes(passage, n) ^ np.uint64(n % RUN) for n in range(1, RUN + 1)])
+            question, answer = (float(np.isin(r, runs).mean()) if len(r) else 0.0 for r in (index.questions[item], index.answers[item]))
+            if min(question, answer) >= least_overlap and ((text, item) not in best or question + answer > sum(best[text, item][2:])):
+                best[text, item] = (start, value, question, answer)
+        return [(text, index.ids[item], *row) for (text, item), row in sorted(best.items())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may = np.zeros(1 << 16, bool)
@@ -181,10 +209,7 @@ def in_shard(rows: DataFrame, index: Index, threshold: float, least_overlap: flo
             for part in slices(batch, "source"):
                 words, firsts, _, _ = tokens(part.column("source"))
                 ids = part.column("id").to_pylist()
-                out = []
-                for i, (a, b) in enumerate(zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True)):
-                    if b > a and len(shared.value.terms):
-                        out += [(ids[i], *row) for row in verified(words[a:b], may)]
+                out = [(ids[text], *row) for text, *row in verified(words, firsts, may)]
                 columns = list(zip(*out, strict=True)) if out else [[]] * 6
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)

@@ -60,9 +60,9 @@ def test_search_equals_brute_force():
     index = decontamination.build([i for i, _ in known], [t for _, t in known], 0.5)
     may = np.ones(1 << 16, bool)
     for r in rows:
-        words, _, _, _ = decontamination.tokens(pa.array([r[1]]))
+        words, firsts, _, _ = decontamination.tokens(pa.array([r[1]]))
         plain = tokens((r[1] or "").lower())
-        found = {(s, i): v for s, i, v in decontamination.search(index, words, 0.5, may)} if len(words) else {}
+        found = {(s, i): v for _, s, i, v in decontamination.search(index, words, firsts, 0.5, may)}
         step = index.passage // 2
         starts = range(0, max((len(plain) - 1) // step, 1) * step, step) if plain and len(plain) < 5000 else []
         expected = {}
