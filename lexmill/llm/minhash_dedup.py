@@ -7,10 +7,12 @@ by its smallest id, and only representatives are compared.
 
 Representatives with an equal band of minima share a bucket. First each bucket's
 smallest member is compared with the others, which is linear in the bucket and
-joins most groups. Only buckets whose members are then still in different
-components go on: pairs across components are compared in buckets of up to
-``SMALL`` members; larger ones are divided by a second and third band in which
-the two must agree too, until they are small or the bands have run out. Pairs
+joins most groups. Then, in a round more, members outside the largest
+component of their bucket are compared with another member of it. Pairs that are
+across components even then are compared one by one if they share three bands (a
+pair of similarity 0.8 misses that with a probability of 2.6e-5): at once in
+buckets where they are at most ``PAIRS_PER_MEMBER`` for each member, else in
+parts of the bucket that agree in one of the ``NEAR_BANDS`` next bands too. Pairs
 pass if the share of equal minima allows the similarity, and are links only if
 100 * intersection >= 100 * similarity * union holds on the full sets.
 
@@ -33,7 +35,7 @@ from lexmill.llm.texts import LOWER, SPACE, list_array, mixed, run_hashes, slice
 
 BANDS, ROWS = 40, 5
 MINIMA = BANDS * ROWS
-SMALL = 48
+STAR_ROUNDS, PAIRS_PER_MEMBER, NEAR_BANDS = 1, 32, 12
 #: Signature pairs pass if the share of equal minima is not this much below the similarity: five standard errors.
 MARGIN = 0.15
 _random = np.random.RandomState(20240229)
@@ -169,16 +171,32 @@ def verified(pairs: DataFrame, sources: DataFrame, size: int, percent: int) -> D
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component, with the bucket's size."""
-    mixed_keys = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    return members.join(mixed_keys.select("band", "size"), "band")
+def mixed_buckets(multi: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components: ``band, node, component``, the largest component ``top``, the members and the pairs across components."""
+    labels = stored(components(links), "labels").withColumnRenamed("component", "c")
+    members = multi.join(labels, "node", "left").select("band", "node", F.coalesce("c", "node").alias("component"))
+    sizes = members.groupBy("band", "component").agg(F.count("*").alias("n"))
+    buckets = sizes.groupBy("band").agg(
+        F.max_by("component", F.struct("n", "component")).alias("top"), F.sum("n").alias("members"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("kinds")
+    )
+    buckets = buckets.where("kinds > 1").select("band", "top", "members", ((F.col("members") * F.col("members") - F.col("same")) / 2).alias("pairs"))
+    return stored(members.join(stored(buckets, "buckets"), "band"), "members")
 
 
-def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members with the component that their node is in by now."""
-    own = labels.select("node", F.col("component").alias("c"))
-    return members.join(own, "node", "left").select("band", "node", F.coalesce("c", "node").alias("component"))
+def pairs_across(members: DataFrame, nodes: DataFrame, whole: bool) -> DataFrame:
+    """Pairs of different components in a bucket that share three bands at least.
+
+    In ``whole`` buckets, those of one band, a pair counts only in the first two that it shares.
+    """
+    bands = nodes.select("node", "bands")
+    rows = members.join(bands, "node")
+    few = rows.where("component <> top").select(F.col("band").alias("band_a"), F.col("node").alias("a"), F.col("component").alias("c_a"), F.col("bands").alias("bands_a"))
+    all_of = rows.select(F.col("band").alias("band_b"), F.col("node").alias("b"), F.col("component").alias("c_b"), F.col("bands").alias("bands_b"), (F.col("component") == F.col("top")).alias("in_top"))
+    different = (F.col("c_a") != F.col("c_b")) & (F.col("in_top") | (F.col("a") < F.col("b")))
+    shared = F.array_intersect("bands_a", "bands_b")
+    first = F.array_position(F.slice(F.array_sort(shared), 1, 2), F.col("band_a")) > 0 if whole else F.lit(True)
+    joined = few.join(all_of, (F.col("band_a") == F.col("band_b")) & different & (F.size(shared) >= 3) & first)
+    return joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", *, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -186,45 +204,46 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", *, size: int
     percent = round(100 * similarity)
     rows = df.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("tk"), F.col(text).alias("source"))
     found = stored(sketches(rows, size), "sketches")
-    first = found.where(F.col("id").isNotNull() & F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("node"))
-    own = found.join(first, "key", "left").withColumn("node", F.when(F.col("id").isNull(), None).otherwise(F.coalesce("node", "id")))
-    own = stored(own.select("id", "tk", "n", "key", "node", F.when(F.col("id") == F.col("node"), F.struct("bands", "marks")).alias("sketch")), "classes")
-    # A representative's node is its own id. Where one id names several sets, each is a node of its own until the end.
-    nodes = own.where(F.col("sketch").isNotNull() & F.col("key").isNotNull()).dropDuplicates(["key"])
-    nodes = stored(nodes.select(F.xxhash64("key").alias("node"), "id", "tk", "n", "sketch.bands", "sketch.marks"), "nodes")
+    first = stored(found.where(F.col("id").isNotNull() & F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("first")), "first")
+    # The first id of a set represents it. Where one id names several sets, each is a node of its own until the end.
+    nodes = found.join(first.withColumnRenamed("first", "id"), ["key", "id"]).dropDuplicates(["key", "id"])
+    nodes = stored(nodes.select(F.xxhash64("key").alias("node"), "id", "tk", "n", "bands", "marks"), "nodes")
     sources = rows.join(nodes.select("id", "tk", "node"), ["id", "tk"]).dropDuplicates(["node"])
     buckets = nodes.select("node", F.explode("bands").alias("band"))
-    centres = buckets.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("band", "a")
-    star = buckets.join(centres, "band").where("node > a").select("a", F.col("node").alias("b")).distinct()
-    tried = stored(likely(star, nodes, similarity), "pairs")
+    centres = stored(buckets.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("band", "a"), "centres")
+    multi = stored(buckets.join(centres, "band"), "multi")
+    tried = stored(likely(multi.where("node > a").select("a", F.col("node").alias("b")).distinct(), nodes, similarity), "pairs")
     links = stored(verified(tried, sources, size, percent), "verified")
-    labels = stored(components(links), "labels")
-    # Pairs across components that share a bucket.
-    members = stored(across(labelled(buckets.join(centres.select("band"), "band"), labels)), "members")
-    pairs = []
-    for level in range(3):
-        small = members.where(F.col("size") <= SMALL) if level < 2 else members
-        left = small.select("band", F.col("node").alias("a"), F.col("component").alias("c_a"))
-        right = small.select("band", F.col("node").alias("b"), F.col("component").alias("c_b"))
-        pairs.append(left.join(right, "band").where("a < b and c_a <> c_b").select("a", "b").distinct())
-        large = members.where(F.col("size") > SMALL)
-        if level == 2 or large.isEmpty():
+    multi = multi.select("band", "node")
+    # Stragglers against other members of the largest component of their buckets, drawn anew in each round.
+    for turn in range(STAR_ROUNDS):
+        members = mixed_buckets(multi, links)
+        centre = stored(members.where("component = top").groupBy("band").agg(F.min_by("node", F.xxhash64("node", "band", F.lit(turn))).alias("centre")), "centres")
+        star = members.where("component <> top").join(centre, "band").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+        fresh = stored(likely(star.distinct().join(tried, ["a", "b"], "left_anti"), nodes, similarity), "pairs")
+        if fresh.isEmpty():
             break
-        more = large.select("band", "node", "component").join(nodes.select("node", F.explode("bands").alias("other")), "node").where("other <> band")
-        finer = more.select(F.xxhash64("band", "other").alias("band"), "node", "component")
-        members = stored(across(finer.distinct()), "members")
-    rest = pairs[0]
-    for p in pairs[1:]:
-        rest = rest.union(p)
-    untried = rest.distinct().join(tried, ["a", "b"], "left_anti")
-    rest = stored(likely(untried, nodes, similarity), "pairs")
+        more = stored(verified(fresh, sources, size, percent), "verified")
+        tried, links = stored(tried.union(fresh), "tried"), stored(links.union(more), "links")
+    # All pairs that are still across components: at once where they are in proportion to the bucket, else by a second band.
+    members = mixed_buckets(multi, links)
+    light = members.where(F.col("pairs") <= PAIRS_PER_MEMBER * F.col("members"))
+    heavy = members.where(F.col("pairs") > PAIRS_PER_MEMBER * F.col("members")).join(nodes.select("node", "bands"), "node")
+    place = F.array_position("bands", F.col("band")).cast("int") - 1
+    near = F.transform(F.sequence(F.lit(1), F.lit(NEAR_BANDS)), lambda step: F.get("bands", (place + step) % BANDS))
+    finer = heavy.select("node", "component", "band", F.explode(near).alias("other"))
+    finer = finer.select(F.xxhash64("band", "other").alias("band"), "node", "component")
+    kinds = stored(finer.groupBy("band").agg(F.min("component").alias("top"), F.max("component").alias("z")).where("top < z").select("band", "top"), "finer")
+    rest = pairs_across(light.select("band", "node", "component", "top"), nodes, True).union(pairs_across(finer.join(kinds, "band"), nodes, False))
+    rest = stored(likely(rest.distinct().join(tried, ["a", "b"], "left_anti"), nodes, similarity), "pairs")
     if not rest.isEmpty():
         links = stored(links.union(verified(rest, sources, size, percent)), "verified")
     # Links between nodes as links between names; an id that names several sets joins them.
     name = nodes.select("node", "id")
     named = links.join(name.select(F.col("node").alias("a"), F.col("id").alias("i")), "a").join(name.select(F.col("node").alias("b"), F.col("id").alias("j")), "b").select(F.col("i").alias("a"), F.col("j").alias("b"))
-    same = own.where("id <> node and key is not null").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    reached = components(named.union(same.distinct()))
+    own = stored(found.select("id", "tk", "n", "key").join(first, "key", "left").select("id", "tk", "n", "first"), "classes")
+    same = own.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    reached = components(named.union(same))
     result = own.select("id", "tk", "n").join(reached.select(F.col("node").alias("id"), "component"), "id", "left")
     return result.select("id", "tk", "n", F.coalesce("component", "id").alias("component"))
 

@@ -45,10 +45,11 @@ def test_components_equal_brute_force(spark, size, seed):
 
 
 def test_large_buckets_and_chains(spark, monkeypatch):
-    """A chain of texts that each differ a little from the one before; buckets count as large from three members on."""
+    """A chain of texts that each differ a little from the one before; no bucket's pairs count as few."""
     import random
 
-    monkeypatch.setattr(minhash_dedup, "SMALL", 2)
+    monkeypatch.setattr(minhash_dedup, "PAIRS_PER_MEMBER", 0)
+    monkeypatch.setattr(minhash_dedup, "STAR_ROUNDS", 1)
     rng = random.Random(2)
     words = prose(rng, "en", 120).split(" ")
     rows = []
