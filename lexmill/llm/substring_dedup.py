@@ -182,14 +182,15 @@ def passages(df: DataFrame, key: str = "doc_id", text: str = "text", *, window:
     """
     rows = df.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("tk"), F.col(text).alias("source"))
     found = stored(digests(rows, window), "digests")
-    first = found.where(F.col("id").isNotNull()).groupBy("sha").agg(F.min("id").alias("first"))
+    # What is joined back is written first: a frequent key's rows can then be split on the other side.
+    first = stored(found.where(F.col("id").isNotNull()).groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last"), "copies")
     found = found.join(first, "sha", "left").withColumn("copy", F.coalesce((F.col("id") > F.col("first")) & (F.col("n_words") >= window), F.lit(False)))
     one = found.where(~F.col("copy") & F.col("id").isNotNull()).select("id", "tk", F.explode("phrases").alias("phrase"))
-    recurring = one.groupBy("phrase").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("phrase")
+    recurring = stored(one.groupBy("phrase").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("phrase"), "recurring")
     lists = one.join(recurring, "phrase").groupBy("id", "tk").agg(F.collect_set("phrase").alias("phrases"))
     some = stored(candidates(rows.join(lists, ["id", "tk"]), window), "candidates")
     windows = window_rows(some, window)
-    owned = windows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "lo")
+    owned = stored(windows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "lo"), "owned")
     removed = windows.join(owned, "h").where("id > lo").groupBy("id", "tk").agg(F.collect_set("start").alias("removed"))
     return found, cut(some.dropDuplicates(["id", "tk"]).join(removed, ["id", "tk"]), window)
 
