@@ -35,11 +35,11 @@ from lexmill.llm.texts import list_array, slices, text_bytes, word_hashes
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 #: Bytes of text that are searched together.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 #: Pieces that a model may have; they are sent to every task.
 MAX_PIECES = 1 << 20
 #: Encoded words that a task keeps.
-MAX_KEPT = 500_000
+MAX_KEPT = 300_000
 MAX_PAIRS = 2_000_000
 
 
