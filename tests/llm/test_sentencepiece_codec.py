@@ -84,6 +84,6 @@ def test_literal_mark_comes_back_as_space(model):
     assert codec.decode_ids(model, ids) == "x y"
 
 
-def test_other_normalisation_is_refused(tmp_path):
+def test_a_missing_model_is_an_error(tmp_path):
     with pytest.raises(Exception):  # noqa: B017, PT011
         codec.load_model(str(tmp_path / "none.model"))
