@@ -143,6 +143,37 @@ def test_neighbours_are_exact():
         assert np.allclose([c for c, _ in found], expected[expected > 0][: len(found)]) and len(found) == min(10, (dense @ query > 0).sum())
 
 
+def test_neighbours_are_those_of_whole_texts(spark):
+    """Evidence and cosines are those of all terms, also for texts that hold none of the terms that tell the label."""
+    rows, labels = labelled()
+    learn = labels_frame(spark, labels).where(~held_out("doc_id"))
+    df = frame(spark, rows).select("doc_id", "text")
+    made = {r["doc_id"]: r for r in toxicity.score(df, toxicity.fit(df, learn.select("doc_id", "toxic"))).collect()}
+    sample = {r["doc_id"] for r in learn.collect()}
+    hashes, of = toxicity.text_terms(pa.array([r[1] for r in rows]))
+    vectors = [{} for _ in rows]
+    for h, i in zip(hashes.tolist(), of.tolist(), strict=True):
+        vectors[i][h] = vectors[i].get(h, 0) + 1
+    seen = {}
+    for v in vectors:
+        for h in v:
+            seen[h] = seen.get(h, 0) + 1
+    inside = {h for v, r in zip(vectors, rows, strict=True) if r[0] in sample for h in v}
+    # Terms of no example are counted together with those of the same bucket.
+    bucket = {}
+    for h in seen.keys() - inside:
+        bucket[h % toxicity.BUCKETS] = bucket.get(h % toxicity.BUCKETS, 0) + seen[h]
+    idf = {h: np.log((1 + len(rows)) / (1 + (n if h in inside else bucket[h % toxicity.BUCKETS]))) + 1 for h, n in seen.items()}
+    unit = []
+    for v in vectors:
+        w = {h: (1 + np.log(n)) * max(idf[h], 1) for h, n in v.items()}
+        length = np.sqrt(sum(x * x for x in w.values()))
+        unit.append({h: x / length for h, x in w.items()})
+    for i, r in enumerate(rows):
+        cosines = sorted((sum(x * unit[j].get(h, 0) for h, x in unit[i].items()) for j, o in enumerate(rows) if o[0] in sample), reverse=True)
+        assert np.allclose(made[r[0]]["evidence_cosine"], cosines[:3]) and len(made[r[0]]["evidence"]) == 3
+
+
 def test_isotonic_is_monotone():
     rng = np.random.RandomState(2)
     raw = rng.rand(200)
