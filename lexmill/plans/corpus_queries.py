@@ -1,15 +1,18 @@
 """Queries over id sequences: corpus building, batches and the article audit."""
 
+import functools
+
 from pyspark.sql import functions as F
 
 from lexmill.functions.sequences import pad_min
 from lexmill.operators import audit, batches, corpus
 from lexmill.plans.inputs import SEQUENCES_SQL, SPLIT_SQL, joined, sequences, word_ids, word_ids_sql
+from lexmill.plans.token_queries import full_sequences
 from lexmill.sources.tables import read_table
 
 
-def _built(spark, sf_dir):
-    return corpus.split_corpus(corpus.truncate_tokens(sequences(spark, sf_dir)), "doc_id")
+def _built(spark, sf_dir, given=sequences):
+    return corpus.split_corpus(corpus.truncate_tokens(given(spark, sf_dir)), "doc_id")
 
 
 _BUILT_SQL = (
@@ -18,14 +21,14 @@ _BUILT_SQL = (
 )
 
 
-def truncate_tokens(spark, sf_dir):
-    return corpus.truncate_tokens(sequences(spark, sf_dir)).select(
+def truncate_tokens(spark, sf_dir, given=sequences):
+    return corpus.truncate_tokens(given(spark, sf_dir)).select(
         "doc_id", F.col("token_count").cast("bigint").alias("token_count"), "truncated", joined("tokens").alias("tokens")
     )
 
 
-def corpus_stats(spark, sf_dir):
-    stats = corpus.corpus_stats(_built(spark, sf_dir))
+def corpus_stats(spark, sf_dir, given=sequences):
+    stats = corpus.corpus_stats(_built(spark, sf_dir, given))
     return stats.select(
         "articles",
         "truncated_articles",
@@ -35,13 +38,17 @@ def corpus_stats(spark, sf_dir):
     )
 
 
-def split_shares(spark, sf_dir):
-    return corpus.split_shares(_built(spark, sf_dir)).withColumn("pct", F.round("pct", 6))
+def split_corpus(spark, sf_dir, given=sequences):
+    return _built(spark, sf_dir, given).select("doc_id", "split")
+
+
+def split_shares(spark, sf_dir, given=sequences):
+    return corpus.split_shares(_built(spark, sf_dir, given)).withColumn("pct", F.round("pct", 6))
 
 
-def _short(spark, sf_dir):
+def _short(spark, sf_dir, given=sequences):
     """Batches by language of the truncated sequences; the first ones hold only short sequences."""
-    return batches.assign_batches(corpus.truncate_tokens(sequences(spark, sf_dir)), ["lang", "doc_id"])
+    return batches.assign_batches(corpus.truncate_tokens(given(spark, sf_dir)), ["lang", "doc_id"])
 
 
 _SHORT_SQL = (
@@ -62,20 +69,20 @@ _PADDED_SQL = (
 )
 
 
-def collate(spark, sf_dir):
+def collate(spark, sf_dir, given=sequences):
     rows = F.array_join(F.transform("rows", joined), ";")
-    return batches.collate(_short(spark, sf_dir)).select(
+    return batches.collate(_short(spark, sf_dir, given)).select(
         "batch_id", F.col("width").cast("bigint").alias("width"), rows.alias("rows")
     )
 
 
-def batch_rows(spark, sf_dir):
-    rows = batches.batch_rows(batches.collate(_short(spark, sf_dir)))
+def batch_rows(spark, sf_dir, given=sequences):
+    rows = batches.batch_rows(batches.collate(_short(spark, sf_dir, given)))
     return rows.select("batch_id", F.col("pos").cast("bigint").alias("pos"), joined("tokens").alias("tokens"))
 
 
-def shift_pairs(spark, sf_dir):
-    pairs = batches.shift_pairs(batches.batch_rows(batches.collate(_short(spark, sf_dir))))
+def shift_pairs(spark, sf_dir, given=sequences):
+    pairs = batches.shift_pairs(batches.batch_rows(batches.collate(_short(spark, sf_dir, given))))
     return pairs.select(
         "batch_id",
         F.col("pos").cast("bigint").alias("pos"),
@@ -109,7 +116,7 @@ def _turns(spark, sf_dir):
     return turns.unionByName(added)
 
 
-def filter_short(spark, sf_dir):
+def filter_short(spark, sf_dir, given):
     return batches.filter_short(_turns(spark, sf_dir)).select("conv_id", "turn", joined("tokens").alias("tokens"))
 
 
@@ -122,19 +129,19 @@ def pad_min_rows(spark, sf_dir):
     return turns.select("conv_id", "turn", joined(pad_min("tokens", 64)).alias("tokens"))
 
 
-def dataset_summary(spark, sf_dir):
-    return batches.dataset_summary(batches.filter_short(_built(spark, sf_dir)))
+def dataset_summary(spark, sf_dir, given=sequences):
+    return batches.dataset_summary(batches.filter_short(_built(spark, sf_dir, given)))
 
 
-def preview(spark, sf_dir):
-    val = batches.filter_short(_built(spark, sf_dir).filter(F.col("split") == "val"))
+def preview(spark, sf_dir, given=sequences):
+    val = batches.filter_short(_built(spark, sf_dir, given).filter(F.col("split") == "val"))
     return batches.preview(val, "doc_id").select(
         F.col("pos").cast("bigint").alias("pos"), joined("tokens").alias("tokens")
     )
 
 
-def target_tokens(spark, sf_dir):
-    return batches.target_tokens(batches.collate(_short(spark, sf_dir)))
+def target_tokens(spark, sf_dir, given=sequences):
+    return batches.target_tokens(batches.collate(_short(spark, sf_dir, given)))
 
 
 # Audit. A file is one source and language; the files of one language failed.
@@ -179,7 +186,7 @@ def rank_files_top(spark, sf_dir):
 
 QUERIES = {
     "truncate_tokens": truncate_tokens,
-    "split_corpus": lambda spark, sf_dir: _built(spark, sf_dir).select("doc_id", "split"),
+    "split_corpus": split_corpus,
     "corpus_stats": corpus_stats,
     "split_shares": split_shares,
     "filter_short": filter_short,
@@ -199,6 +206,14 @@ QUERIES = {
     "rank_files": rank_files,
     "rank_files_top": rank_files_top,
 }
+# The same with the ids of the default vocabulary, which SQL cannot train.
+QUERIES |= {
+    f"{query.__name__}_full": functools.partial(query, given=full_sequences)
+    for query in (
+        truncate_tokens, split_corpus, corpus_stats, split_shares, collate, batch_rows, shift_pairs, dataset_summary,
+        preview, target_tokens
+    )
+}
 
 _TURNS_SQL = f"SELECT conv_id, turn, {word_ids_sql('text')} AS tokens FROM conversations"
 _ALL_TURNS_SQL = (

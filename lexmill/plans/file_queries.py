@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexmill.functions.cleaning import strip_nested_templates
 from lexmill.operators import batches, corpus, training_log
 from lexmill.plans.inputs import SEQUENCES_SQL, SPLIT_SQL, char_sql, joined, sequences
+from lexmill.plans.token_queries import full_sequences
 from lexmill.session import new_shared_path
 from lexmill.sources import articles, metrics, sequences as stored, wiki_dump
 from lexmill.sources.tables import read_table
@@ -214,9 +215,9 @@ def wiki_ledger(spark, sf_dir):
     return wiki_dump.dump_ledger(wiki_dump.scan_wiki_dump(spark, _dump(spark, sf_dir)))
 
 
-def evaluate(spark, sf_dir):
+def evaluate(spark, sf_dir, given=sequences):
     """Loss of the collated validation batches, from one given loss per batch."""
-    built = corpus.split_corpus(corpus.truncate_tokens(sequences(spark, sf_dir)), "doc_id")
+    built = corpus.split_corpus(corpus.truncate_tokens(given(spark, sf_dir)), "doc_id")
     path = new_shared_path(spark, "splits")
     stored.write_splits(built, path)
     val = batches.filter_short(stored.read_sequences(spark, path, "val"), count="token_count")
@@ -245,6 +246,7 @@ QUERIES = {
     "split_sink": split_sink,
     "stored_metrics": stored_metrics,
     "evaluate": evaluate,
+    "evaluate_full": functools.partial(evaluate, given=full_sequences),
 }
 
 _TITLED = "SELECT source, doc_id::VARCHAR AS title, text FROM documents"

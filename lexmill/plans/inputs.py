@@ -87,6 +87,10 @@ ADDED_SEQUENCES = 24
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One id sequence per document, of its whole text, and the added short ones."""
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", word_ids("text").alias("tokens"))
+    return with_added(spark, documents)
+
+
+def with_added(spark: SparkSession, documents: DataFrame) -> DataFrame:
     added = spark.range(1, ADDED_SEQUENCES + 1).select(
         (-F.col("id")).alias("doc_id"),
         F.lit("aa").alias("lang"),

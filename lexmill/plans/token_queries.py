@@ -5,28 +5,28 @@ import functools
 from pyspark.sql import functions as F
 
 from lexmill.operators import batches, bpe, corpus, encoding
-from lexmill.plans.inputs import SPLIT_SQL, byte_symbols_sql, joined, words_sql
+from lexmill.plans.inputs import SPLIT_SQL, byte_symbols_sql, joined, with_added, words_sql
 from lexmill.plans.text_queries import ALPHABET_SQL, SYMBOL_WORDS_SQL
 from lexmill.session import new_shared_path
 from lexmill.sources.tables import read_table
 from lexmill.sources.tokenizer_store import read_tokenizer, write_tokenizer
 
 # How far SQL can repeat the training, one recursion step per merge over all words.
-# ``train_bpe_full`` goes on to the default size.
+# The queries named ``_full`` do the same with the default size.
 VOCAB_SIZE = 300
 
 
 @functools.lru_cache(maxsize=None)
-def _stored(spark, application, sf_dir):
+def _stored(spark, application, sf_dir, size):
     documents = read_table(spark, sf_dir, "documents", "text")
     path = new_shared_path(spark, "tokenizer")
-    write_tokenizer(bpe.train_bpe(documents, VOCAB_SIZE), path)
+    write_tokenizer(bpe.train_bpe(documents, size), path)
     return path
 
 
-def trained(spark, sf_dir):
+def trained(spark, sf_dir, size=VOCAB_SIZE):
     """The documents' vocabulary, trained once per application and then loaded."""
-    return read_tokenizer(spark, _stored(spark, spark.sparkContext.applicationId, sf_dir))
+    return read_tokenizer(spark, _stored(spark, spark.sparkContext.applicationId, sf_dir, size))
 
 
 def train_bpe(spark, sf_dir):
@@ -34,35 +34,35 @@ def train_bpe(spark, sf_dir):
     return merges.select([F.col(name).cast("bigint").alias(name) for name in merges.columns])
 
 
-def vocabulary(spark, sf_dir):
-    return trained(spark, sf_dir).vocab.select(F.col("id").cast("bigint").alias("id"), "token")
+def vocabulary(spark, sf_dir, size=VOCAB_SIZE):
+    return trained(spark, sf_dir, size).vocab.select(F.col("id").cast("bigint").alias("id"), "token")
 
 
-def encode(spark, sf_dir):
-    encoded = encoding.encode(read_table(spark, sf_dir, "documents"), trained(spark, sf_dir))
+def encode(spark, sf_dir, size=VOCAB_SIZE):
+    encoded = encoding.encode(read_table(spark, sf_dir, "documents"), trained(spark, sf_dir, size))
     return encoded.select("doc_id", joined("ids").alias("ids"))
 
 
-def _encoded_turns(spark, sf_dir):
+def _encoded_turns(spark, sf_dir, size=VOCAB_SIZE):
     turns = read_table(spark, sf_dir, "conversations")
-    return encoding.encode(turns, trained(spark, sf_dir)).select("conv_id", "turn", "text", "ids")
+    return encoding.encode(turns, trained(spark, sf_dir, size)).select("conv_id", "turn", "text", "ids")
 
 
-def decode(spark, sf_dir):
-    tokenizer = trained(spark, sf_dir)
+def decode(spark, sf_dir, size=VOCAB_SIZE):
+    tokenizer = trained(spark, sf_dir, size)
     encoded = encoding.encode(read_table(spark, sf_dir, "documents"), tokenizer)
     return encoding.decode(encoded, tokenizer.vocab).select("doc_id", "decoded")
 
 
-def explode_tokens(spark, sf_dir):
-    listed = encoding.explode_tokens(_encoded_turns(spark, sf_dir).drop("text"), trained(spark, sf_dir).vocab)
+def explode_tokens(spark, sf_dir, size=VOCAB_SIZE):
+    listed = encoding.explode_tokens(_encoded_turns(spark, sf_dir, size).drop("text"), trained(spark, sf_dir, size).vocab)
     return listed.select(
         "conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "token", F.col("id").cast("bigint").alias("id")
     )
 
 
-def token_stats(spark, sf_dir):
-    stats = encoding.token_stats(_encoded_turns(spark, sf_dir), trained(spark, sf_dir).vocab)
+def token_stats(spark, sf_dir, size=VOCAB_SIZE):
+    stats = encoding.token_stats(_encoded_turns(spark, sf_dir, size), trained(spark, sf_dir, size).vocab)
     return stats.select(
         "conv_id",
         "turn",
@@ -72,8 +72,8 @@ def token_stats(spark, sf_dir):
     )
 
 
-def roundtrip_ok(spark, sf_dir):
-    tokenizer = trained(spark, sf_dir)
+def roundtrip_ok(spark, sf_dir, size=VOCAB_SIZE):
+    tokenizer = trained(spark, sf_dir, size)
     encoded = encoding.encode(read_table(spark, sf_dir, "documents"), tokenizer)
     checked = encoding.roundtrip_ok(encoding.decode(encoded, tokenizer.vocab))
     return checked.select("doc_id", "roundtrip_ok")
@@ -85,26 +85,32 @@ def train_bpe_full(spark, sf_dir):
     return merges.select([F.col(name).cast("bigint").alias(name) for name in merges.columns])
 
 
-def _corpus(spark, sf_dir):
-    encoded = encoding.encode(read_table(spark, sf_dir, "documents"), trained(spark, sf_dir), ids="tokens")
+def _corpus(spark, sf_dir, size=VOCAB_SIZE):
+    encoded = encoding.encode(read_table(spark, sf_dir, "documents"), trained(spark, sf_dir, size), ids="tokens")
     return corpus.split_corpus(corpus.truncate_tokens(encoded.select("doc_id", "tokens")), "doc_id")
 
 
-def encoded_corpus(spark, sf_dir):
+def encoded_corpus(spark, sf_dir, size=VOCAB_SIZE):
     """Texts to vocabulary ids, truncated and split."""
-    return _corpus(spark, sf_dir).select(
+    return _corpus(spark, sf_dir, size).select(
         "doc_id", "split", F.col("token_count").cast("bigint").alias("token_count"), "truncated", joined("tokens").alias("tokens")
     )
 
 
-def encoded_batches(spark, sf_dir):
+def encoded_batches(spark, sf_dir, size=VOCAB_SIZE):
     """Padded batches of the encoded training texts."""
-    train = batches.filter_short(_corpus(spark, sf_dir).filter("split = 'train'"))
+    train = batches.filter_short(_corpus(spark, sf_dir, size).filter("split = 'train'"))
     rows = F.array_join(F.transform("rows", joined), ";")
     collated = batches.collate(batches.assign_batches(train, "doc_id"))
     return collated.select("batch_id", F.col("width").cast("bigint").alias("width"), rows.alias("rows"))
 
 
+def full_sequences(spark, sf_dir):
+    """The ids of the default vocabulary for every document's whole text, and the added short sequences."""
+    encoded = encoding.encode(read_table(spark, sf_dir, "documents"), trained(spark, sf_dir, bpe.VOCAB_SIZE), ids="tokens")
+    return with_added(spark, encoded.select("doc_id", "lang", "source", "tokens"))
+
+
 QUERIES = {
     "train_bpe": train_bpe,
     "train_bpe_full": train_bpe_full,
@@ -117,6 +123,12 @@ QUERIES = {
     "token_stats": token_stats,
     "roundtrip_ok": roundtrip_ok,
 }
+QUERIES |= {
+    f"{query.__name__}_full": functools.partial(query, size=bpe.VOCAB_SIZE)
+    for query in (
+        vocabulary, encode, decode, explode_tokens, token_stats, roundtrip_ok, encoded_corpus, encoded_batches
+    )
+}
 
 # Training in SQL: every word is a string of one character per symbol, and each
 # recursion step replaces the most frequent pair, ties by smaller ids.

@@ -269,3 +269,22 @@ def test_a_full_vocabulary_equals_the_library(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
     library = train_library([row["text"] for row in rows.orderBy("text").collect()], 32_000)
     assert model_of_ours(bpe.train_bpe(rows)) == model_of(library)
+
+
+def test_full_queries_have_the_ids_of_the_library(spark):
+    """Encoding, truncation and evaluation run on the default vocabulary."""
+    from lexmill.plans.catalog import QUERIES
+
+    given = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    library = train_library(list(given.values()), bpe.VOCAB_SIZE)
+    expected = {i: library.encode(text).ids for i, text in given.items()}
+    size = library.get_vocab_size()
+    assert size > 300 and QUERIES["vocabulary_full"](spark, SF_DIR).count() == size
+    encoded = {r["doc_id"]: [int(x) for x in r["ids"].split()] for r in QUERIES["encode_full"](spark, SF_DIR).collect()}
+    assert encoded == expected and max(map(max, filter(None, expected.values()))) > 300
+    clipped = {r["doc_id"]: r for r in QUERIES["truncate_tokens_full"](spark, SF_DIR).collect() if r["doc_id"] >= 0}
+    assert {i: [int(x) for x in r["tokens"].split()] for i, r in clipped.items()} == {i: x[:512] for i, x in expected.items()}
+    assert all(r["truncated"] == (len(expected[i]) > 512) for i, r in clipped.items())
+    stats = QUERIES["corpus_stats_full"](spark, SF_DIR).collect()[0]
+    assert stats["max_tokens"] == max(map(len, expected.values()))
+    assert QUERIES["evaluate_full"](spark, SF_DIR).collect()[0]["num_tokens"] > 0
