@@ -12,19 +12,22 @@ Ties go to the language that comes first in order of its name. Rows are kept
 as they are, repeated ones too. Whole texts are counted, slice by slice.
 """
 
+import itertools
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.sampling import sample_frame, sample_ids
-from lexmill.llm.texts import slices, text_bytes
+from lexmill.llm.sampling import sample_frame
+from lexmill.llm.texts import slices, stored, text_bytes
 
 UNKNOWN = "und"
 BUCKETS = 2048
+#: More values than there are languages; such a column holds something else.
+MAX_LANGUAGES = 10_000
 
 
 class Centroids(NamedTuple):
@@ -92,14 +95,45 @@ def k_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
 
 
-def fit(labelled: DataFrame, *, key: str, text: str, lang: str, per_language: int = 300, max_languages: int = 64, clusters: int = 4, reject_share: float = 0.005) -> Centroids:
-    """Fit on at most ``per_language`` texts of each of at most ``max_languages`` languages (the most frequent).
+def sampled(labelled: DataFrame, key: str, lang: str, per_language: int) -> list[tuple]:
+    """Up to ``per_language`` keys of every language with the language, drawn by the hash of the key, so the same rows each time."""
+    known = labelled.where(F.col(lang).isNotNull() & (F.col(lang) != UNKNOWN))
+    languages = known.select(lang).distinct().limit(MAX_LANGUAGES + 1).count()
+    if languages > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} values of {lang}: not language labels")
+    drawn = Window.partitionBy("label").orderBy(F.xxhash64("k"), "k")
+    rows = known.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("label")).distinct()
+    return [(r["k"], r["label"]) for r in rows.withColumn("nth", F.row_number().over(drawn)).where(F.col("nth") <= per_language).collect()]
+
+
+def inverse_frequencies(texts: DataFrame, text: str) -> np.ndarray:
+    """The IDF of every bucket over all texts with letters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS + 1, np.int64)
+        for batch in batches:
+            for part in slices(batch, text):
+                for at in range(0, part.num_rows, 1024):
+                    rows, has = vectors(part.slice(at, 1024).column(text))
+                    total[:-1] += (rows > 0).sum(axis=0)
+                    total[-1] += has.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(range(BUCKETS + 1), pa.int64()), pa.array(total)], ["bucket", "n"])
+
+    df = np.zeros(BUCKETS + 1)
+    for r in texts.select(text).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        df[r["bucket"]] = r["n"]
+    return (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
+
+
+def fit(labelled: DataFrame, *, key: str, text: str, lang: str, per_language: int = 300, clusters: int = 4, reject_share: float = 0.005) -> Centroids:
+    """Fit on at most ``per_language`` texts of every language; document frequencies are counted over all rows of ``labelled``.
 
     ``reject_share`` is the share of a cluster's sample texts that its distance limit rejects.
     """
-    counts = labelled.where(F.col(lang).isNotNull() & (F.col(lang) != UNKNOWN)).groupBy(lang).count().orderBy(F.desc("count"), lang).limit(max_languages).collect()
-    languages = sorted(row[0] for row in counts)
-    found = sample_ids(labelled, key, lang, languages, per_language)
+    found = sampled(labelled, key, lang, per_language)
+    none = Centroids([], np.zeros((0, BUCKETS), np.float32), np.ones(BUCKETS, np.float32), np.zeros(0, np.float32))
+    if not found:
+        return none
     sample = sample_frame(labelled.select(F.col(key), F.col(text)), found, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,18 +143,13 @@ def fit(labelled: DataFrame, *, key: str, text: str, lang: str, per_language: in
                 for i in np.flatnonzero(has):
                     yield pa.RecordBatch.from_arrays([part.column("sample_label").slice(i, 1).cast(pa.string()), part.column(key).slice(i, 1).cast(pa.string()), pa.array([rows[i].astype(np.float16).tobytes()], pa.binary())], ["lang", "key", "vector"])
 
-    rows = sample.mapInArrow(run, "lang string, key string, vector binary").collect() if found else []
-    rows.sort(key=lambda r: (r["lang"], r["key"], r["vector"]))
-    if not rows:
-        return Centroids([], np.zeros((0, BUCKETS), np.float32), np.ones(BUCKETS, np.float32), np.zeros(0, np.float32))
-    raw = np.array([np.frombuffer(r["vector"], np.float16) for r in rows]).astype(np.float32)
-    idf = (np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))) + 1).astype(np.float32)
-    raw *= idf
-    raw /= np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-12)
-    of = np.array([r["lang"] for r in rows])
+    rows = stored(sample.mapInArrow(run, "lang string, key string, vector binary"), "languages").orderBy("lang", "key", "vector")
+    idf = inverse_frequencies(labelled, text)
     names, centres, nearest = [], [], []
-    for language in sorted(set(of.tolist())):
-        own = raw[of == language]
+    # One language's vectors at a time are on the driver.
+    for language, group in itertools.groupby(rows.toLocalIterator(), key=lambda r: r["lang"]):
+        own = np.array([np.frombuffer(r["vector"], np.float16) for r in group]).astype(np.float32) * idf
+        own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
         made = k_means(own, clusters)
         cosine = own @ made.T
         best = np.argmax(cosine, axis=1)
@@ -130,7 +159,7 @@ def fit(labelled: DataFrame, *, key: str, text: str, lang: str, per_language: in
                 names.append(language)
                 centres.append(centre)
                 nearest.append(np.quantile(near, reject_share))
-    return Centroids(names, np.array(centres, np.float32), idf, np.array(nearest, np.float32))
+    return none if not names else Centroids(names, np.array(centres, np.float32), idf, np.array(nearest, np.float32))
 
 
 def predict(df: DataFrame, model: Centroids, text: str = "text") -> DataFrame:

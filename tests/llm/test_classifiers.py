@@ -56,6 +56,22 @@ def test_language(spark):
     assert by_id[8]["lang_pred"] in ("en", "fr", "de")
 
 
+def test_no_language_is_left_out(spark):
+    """70 languages, of words of their own, and document frequencies of all texts, not only of the sampled ones."""
+    rng = random.Random(3)
+    rows = []
+    for j in range(70):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)]
+        rows += [row(2000 + 10 * j + i, " ".join(rng.choice(words) for _ in range(30)), f"l{j:02}") for i in range(4 + j % 3)]
+    df = frame(spark, rows)
+    model = language_id.fit(df, key="doc_id", text="text", lang="lang", per_language=3)
+    assert set(model.languages) == {r[2] for r in rows}
+    made = language_id.predict(df.select("doc_id", "lang", "text"), model).collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in made]) > 0.98
+    seen, _ = language_id.vectors(pa.array([r[1] for r in rows]))
+    assert np.allclose(model.idf, np.log((1 + len(rows)) / (1 + (seen > 0).sum(axis=0))) + 1)
+
+
 def test_language_without_labels(spark):
     df = frame(spark, documents()).withColumn("lang", F.lit(None).cast("string"))
     model = language_id.fit(df, key="doc_id", text="text", lang="lang")
