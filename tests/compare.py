@@ -20,6 +20,10 @@ def connect(sf_dir):
 def _value(value):
     if isinstance(value, float):
         return "nan" if math.isnan(value) else value
+    if isinstance(value, (list, tuple)):
+        return tuple(_value(item) for item in value)
+    if isinstance(value, dict):
+        return tuple((key, _value(item)) for key, item in value.items())
     return value
 
 
