@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import decontamination, embedding_dedup, html_extraction, language_id, minhash_dedup, quality, sentencepiece_codec, substring_dedup, toxicity, url_filter
+from lexmill.llm import decontamination, embedding_dedup, html_extraction, language_id, minhash_dedup, oracles, quality, quality_rules, sentencepiece_codec, source_divergence, substring_dedup, toxicity, url_filter
 from lexmill.llm.sampling import held_out
 from lexmill.llm.texts import own_columns, table
 
@@ -81,6 +81,18 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.linked(embeddings, cosine=0.9)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far every two sources of a language differ in their words, and the words that tell each source."""
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures of every document, and whether its own rule and its source's shrunk failure rates keep it."""
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    rates = [F.round(f"rate_{rule}", 9).alias(f"rate_{rule}") for rule in quality_rules.RULES]
+    return judged.select("doc_id", *quality_rules.MEASURES, "base_failed", "host_rejected", "kept", *rates)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
@@ -92,5 +104,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_source_divergence": op11_source_divergence,
+    "op13_quality_rules": op13_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES

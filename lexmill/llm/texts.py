@@ -143,3 +143,19 @@ def within(firsts: np.ndarray, length: int) -> np.ndarray:
 
 def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
+
+
+def exact_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each distinct run of bytes ``starts[i]:ends[i]``, and the runs by number.
+
+    The bytes themselves are compared, no hash stands for them. The runs must be
+    in order and disjoint; the gaps between them are the odd elements of one
+    Arrow array over the same bytes, so nothing is copied.
+    """
+    if not len(starts):
+        return np.zeros(0, np.int64), pa.array([], pa.large_binary())
+    offsets = np.empty(2 * len(starts), np.int64)
+    offsets[::2], offsets[1::2] = starts, ends
+    parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    runs = parts.take(pa.array(np.arange(0, len(offsets) - 1, 2))).dictionary_encode()
+    return runs.indices.to_numpy().astype(np.int64), runs.dictionary
