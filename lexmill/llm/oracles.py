@@ -82,7 +82,41 @@ ranked AS (
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """
 
+# CRC-32 of a decimal id, bit by bit; nodes are the distinct lists of turns themselves.
+_CRC32 = (
+    "xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT),"
+    " lambda crc, byte: list_reduce([xor(crc, byte)] || range(8),"
+    " lambda bits, i: CASE WHEN bits % 2 = 1 THEN xor(bits // 2, 3988292384::BIGINT) ELSE bits // 2 END)), 4294967295::BIGINT)"
+)
+_CONVERSATION_TRIE = f"""
+WITH originals AS MATERIALIZED (
+    SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS turns FROM (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+    GROUP BY conv_id),
+heads AS (SELECT conv_id, turns, conv_id - conv_id % 5 AS lender, {_CRC32} % 9 AS h FROM originals),
+rebuilt AS MATERIALIZED (
+    SELECT a.conv_id, coalesce(b.turns[1:h], a.turns[1:0]) || a.turns[h + 1:] AS turns FROM heads a LEFT JOIN originals b ON b.conv_id = lender),
+prefixes AS MATERIALIZED (
+    SELECT conv_id, depth, turns[1:depth] AS prefix, depth = len(turns) AS is_end
+    FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS depth FROM rebuilt)),
+nodes AS MATERIALIZED (
+    SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256
+    FROM prefixes GROUP BY prefix, depth),
+counted AS MATERIALIZED (
+    SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN (
+        SELECT prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1) c USING (prefix)),
+above AS (SELECT *, unnest(range(depth + 1)) AS d FROM counted),
+subtrees AS (
+    SELECT prefix[1:d] AS prefix, count(*) FILTER (n_children = 0) AS n_leaves,
+        sum((n_convs - 1) * CASE WHEN depth > 0 THEN strlen(prefix[depth].text) ELSE 0 END)::BIGINT AS saved_tokens
+    FROM above GROUP BY prefix[1:d])
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens, c.ends_sha256
+FROM counted c JOIN subtrees s ON s.prefix = c.prefix LEFT JOIN nodes p ON c.depth > 0 AND p.prefix = c.prefix[1:c.depth - 1]
+"""
+
 ORACLES = {
+    "op12_conversation_trie": _CONVERSATION_TRIE,
     "op11_source_divergence": _SOURCE_DIVERGENCE,
     "op13_quality_rules": _QUALITY_RULES,
 }

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import decontamination, embedding_dedup, html_extraction, language_id, minhash_dedup, oracles, quality, quality_rules, sentencepiece_codec, source_divergence, substring_dedup, toxicity, url_filter
+from lexmill.llm import conversation_trie, decontamination, embedding_dedup, html_extraction, language_id, minhash_dedup, oracles, quality, quality_rules, sentencepiece_codec, source_divergence, substring_dedup, toxicity, url_filter
 from lexmill.llm.sampling import held_out
 from lexmill.llm.texts import own_columns, table
 
@@ -86,6 +86,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all rebuilt conversations."""
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("proven")
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The measures of every document, and whether its own rule and its source's shrunk failure rates keep it."""
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
@@ -105,6 +110,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_source_divergence": op11_source_divergence,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_quality_rules": op13_quality_rules,
 }
 ORACLES: dict[str, str] = oracles.ORACLES
