@@ -33,3 +33,19 @@ def targets_of(col) -> Column:
     """All tokens but the first."""
     tokens = _col(col)
     return F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
+
+
+def without_padding(col) -> Column:
+    """The tokens up to the last one that is not the padding id."""
+    tokens = _col(col)
+    # The position from behind of the first real token is where the padding ends.
+    real = F.array_position(F.transform(F.reverse(tokens), lambda token: token != PAD_ID), True)
+    return F.slice(tokens, F.lit(1), F.when(real > 0, F.size(tokens) - real.cast("int") + 1).otherwise(F.lit(0)))
+
+
+def chunks(col, length: int) -> Column:
+    """All tokens in pieces of ``length``, the last one shorter; no piece of an empty sequence."""
+    tokens = _col(col)
+    count = F.ceil(F.size(tokens) / length).cast("int")
+    numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(numbers, lambda number: F.slice(tokens, number * length + 1, F.lit(length)))

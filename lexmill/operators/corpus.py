@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.cleaning import _col, clean_text
-from lexmill.functions.sequences import clip
+from lexmill.functions.sequences import chunks, clip
 
 MAX_LENGTH = 512
 TRAIN_RATIO = 0.8
@@ -33,6 +33,22 @@ def truncate_tokens(df: DataFrame, max_length: int = MAX_LENGTH, tokens: str = "
     )
 
 
+def chunk_tokens(df: DataFrame, max_length: int = MAX_LENGTH, tokens: str = "tokens") -> DataFrame:
+    """Cut every sequence into rows of ``max_length`` tokens instead of clipping it.
+
+    ``chunk`` numbers the pieces of a sequence from 0, so a row's key together with
+    it orders batches; ``token_count`` is the length of the piece. The last piece is
+    short; a sequence without tokens stays one row without. Nothing is shuffled.
+    """
+    pieces = chunks(tokens, max_length)
+    others = [name for name in df.columns if name not in (tokens, "chunk", "token_count")]
+    cut = df.select(*others, F.posexplode_outer(pieces).alias("_at", "_piece"))
+    piece = F.coalesce("_piece", F.array().cast(df.schema[tokens].dataType))
+    return cut.select(
+        *others, F.coalesce("_at", F.lit(0)).alias("chunk"), F.size(piece).alias("token_count"), piece.alias(tokens)
+    )
+
+
 def unit_hash(key: Column) -> Column:
     """A number in [0, 1) that depends on the key alone."""
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") / F.lit(float(2**32))

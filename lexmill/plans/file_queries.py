@@ -9,9 +9,8 @@ import functools
 from pyspark.sql import functions as F
 
 from lexmill.functions.cleaning import strip_nested_templates
-from lexmill.operators import batches, corpus, training_log
+from lexmill.operators import corpus, training_log
 from lexmill.plans.inputs import SEQUENCES_SQL, SPLIT_SQL, char_sql, joined, sequences
-from lexmill.plans.token_queries import full_sequences
 from lexmill.session import new_shared_path
 from lexmill.sources import articles, metrics, sequences as stored, wiki_dump
 from lexmill.sources.tables import read_table
@@ -215,20 +214,6 @@ def wiki_ledger(spark, sf_dir):
     return wiki_dump.dump_ledger(wiki_dump.scan_wiki_dump(spark, _dump(spark, sf_dir)))
 
 
-def evaluate(spark, sf_dir, given=sequences):
-    """Loss of the collated validation batches, from one given loss per batch."""
-    built = corpus.split_corpus(corpus.truncate_tokens(given(spark, sf_dir)), "doc_id")
-    path = new_shared_path(spark, "splits")
-    stored.write_splits(built, path)
-    val = batches.filter_short(stored.read_sequences(spark, path, "val"), count="token_count")
-    collated = batches.collate(batches.assign_batches(val, "doc_id"))
-    weights = batches.target_tokens(collated)
-    losses = weights.withColumn("loss", F.lit(1.0) + F.col("batch_id") % 7 / 8)
-    return training_log.evaluate(losses).select(
-        F.round("loss", 6).alias("loss"), "num_tokens", F.round("perplexity", 6).alias("perplexity")
-    )
-
-
 QUERIES = {
     "wiki_articles": wiki_articles,
     "wiki_plain": wiki_plain,
@@ -245,12 +230,9 @@ QUERIES = {
     "cleaned_sink": cleaned_sink,
     "split_sink": split_sink,
     "stored_metrics": stored_metrics,
-    "evaluate": evaluate,
-    "evaluate_full": functools.partial(evaluate, given=full_sequences),
 }
 
 _TITLED = "SELECT source, doc_id::VARCHAR AS title, text FROM documents"
-_VAL_SQL = f"SELECT doc_id, tokens[1:512] AS tokens FROM ({SEQUENCES_SQL}) WHERE {SPLIT_SQL} = 'val'"
 
 # Rows that the added files give.
 _LENIENT_ADDED = "(VALUES ('lacking', 'm', 'kept'), ('scalar', 's', 'beside a scalar'))"
@@ -303,10 +285,4 @@ ORACLES = {
         "SELECT day(ts) AS epoch, round(sum(value * user_id) / sum(user_id), 6) AS loss,"
         " sum(user_id)::BIGINT AS num_tokens FROM events GROUP BY day(ts)"
     ),
-    "evaluate": (
-        "SELECT round(sum(loss * n) / sum(n), 6) AS loss, sum(n)::BIGINT AS num_tokens,"
-        " round(exp(sum(loss * n) / sum(n)), 6) AS perplexity FROM (SELECT 1.0::DOUBLE + (b % 7) / 8 AS loss,"
-        " count(*) * (max(len(tokens)) - 1) AS n FROM (SELECT tokens, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS b"
-        f" FROM ({_VAL_SQL}) WHERE len(tokens) >= 2) GROUP BY b)"
-    ),
 }
