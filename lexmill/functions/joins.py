@@ -31,8 +31,10 @@ def symbol_id(char: str) -> int:
 
 
 def symbols_of(words: pa.Array) -> tuple:
-    """Training words as one id array and word lengths."""
-    text = "".join(words.to_pylist())
+    """Training words as one id array and word lengths; all words are decoded at once."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = words.buffers()[2]
+    text = bytes(data[offsets[0] : offsets[-1]]).decode() if data is not None and len(words) else ""
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int32)
     ids = points - _FIRST_SYMBOL - np.where(points >= _SURROGATES, _SURROGATE_COUNT, 0).astype(np.int32)
     return ids, pc.utf8_length(words).to_numpy(zero_copy_only=False)
@@ -41,10 +43,64 @@ def symbols_of(words: pa.Array) -> tuple:
 def words_of_symbols(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
     """Inverse of ``symbols_of``."""
     points = ids + _FIRST_SYMBOL
-    points += np.where(points >= _SURROGATES, _SURROGATE_COUNT, 0)
-    text = points.astype(np.uint32).tobytes().decode("utf-32-le")
-    ends = np.concatenate(([0], np.cumsum(lengths))).tolist()
-    return pa.array([text[start:end] for start, end in zip(ends, ends[1:])], pa.string())
+    points += np.where(points >= _SURROGATES, _SURROGATE_COUNT, 0).astype(points.dtype)
+    data = points.astype(np.uint32).tobytes().decode("utf-32-le").encode()
+    # Where each symbol starts in UTF-8: a symbol has two bytes, three or four.
+    sizes = 2 + (points >= 0x800).astype(np.int64) + (points >= 0x10000)
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    offsets = starts[np.concatenate(([0], np.cumsum(lengths)))].astype(np.int32)
+    return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(data))
+
+
+def _keys(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where a symbol has a right neighbour in its word, the key of both, and the word."""
+    word = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.flatnonzero(word[1:] == word[:-1])
+    return at, ids[at].astype(np.int64) << 32 | ids[at + 1], word[at]
+
+
+def pair_keys(pairs: list[str]) -> np.ndarray:
+    """Sorted keys of pairs of training symbols."""
+    return np.array(sorted(symbol_id(left) << 32 | symbol_id(right) for left, right in pairs), np.int64)
+
+
+def _known(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) else np.zeros(len(keys), bool)
+
+
+def words_holding(words: pa.Array, known: np.ndarray) -> np.ndarray:
+    """Whether each word holds one of the pairs."""
+    _, keys, word = _keys(*symbols_of(words))
+    found = np.zeros(len(words), bool)
+    found[word[_known(keys, known)]] = True
+    return found
+
+
+def counted_pairs(words: pa.Array, weights: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct neighbouring pairs of the words and their summed weights."""
+    _, keys, word = _keys(*symbols_of(words))
+    distinct, back = np.unique(keys, return_inverse=True)
+    # Exact sums of whole numbers: differences of one running total over the pairs in order.
+    order = np.argsort(back, kind="stable")
+    totals = np.concatenate(([0], np.cumsum(weights[word][order])))
+    sums = np.diff(totals[np.searchsorted(back[order], np.arange(len(distinct) + 1))])
+    both = np.column_stack((distinct >> 32, distinct & 0xFFFFFFFF)).astype(np.int32)
+    return words_of_symbols(both.ravel(), np.full(len(distinct), 2)), sums
+
+
+def cut_words(words: pa.Array, weights: np.ndarray, known: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The runs of at least two symbols whose neighbours are known pairs, with the weights of their words."""
+    ids, lengths = symbols_of(words)
+    at, keys, _ = _keys(ids, lengths)
+    joined = np.zeros(len(ids), bool)  # to the right neighbour
+    joined[at[_known(keys, known)]] = True
+    after = np.concatenate(([False], joined[:-1]))
+    first = np.flatnonzero(joined & ~after)
+    last = np.flatnonzero(after & ~joined)
+    sizes = last - first + 1
+    inside = joined | after
+    word = np.repeat(np.arange(len(lengths)), lengths)
+    return words_of_symbols(ids[inside], sizes), weights[word[first]]
 
 
 def join_table(merges: list) -> tuple:

@@ -3,8 +3,8 @@
 One Spark job per merge would need tens of thousands of jobs, so every round
 settles many merges at once and still gives the one-at-a-time result:
 
-1. Spark counts all adjacent pairs and returns the most frequent ones, at most a
-   few thousand: the round's *frequent* pairs and the best pair left out.
+1. Spark keeps the counts of all adjacent pairs and returns the most frequent ones, at most
+   a few thousand: the round's *frequent* pairs and the best pair left out.
 2. Spark cuts every word wherever two neighbours are not a frequent pair and
    sums the remaining fragments. A pair across a cut can never become more
    frequent than the best pair left out, because merging only makes rarer pairs.
@@ -12,7 +12,8 @@ settles many merges at once and still gives the one-at-a-time result:
 3. The driver replays merges on this bounded digest until the best count falls
    to what was left out. A digest over its row limit is never fetched: the round
    is repeated with fewer frequent pairs, down to a single pair, which needs none.
-4. Spark applies the settled merges to all words.
+4. Spark applies the settled merges to the words that hold one and marks these; only
+   the marked words are counted again, as signed differences that are added to the counts.
 
 Fragments and pairs stay small whatever the corpus size; words, pair counts and
 fragment sums are distributed throughout.
@@ -20,16 +21,21 @@ fragment sums are distributed throughout.
 
 import heapq
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.joins import join_table, join_words, symbol, symbol_id, symbols_of, words_of_symbols
+from lexmill.functions.joins import (
+    counted_pairs, cut_words, join_table, join_words, pair_keys, symbol, symbol_id, symbols_of, words_holding, words_of_symbols
+)
 from lexmill.functions.tokens import SPECIAL_TOKENS
-from lexmill.operators.vocabulary import adjacent_pairs, init_vocab, pair_counts, symbol_words, word_counts
-from lexmill.session import materialize
+from lexmill.operators.vocabulary import init_vocab, symbol_words, word_counts
+from lexmill.session import written
+from lexmill.sources.tables import spread
 
 VOCAB_SIZE = 32_000
 MIN_FREQUENCY = 2
@@ -40,8 +46,10 @@ MERGES_SCHEMA = "rank int, left_id int, right_id int, new_id int"
 # The driver never fetches a digest of more symbols than this.
 MAX_DIGEST_SYMBOLS = 5_000_000
 
-# A separator no symbol uses.
-_CUT = " "
+# Lineage is cut by writing words and counts after this many rounds.
+ROUNDS_TO_WRITE = 8
+
+_STATE_SCHEMA = "word string, cnt bigint, before string"
 
 
 @dataclass(frozen=True)
@@ -53,36 +61,66 @@ class Tokenizer:
 
 
 def apply_merges(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
-    """Join the pairs, in order, in every word; words of one symbol are done.
+    """Join the pairs, in order, in every word that holds one: ``word, cnt, before``.
 
-    A word meets only the merges whose pairs it holds, so the cost follows the
-    word length. Replacing pair after pair with built-ins costs words x merges.
+    ``before`` is the word as it was where it changed, and null elsewhere: the marks
+    from which ``count_changes`` works. A word of one symbol is done; it stays for
+    the round that made it, so that its last pair is taken off the counts.
     """
     table = join_table([(symbol_id(pair[0]), symbol_id(pair[1]), symbol_id(joint)) for pair, joint in merges])
+    starts = pair_keys([pair for pair, _ in merges])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word = batch.column("word")
+            # A word changes if it holds a pair at the start; later pairs arise from such a one.
+            held = words_holding(word, starts)
+            mask = pa.array(held)
+            changed = words_of_symbols(*join_words(*symbols_of(word.filter(mask)), table, ascending=True))
+            before = pc.if_else(mask, word, pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays(
+                [pc.replace_with_mask(word, mask, changed), batch.column("cnt"), before], names=["word", "cnt", "before"]
+            )
+
+    return words.filter(F.length("word") > 1).select("word", "cnt").mapInArrow(joined, _STATE_SCHEMA)
+
+
+def _summed(words: DataFrame, counted) -> DataFrame:
+    """Pairs that tasks have counted batch by batch, added up: ``pair, cnt``."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pairs, sums in counted(batch):
+                yield pa.RecordBatch.from_arrays([pairs, pa.array(sums, pa.int64())], names=["pair", "cnt"])
+
+    return words.mapInArrow(partial, "pair string, cnt bigint").groupBy("pair").agg(F.sum("cnt").alias("cnt"))
+
 
-    @F.arrow_udf("string")
-    def joined(words: pa.Array) -> pa.Array:
-        return words_of_symbols(*join_words(*symbols_of(words), table, ascending=True))
+def count_pairs(words: DataFrame) -> DataFrame:
+    """All adjacent pairs of all words."""
+    return _summed(words.select("word", "cnt"), lambda batch: [counted_pairs(batch.column("word"), batch.column("cnt").to_numpy())])
 
-    # Not marked deterministic: a filter pushed below the projection would run it twice.
-    joined = joined.asNondeterministic()
-    return words.select(joined("word").alias("word"), "cnt").filter(F.length("word") > 1)
+
+def count_changes(words: DataFrame) -> DataFrame:
+    """Signed differences of the pair counts: what the words that changed gained, less what they had before."""
+
+    def signed(batch: pa.RecordBatch) -> list:
+        cnt = batch.column("cnt").to_numpy()
+        return [counted_pairs(batch.column("word"), cnt), counted_pairs(batch.column("before"), -cnt)]
+
+    return _summed(words.filter("before is not null").select("word", "cnt", "before"), signed)
 
 
 def fragments(words: DataFrame, frequent: list[str]) -> DataFrame:
     """Runs of symbols joined by frequent pairs, with summed counts."""
-    listed = ",".join(f"'{pair}'" for pair in frequent)
-    marked = F.expr(
-        f"transform(pairs, pair -> if(pair IN ({listed}), left(pair, 1), concat(left(pair, 1), '{_CUT}')))"
-    )
-    cut = F.concat(F.array_join(marked, ""), F.right("word", F.lit(1)))
-    runs = F.regexp_extract_all(cut, F.lit(f"[^{_CUT}]{{2,}}"), F.lit(0))
-    return (
-        words.withColumn("pairs", adjacent_pairs("word"))
-        .select(F.explode(runs).alias("word"), "cnt")
-        .groupBy("word")
-        .agg(F.sum("cnt").alias("cnt"))
-    )
+    known = pair_keys(frequent)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs, weights = cut_words(batch.column("word"), batch.column("cnt").to_numpy(), known)
+            yield pa.RecordBatch.from_arrays([runs, pa.array(weights, pa.int64())], names=["word", "cnt"])
+
+    return words.select("word", "cnt").mapInArrow(cut, "word string, cnt bigint").groupBy("word").agg(F.sum("cnt").alias("cnt"))
 
 
 def replay(digest, outside, min_frequency, tokens, room):
@@ -164,23 +202,29 @@ def train_bpe(
     they change the number of rounds, never the result.
     """
     spark = df.sparkSession
-    words = symbol_words(word_counts(df, text)).transform(materialize)
+    words = written(symbol_words(word_counts(df, text)), "bpe-words")
     tokens = [row["token"] for row in init_vocab(words).orderBy("id").collect()]
     letters = tokens[len(SPECIAL_TOKENS):]
     coded = F.translate("word", "".join(letters), "".join(symbol(tokens.index(letter)) for letter in letters))
-    state = words.select(coded.alias("word"), "cnt").filter(F.length("word") > 1)
+    state = words.select(coded.alias("word"), "cnt", F.lit(None).cast("string").alias("before")).filter(F.length("word") > 1)
+    # Counted words are few bytes for the work they make: all cores shall have some.
+    state = written(spread(state), "bpe-words")
+    counts = written(count_pairs(state), "bpe-pairs")
 
     longest = state.agg(F.max(F.length("word"))).first()[0] or 0
 
-    merges, width = [], min(32, frequent_pairs)
+    merges, width, rounds, replaced = [], min(32, frequent_pairs), 0, []
     while len(tokens) < vocab_size:
         top = (
-            pair_counts(state)
+            counts
             .filter(F.col("cnt") >= min_frequency)
             .orderBy(F.desc("cnt"), "pair")
             .limit(frequent_pairs + 1)
             .collect()
         )
+        while replaced:
+            for table in replaced.pop():
+                table.unpersist()
         if not top:
             break
         digest = None
@@ -195,11 +239,22 @@ def train_bpe(
         settled = replay(digest, outside, min_frequency, tokens, vocab_size)
         merges += settled
         if len(tokens) < vocab_size:
-            state = materialize(apply_merges(state, settled))
+            # Only words that changed are counted again, and their old pairs taken off. Both tables stay in memory
+            # or on disk until the next round has read them; what is lost is made again from the last written round.
+            changed = apply_merges(state, settled).persist()
+            added = counts.unionByName(count_changes(changed)).groupBy("pair").agg(F.sum("cnt").alias("cnt"))
+            replaced.append((state, counts))
+            state, counts = changed, added.filter("cnt > 0").persist()
+            rounds += 1
+            if rounds % ROUNDS_TO_WRITE == 0:
+                replaced.append((state, counts))
+                state, counts = written(state, "bpe-words"), written(counts, "bpe-pairs")
         # A digest far below its limit leaves room for more pairs per round.
         growth = 4 if len(digest) * 16 < digest_rows else 2 if len(digest) * 4 < digest_rows else 1
         width = min(growth * width, frequent_pairs)
 
+    state.unpersist()
+    counts.unpersist()
     return Tokenizer(
         vocab=spark.createDataFrame(list(enumerate(tokens)), VOCAB_SCHEMA),
         merges=spark.createDataFrame(

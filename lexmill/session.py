@@ -36,3 +36,10 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, which outlives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the shared folder once and read again; lineage ends there, as with a checkpoint."""
+    path = new_shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -288,3 +288,30 @@ def test_full_queries_have_the_ids_of_the_library(spark):
     stats = QUERIES["corpus_stats_full"](spark, SF_DIR).collect()[0]
     assert stats["max_tokens"] == max(map(len, expected.values()))
     assert QUERIES["evaluate_full"](spark, SF_DIR).collect()[0]["num_tokens"] > 0
+
+
+def test_only_changed_words_are_counted_again(spark):
+    """Signed differences of the words that hold a merged pair give the counts of all words."""
+    from lexmill.functions.joins import symbol
+
+    rng = random.Random(4)
+    letters = [symbol(i) for i in (7, 8, 9, 10, 60_000)]
+    words = {"".join(rng.choice(letters) for _ in range(rng.randint(2, 7))): rng.randint(1, 9) for _ in range(400)}
+    state = spark.createDataFrame([(word, cnt, None) for word, cnt in words.items()], "word string, cnt bigint, before string")
+    counts = {row["pair"]: row["cnt"] for row in bpe.count_pairs(state).collect()}
+    settled = [(letters[0] + letters[1], symbol(61_000)), (symbol(61_000) + letters[2], symbol(61_001)), (letters[3] * 2, symbol(61_002))]
+    merged = bpe.apply_merges(state, settled)
+    held = {word for word in words if letters[0] + letters[1] in word or letters[3] * 2 in word}
+    assert {row["before"] for row in merged.filter("before is not null").collect()} == held
+    for row in bpe.count_changes(merged).collect():
+        counts[row["pair"]] = counts.get(row["pair"], 0) + row["cnt"]
+    again = {row["pair"]: row["cnt"] for row in bpe.count_pairs(merged).collect()}
+    assert {pair: cnt for pair, cnt in counts.items() if cnt} == again
+
+
+def test_written_rounds_change_nothing(spark, monkeypatch):
+    texts = spark.createDataFrame([(f"{'ab' * (i % 5)} {'cab' * (i % 3)} abba {i}",) for i in range(60)], "text string")
+    monkeypatch.setattr(bpe, "ROUNDS_TO_WRITE", 1)
+    one = bpe.train_bpe(texts, 60, frequent_pairs=2).merges.orderBy("rank").collect()
+    monkeypatch.setattr(bpe, "ROUNDS_TO_WRITE", 1000)
+    assert one == bpe.train_bpe(texts, 60, frequent_pairs=2).merges.orderBy("rank").collect()
