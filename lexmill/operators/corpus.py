@@ -4,10 +4,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.cleaning import _col, clean_text
+from lexmill.functions.markup import letter_share
 from lexmill.functions.sequences import chunks, clip
 
 MAX_LENGTH = 512
 TRAIN_RATIO = 0.8
+MIN_LETTERS = 0.5
 TRAIN, VAL = "train", "val"
 
 
@@ -21,6 +23,11 @@ def clean_articles(df: DataFrame, title: str = "title", text: str = "text") -> D
     )
 
 
+def keep_prose(df: DataFrame, min_share: float = MIN_LETTERS, text: str = "text") -> DataFrame:
+    """Rows whose text is letters for the most part; null texts and those without a character are dropped."""
+    return df.filter((F.length(text) > 0) & (letter_share(text) >= min_share))
+
+
 def truncate_tokens(df: DataFrame, max_length: int = MAX_LENGTH, tokens: str = "tokens") -> DataFrame:
     """Clip the sequence; ``token_count`` keeps the length before clipping."""
     count = F.size(tokens)

@@ -3,7 +3,7 @@
 from lexmill.functions.cleaning import clean_text
 from lexmill.functions.tokens import words_of
 from lexmill.operators.corpus import corpus_stats, truncate_tokens
-from lexmill.plans import corpus_queries, file_queries, log_queries, model_queries, text_queries, token_queries
+from lexmill.plans import corpus_queries, file_queries, log_queries, markup_queries, model_queries, text_queries, token_queries
 from lexmill.plans.inputs import marked_up_documents
 
 
@@ -12,7 +12,7 @@ def flagship(spark, sf_dir):
     return corpus_stats(truncate_tokens(cleaned.select(words_of("text").alias("tokens"))))
 
 
-_MODULES = (text_queries, token_queries, corpus_queries, log_queries, file_queries, model_queries)
+_MODULES = (text_queries, token_queries, corpus_queries, log_queries, file_queries, model_queries, markup_queries)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -12,7 +12,7 @@ from lexmill.functions.cleaning import strip_nested_templates
 from lexmill.operators import corpus, training_log
 from lexmill.plans.inputs import SEQUENCES_SQL, SPLIT_SQL, char_sql, joined, sequences
 from lexmill.session import new_shared_path
-from lexmill.sources import articles, metrics, sequences as stored, wiki_dump
+from lexmill.sources import array_splits, articles, metrics, sequences as stored, wiki_dump
 from lexmill.sources.tables import read_table
 
 # One array file holds the articles of one source in a range of this many ids.
@@ -94,6 +94,25 @@ def sequence_arrays(spark, sf_dir):
     return stored.read_sequence_json(spark, path).select(joined("tokens").alias("tokens"))
 
 
+def article_arrays_split(spark, sf_dir):
+    """Array files of any layout, read in splits."""
+    read = array_splits.read_split_arrays(spark, _arrays(spark, sf_dir), glob="*.txt")
+    return read.select(_source().alias("source"), "title", "text")
+
+
+def split_ledger(spark, sf_dir):
+    """The strict ledger of array files that are read in splits."""
+    return _by_source(articles.load_ledger(array_splits.scan_split_arrays(spark, _arrays(spark, sf_dir), "strict", glob="*.txt")))
+
+
+def array_split_audit(spark, sf_dir):
+    """The audit of array files that are read in splits."""
+    counts = array_splits.count_split_files(spark, _arrays(spark, sf_dir), glob="*.txt")
+    return counts.groupBy(_source().alias("source"), "error").agg(
+        F.sum("n_articles").alias("articles"), F.count("*").alias("files")
+    )
+
+
 def _source(folder="folder"):
     return F.substring_index(folder, "=", -1)
 
@@ -222,6 +241,9 @@ QUERIES = {
     "article_arrays_lenient": article_arrays("lenient"),
     "article_arrays_strict": article_arrays("strict"),
     "article_arrays_indented": indented_arrays,
+    "article_arrays_split": article_arrays_split,
+    "split_ledger": split_ledger,
+    "array_split_audit": array_split_audit,
     "sequence_arrays": sequence_arrays,
     "load_ledger": load_ledger,
     "strict_ledger": strict_ledger,
@@ -286,3 +308,8 @@ ORACLES = {
         " sum(user_id)::BIGINT AS num_tokens FROM events GROUP BY day(ts)"
     ),
 }
+ORACLES |= {
+    "article_arrays_split": ORACLES["article_arrays_lenient"],
+    "split_ledger": ORACLES["strict_ledger"],
+    "array_split_audit": ORACLES["array_file_audit"],
+}

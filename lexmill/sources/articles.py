@@ -66,7 +66,7 @@ def empty_files(spark: SparkSession, path: str, glob: str | None = None) -> Data
     return spark.createDataFrame(found, "file string").withColumn("folder", folder_of(F.col("file")))
 
 
-def _with_empty_files(scan: DataFrame, path: str, glob: str | None, error: str | None) -> DataFrame:
+def with_empty_files(scan: DataFrame, path: str, glob: str | None, error: str | None) -> DataFrame:
     """A scan with a row for each file of zero bytes."""
     empty = empty_files(scan.sparkSession, path, glob).select(
         "file", "folder", F.lit(False).alias("is_article"), F.lit(False).alias("null_text"), F.lit(error).cast("string").alias("error")
@@ -128,7 +128,7 @@ def jsonl_records(lines: DataFrame, path: str) -> DataFrame:
 def scan_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Scan a folder tree of JSON-lines files of any extension, in splits."""
     lines = spark.read.option("recursiveFileLookup", True).text(path)
-    return _with_empty_files(jsonl_records(lines.select("value", "_metadata.file_path"), path), path, None, None)
+    return with_empty_files(jsonl_records(lines.select("value", "_metadata.file_path"), path), path, None, None)
 
 
 def _whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
@@ -136,22 +136,13 @@ def _whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return reader.text(path, wholetext=True).select("value", "_metadata.file_path")
 
 
-def _check_mode(mode: str) -> None:
+def check_mode(mode: str) -> None:
     if mode not in ("lenient", "strict"):
         raise ValueError(f"unknown mode {mode!r}")
 
 
-def scan_arrays(spark: SparkSession, path: str, mode: str = "lenient", glob: str = "*.json") -> DataFrame:
-    """Scan the files of a folder tree that match ``glob``, each one JSON array of records.
-
-    Lenient: other JSON values hold no articles; records without ``text``, strings
-    and lists among the records are skipped. Strict: all of these make the file an
-    error; numbers, truth values and nulls among the records always do. A null
-    text is not an article. Of a repeated key the last value counts. A file of
-    zero bytes is no JSON.
-    """
-    _check_mode(mode)
-    value = F.col("value")
+def records_of(value: Column) -> Column:
+    """The elements of a JSON array: ``kind`` (object, skipped, bad), ``has_text, title, text``; null for what is no array."""
 
     def record(item: Column) -> Column:
         text = F.try_variant_get(item, "$.text", "string")
@@ -171,20 +162,37 @@ def scan_arrays(spark: SparkSession, path: str, mode: str = "lenient", glob: str
     repeated = F.transform(
         plain, lambda item: F.struct(F.lit("object").alias("kind"), item["text"].isNotNull().alias("has_text"), item["title"].alias("title"), item["text"].alias("text"))
     )
-    records = F.coalesce(F.transform(F.from_json(value, "array<variant>", _STRICT_JSON), record), repeated)
+    return F.coalesce(F.transform(F.from_json(value, "array<variant>", _STRICT_JSON), record), repeated)
+
+
+def is_empty_value(value: Column) -> Column:
+    """An object without keys, or an empty string."""
+    return F.regexp_replace(strip_whitespace(value), r"\s", "").isin("{}", '""')
+
+
+def scan_arrays(spark: SparkSession, path: str, mode: str = "lenient", glob: str = "*.json") -> DataFrame:
+    """Scan the files of a folder tree that match ``glob``, each one JSON array of records.
+
+    Lenient: other JSON values hold no articles; records without ``text``, strings
+    and lists among the records are skipped. Strict: all of these make the file an
+    error; numbers, truth values and nulls among the records always do. A null
+    text is not an article. Of a repeated key the last value counts. A file of
+    zero bytes is no JSON.
+    """
+    check_mode(mode)
+    value = F.col("value")
     unusual = F.col("records").isNull() | F.exists("records", lambda item: item["kind"] == "bad")
     error = F.when(~is_one_json_value(value), INVALID_JSON).when((_opening(value) == "[") & unusual, OTHER_ERROR)
     if mode == "strict":
         incomplete = F.exists("records", lambda item: ~item["has_text"] | (item["kind"] != "object"))
-        empty = F.regexp_replace(strip_whitespace(value), r"\s", "").isin("{}", '""')
         error = error.when((_opening(value) == "[") & incomplete, OTHER_ERROR).when(
-            (_opening(value) != "[") & ~empty, OTHER_ERROR
+            (_opening(value) != "[") & ~is_empty_value(value), OTHER_ERROR
         )
     with_text = F.filter("records", lambda item: item["has_text"] & (item["kind"] == "object"))
     base = base_folder(spark, path)
     scan = (
         _whole_files(spark, path, glob)
-        .withColumn("records", F.when(_opening(value) == "[", records))
+        .withColumn("records", F.when(_opening(value) == "[", records_of(value)))
         .select(relative_file(base, F.col("file_path")).alias("file"), error.alias("error"), with_text.alias("records"))
         .select("file", "error", F.explode_outer(F.when(F.col("error").isNull(), F.col("records"))).alias("record"))
         .select(
@@ -197,7 +205,7 @@ def scan_arrays(spark: SparkSession, path: str, mode: str = "lenient", glob: str
             "error",
         )
     )
-    return _with_empty_files(scan, path, glob, INVALID_JSON)
+    return with_empty_files(scan, path, glob, INVALID_JSON)
 
 
 def scan_indented_arrays(
@@ -210,7 +218,7 @@ def scan_indented_arrays(
     tasks. Records must be objects with at least one key. A file that breaks the
     layout or is not closed is an error.
     """
-    _check_mode(mode)
+    check_mode(mode)
     reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
     chunks = reader.option("lineSep", _RECORD_END).text(path).select("value", "_metadata.file_path")
     value = F.col("value")
@@ -242,7 +250,7 @@ def scan_indented_arrays(
         F.lit(False).alias("null_text"),
         F.lit(INVALID_JSON).alias("error"),
     )
-    return _with_empty_files(scan.drop("closes").unionByName(errors, allowMissingColumns=True), path, glob, INVALID_JSON)
+    return with_empty_files(scan.drop("closes").unionByName(errors, allowMissingColumns=True), path, glob, INVALID_JSON)
 
 
 def accepted(scan: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
@@ -313,13 +321,8 @@ def require_nonempty(df: DataFrame) -> DataFrame:
     return df
 
 
-def count_array_files(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
-    """Articles per matching file exactly one folder below ``path``; a file of zero bytes is no JSON.
-
-    An array counts its elements, an object those of its first array-valued
-    key; anything else is an error: ``file, folder, n_articles, error``.
-    """
-    value = F.col("value")
+def counted_value(value: Column) -> tuple[Column, Column]:
+    """Articles in a JSON value, and its error: an array counts its elements, an object those of its first array."""
     entries = F.map_entries(F.from_json(value, "map<string,variant>", _STRICT_JSON))
     arrays = F.filter(entries, lambda entry: F.startswith(F.schema_of_variant(entry["value"]), F.lit("ARRAY")))
     sizes = F.transform(arrays, lambda entry: F.size(F.try_variant_get(entry["value"], "$", "array<variant>")))
@@ -334,6 +337,16 @@ def count_array_files(spark: SparkSession, path: str, glob: str = "*.json") -> D
         .when(_opening(value) != "{", OTHER_ERROR)
         .when(first.isNull(), NOT_RECOGNISED)
     )
+    return count, error
+
+
+def count_array_files(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+    """Articles per matching file exactly one folder below ``path``; a file of zero bytes is no JSON.
+
+    An array counts its elements, an object those of its first array-valued
+    key; anything else is an error: ``file, folder, n_articles, error``.
+    """
+    count, error = counted_value(F.col("value"))
     counts = (
         _whole_files(spark, path, glob)
         .withColumn("file", relative_file(base_folder(spark, path), F.col("file_path")))
