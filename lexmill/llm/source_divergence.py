@@ -122,11 +122,10 @@ def kept_terms(counts: DataFrame, chunks: DataFrame, terms: DataFrame) -> DataFr
     """``lang, term`` of the terms in at least three documents of the language.
 
     ``counts`` has for each language, source and term the sum of its chunks'
-    documents (``most``), the largest of them and the extremes. Sources have no document in
+    documents (``most``) and the largest of them (``least``). Sources have no document in
     common, so both bounds add up over sources; they are equal for most terms.
     """
-    least = F.greatest("largest", F.when(F.col("low_doc") < F.col("high_doc"), 2).otherwise(1))
-    bounds = counts.groupBy("lang", "term").agg(F.sum(least).alias("least"), F.sum("most").alias("most"))
+    bounds = counts.groupBy("lang", "term").agg(F.sum("least").alias("least"), F.sum("most").alias("most"))
     bounds = stored(bounds.where(F.col("most") >= MIN_DOCUMENTS), "term-bounds")
     open_terms = bounds.where(F.col("least") < MIN_DOCUMENTS).select("lang", "term")
     open_chunks = stored(terms.join(open_terms.select("term").distinct(), "term", "left_semi").select("chunk", "term"), "open-chunks")
@@ -149,15 +148,10 @@ def term_counts(df: DataFrame, text: str = "text", lang: str = "lang", source: s
     chunks = stored(chunk_counts(own_columns(df, text=text, lang=label(lang), source=label(source))), "chunk-counts")
     terms = stored(chunk_terms(chunks), "chunk-terms")
     counts = (
-        chunks.join(terms, "chunk")
+        chunks.select("lang", "source", "chunk", "n", "n_docs")
+        .join(terms, "chunk")
         .groupBy("lang", "source", "term")
-        .agg(
-            F.sum("n").alias("n"),
-            F.sum("n_docs").alias("most"),
-            F.max("n_docs").alias("largest"),
-            F.min("low_doc").alias("low_doc"),
-            F.max("high_doc").alias("high_doc"),
-        )
+        .agg(F.sum("n").alias("n"), F.sum("n_docs").alias("most"), F.max("n_docs").alias("least"))
     )
     counts = stored(counts, "term-counts")
     kept = kept_terms(counts, chunks, terms)
