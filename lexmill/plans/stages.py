@@ -23,10 +23,16 @@ def extract(spark: SparkSession, dump: str, target: str) -> None:
 
 
 def clean(spark: SparkSession, extracted: str, target: str) -> DataFrame:
-    """JSON lines to cleaned articles; returns the ledger of the files read."""
+    """JSON lines to cleaned articles; returns the ledger of the files read.
+
+    Files are read for the ledger and again for their texts; a file lost in between is an error.
+    """
     scan = articles.scan_jsonl(spark, extracted)
-    ledger = materialize(articles.load_ledger(scan))
+    ledger = materialize(articles.with_reasons(materialize(articles.load_ledger(scan)), extracted))
     articles.write_cleaned(corpus.clean_articles(articles.accepted(scan, ledger)), target)
+    expected = articles.ledger_totals(ledger).collect()[0]["articles"]
+    if expected and spark.read.parquet(target).count() != expected:
+        raise RuntimeError(f"{extracted} changed while it was read: {target} lacks articles of its ledger")
     return ledger
 
 

@@ -3,10 +3,16 @@
 A *scan* has one row per record, or one row for a file without records:
 ``file, folder, title, text, is_article, null_text, error``. ``file`` is
 relative to the scanned folder. An error on any row rejects the whole file.
+
+Files are listed before they are read. A scan has one more row per listed file, with the
+bytes it should have (``file_bytes``); every other row says how many bytes it stands for
+(``n_bytes``). A file that delivers less was lost, broken or denied, and is rejected as
+``unreadable`` instead of failing the job; ``with_reasons`` tells denied files from others.
 """
 
 import fnmatch
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +22,22 @@ from lexmill.session import materialize
 INVALID_JSON = "invalid JSON"
 OTHER_ERROR = "other"
 NOT_RECOGNISED = "structure not recognised"
+UNREADABLE = "unreadable"
+NO_PERMISSION = "permission"
 
 # Rejected file names are broadcast up to this number and joined beyond it.
 MAX_BROADCAST_FILES = 100_000
 
 _STRICT_JSON = {"allowSingleQuotes": "false"}
-_RECORD = "struct<title:variant,text:variant>"
 _RECORD_END = "\n  }"
 _END_MARK = "~end of value~"
+_MARKED_RECORD = f"array<struct<title:variant,text:variant,`{_END_MARK}`:boolean>>"
+# Readers leave out what they cannot read; the listing shows what is lacking.
+_LENIENT_READ = {"recursiveFileLookup": "true", "ignoreMissingFiles": "true", "ignoreCorruptFiles": "true"}
+# A byte order mark at the start of a file is read, but is in no line.
+_MARK_BYTES = 3
+_DENIALS = ("AccessControlException", "AccessDeniedException")
+_COMPRESSED = r"\.(gz|bz2|zst|lz4|snappy|deflate|xz)$"
 
 
 def base_folder(spark: SparkSession, path: str) -> str:
@@ -66,11 +80,34 @@ def empty_files(spark: SparkSession, path: str, glob: str | None = None) -> Data
     return spark.createDataFrame(found, "file string").withColumn("folder", folder_of(F.col("file")))
 
 
+def listed_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """``file, folder, file_bytes`` of every file that a scan of the folder would read, those of zero bytes too.
+
+    Spark lists the folders, many of them on executors, and executors ask for the length
+    of each file. The list is stored at once, so files that are lost later stay on it. Spark's
+    own list leaves out files of zero bytes.
+    """
+    reader = spark.read.format("binaryFile").options(recursiveFileLookup=True, ignoreMissingFiles=True)
+    found = (reader if glob is None else reader.option("pathGlobFilter", glob)).load(path)
+    file = relative_file(base_folder(spark, path), F.col("_metadata.file_path"))
+    named = found.select(file.alias("file"), F.col("length").alias("file_bytes"))
+    listed = named.select("file", folder_of(F.col("file")).alias("folder"), "file_bytes")
+    return materialize(listed.unionByName(empty_files(spark, path, glob).withColumn("file_bytes", F.lit(0).cast("bigint"))))
+
+
+def _without_records(files: DataFrame, error: Column) -> DataFrame:
+    return files.withColumns({"is_article": F.lit(False), "null_text": F.lit(False), "error": error.cast("string")})
+
+
+def with_listing(scan: DataFrame, listing: DataFrame, error: str | None) -> DataFrame:
+    """A scan with a row for each listed file; one of zero bytes has the given error."""
+    rows = _without_records(listing, F.when(F.col("file_bytes") == 0, F.lit(error)))
+    return scan.unionByName(rows.withColumn("n_bytes", F.lit(0).cast("bigint")), allowMissingColumns=True)
+
+
 def with_empty_files(scan: DataFrame, path: str, glob: str | None, error: str | None) -> DataFrame:
-    """A scan with a row for each file of zero bytes."""
-    empty = empty_files(scan.sparkSession, path, glob).select(
-        "file", "folder", F.lit(False).alias("is_article"), F.lit(False).alias("null_text"), F.lit(error).cast("string").alias("error")
-    )
+    """A scan whose reader fails on what it cannot read, with a row for each file of zero bytes."""
+    empty = _without_records(empty_files(scan.sparkSession, path, glob), F.lit(error))
     return scan.unionByName(empty, allowMissingColumns=True)
 
 
@@ -96,44 +133,76 @@ def _opening(value: Column) -> Column:
 
 
 def jsonl_records(lines: DataFrame, path: str) -> DataFrame:
-    """A scan of lines ``(value, file_path)``; a blank line is no article and no error, a text or title that is no string is one."""
+    """A scan of lines ``(value, file_path)``; a blank line is no article and no error, a text or title that is no string is one.
+
+    A line is parsed once: with an end mark behind it in one array, which also shows whether it is one value.
+    Lines that are no objects are parsed only for their error.
+    """
     value = F.col("value")
     blank = is_blank(value)
+    is_object = _opening(value) == "{"
+    end_mark = F.lit(f',{{"{_END_MARK}":true}}]')
+    marked = F.from_json(F.concat(F.lit("["), value, end_mark), _MARKED_RECORD, _STRICT_JSON)
+    one_value = (F.size("marked") == 2) & F.col("marked")[1][_END_MARK] & F.is_valid_utf8(value)
+    record = F.col("marked")[0]
+    title, text = record["title"], record["text"]
 
-    def is_text(field: str) -> Column:
-        return F.coalesce(F.schema_of_variant(f"record.{field}"), F.lit("VOID")).isin("STRING", "VOID")
+    def is_text(field: Column) -> Column:
+        return F.coalesce(F.schema_of_variant(field), F.lit("VOID")).isin("STRING", "VOID")
 
     error = (
         F.when(blank, None)
-        .when(~is_one_json_value(value), INVALID_JSON)
-        .when((_opening(value) != "{") | ~is_text("title") | ~is_text("text"), OTHER_ERROR)
+        .when(~is_object, F.when(is_one_json_value(value), OTHER_ERROR).otherwise(INVALID_JSON))
+        .when(~F.coalesce(one_value, F.lit(False)), INVALID_JSON)
+        .when(~is_text(title) | ~is_text(text), OTHER_ERROR)
     )
     base = base_folder(lines.sparkSession, path)
     return (
         lines.withColumn("file", relative_file(base, F.col("file_path")))
-        .withColumn("record", F.from_json(value, _RECORD, _STRICT_JSON))
-        .withColumn("error", error)
+        .withColumn("marked", F.when(is_object, marked))
         .select(
             "file",
             folder_of(F.col("file")).alias("folder"),
-            F.coalesce(F.try_variant_get("record.title", "$", "string"), F.lit("")).alias("title"),
-            F.coalesce(F.try_variant_get("record.text", "$", "string"), F.lit("")).alias("text"),
+            F.coalesce(F.try_variant_get(title, "$", "string"), F.lit("")).alias("title"),
+            F.coalesce(F.try_variant_get(text, "$", "string"), F.lit("")).alias("text"),
             (~blank).alias("is_article"),
-            (~blank & F.try_variant_get("record.text", "$", "string").isNull()).alias("null_text"),
-            "error",
+            (~blank & F.try_variant_get(text, "$", "string").isNull()).alias("null_text"),
+            error.alias("error"),
+            *(["n_bytes"] if "n_bytes" in lines.columns else []),
         )
     )
 
 
+def _counted_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of all files with the bytes they stand for: ``value, file_path, n_bytes``.
+
+    Line feeds end what the reader delivers, so its bytes add up to those of the file; carriage
+    returns end lines as well and are found afterwards. How many bytes a compressed file holds is not
+    known: it stands for all its bytes, and one that breaks off fails the job.
+    """
+    compressed = F.col("_metadata.file_name").rlike(_COMPRESSED)
+    columns = [F.col("value"), F.col("_metadata.file_path").alias("file_path")]
+    plain = spark.read.options(**_LENIENT_READ).option("lineSep", "\n").text(path).filter(~compressed)
+    packed = spark.read.options(**_LENIENT_READ | {"ignoreCorruptFiles": "false"}).option("lineSep", "\n").text(path).filter(compressed)
+    lines = plain.select(*columns, (F.octet_length("value") + 1).cast("bigint").alias("n_bytes")).unionByName(
+        packed.select(*columns, F.col("_metadata.file_size").alias("n_bytes"))
+    )
+    value = F.col("value")
+    # Splitting would mend invalid bytes; such a line is an error as it is.
+    returns = F.contains(value, F.lit("\r")) & F.is_valid_utf8(value)
+    parts = lines.select("file_path", "n_bytes", F.posexplode(F.when(returns, F.split(value, "\r")).otherwise(F.array(value))).alias("part", "value"))
+    return parts.select("value", "file_path", F.when(F.col("part") == 0, F.col("n_bytes")).alias("n_bytes"))
+
+
 def scan_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Scan a folder tree of JSON-lines files of any extension, in splits."""
-    lines = spark.read.option("recursiveFileLookup", True).text(path)
-    return with_empty_files(jsonl_records(lines.select("value", "_metadata.file_path"), path), path, None, None)
+    listing = listed_files(spark, path)
+    return with_listing(jsonl_records(_counted_lines(spark, path), path), listing, None)
 
 
 def _whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
-    return reader.text(path, wholetext=True).select("value", "_metadata.file_path")
+    reader = spark.read.options(**_LENIENT_READ).option("pathGlobFilter", glob)
+    return reader.text(path, wholetext=True).select("value", "_metadata.file_path", F.col("_metadata.file_size").alias("n_bytes"))
 
 
 def check_mode(mode: str) -> None:
@@ -180,7 +249,7 @@ def scan_arrays(spark: SparkSession, path: str, mode: str = "lenient", glob: str
     zero bytes is no JSON.
     """
     check_mode(mode)
-    value = F.col("value")
+    listing, value = listed_files(spark, path, glob), F.col("value")
     unusual = F.col("records").isNull() | F.exists("records", lambda item: item["kind"] == "bad")
     error = F.when(~is_one_json_value(value), INVALID_JSON).when((_opening(value) == "[") & unusual, OTHER_ERROR)
     if mode == "strict":
@@ -193,8 +262,8 @@ def scan_arrays(spark: SparkSession, path: str, mode: str = "lenient", glob: str
     scan = (
         _whole_files(spark, path, glob)
         .withColumn("records", F.when(_opening(value) == "[", records_of(value)))
-        .select(relative_file(base, F.col("file_path")).alias("file"), error.alias("error"), with_text.alias("records"))
-        .select("file", "error", F.explode_outer(F.when(F.col("error").isNull(), F.col("records"))).alias("record"))
+        .select(relative_file(base, F.col("file_path")).alias("file"), "n_bytes", error.alias("error"), with_text.alias("records"))
+        .select("file", "n_bytes", "error", F.explode_outer(F.when(F.col("error").isNull(), F.col("records"))).alias("record"))
         .select(
             "file",
             folder_of(F.col("file")).alias("folder"),
@@ -203,9 +272,10 @@ def scan_arrays(spark: SparkSession, path: str, mode: str = "lenient", glob: str
             F.col("record.text").isNotNull().alias("is_article"),
             (F.col("record").isNotNull() & F.col("record.text").isNull()).alias("null_text"),
             "error",
+            "n_bytes",
         )
     )
-    return with_empty_files(scan, path, glob, INVALID_JSON)
+    return with_listing(scan, listing, INVALID_JSON)
 
 
 def scan_indented_arrays(
@@ -219,7 +289,8 @@ def scan_indented_arrays(
     layout or is not closed is an error.
     """
     check_mode(mode)
-    reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+    listing = listed_files(spark, path, glob)
+    reader = spark.read.options(**_LENIENT_READ).option("pathGlobFilter", glob)
     chunks = reader.option("lineSep", _RECORD_END).text(path).select("value", "_metadata.file_path")
     value = F.col("value")
     opens, closes = value.rlike(r"^(\[|,)\n  \{\n"), value.rlike(r"^(\n\]|\[\])\s*$")
@@ -240,17 +311,12 @@ def scan_indented_arrays(
             (F.coalesce(F.map_contains_key("record", "text"), F.lit(False)) & article.isNull()).alias("null_text"),
             error.alias("error"),
             closes.alias("closes"),
+            (F.octet_length(value) + len(_RECORD_END)).cast("bigint").alias("n_bytes"),
         )
     )
     unclosed = scan.groupBy("file", "folder").agg(F.count_if("closes").alias("ends")).filter("ends <> 1")
-    errors = unclosed.select(
-        "file",
-        "folder",
-        F.lit(False).alias("is_article"),
-        F.lit(False).alias("null_text"),
-        F.lit(INVALID_JSON).alias("error"),
-    )
-    return with_empty_files(scan.drop("closes").unionByName(errors, allowMissingColumns=True), path, glob, INVALID_JSON)
+    errors = _without_records(unclosed.select("file", "folder"), F.lit(INVALID_JSON))
+    return with_listing(scan.drop("closes").unionByName(errors, allowMissingColumns=True), listing, INVALID_JSON)
 
 
 def accepted(scan: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
@@ -258,9 +324,10 @@ def accepted(scan: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
 
     The names of rejected files come from the ledger, if there is one, or from a
     pass of their own. They are broadcast after a check of their number, so texts
-    are not shuffled to reject files.
+    are not shuffled to reject files. A file lost after that pass is lacking without
+    a mark; ``n_articles`` of the ledger shows it.
     """
-    found = scan.filter(F.col("error").isNotNull()) if ledger is None else ledger.filter("status = 'error'")
+    found = (load_ledger(scan) if ledger is None else ledger).filter("status = 'error'")
     bad = materialize(found.select("file").distinct())
     bad = F.broadcast(bad) if bad.count() <= MAX_BROADCAST_FILES else bad
     return scan.filter("is_article").join(bad, "file", "left_anti").select("file", "folder", "title", "text")
@@ -290,8 +357,12 @@ def read_article_arrays(
 
 def load_ledger(scan: DataFrame) -> DataFrame:
     """One row per file: ``status``, ``error``, ``n_articles``, ``null_texts``."""
+    error = F.max("error")
+    if "file_bytes" in scan.columns:
+        lacking = F.coalesce(F.sum("n_bytes"), F.lit(0)) + _MARK_BYTES < F.max("file_bytes")
+        error = F.when((F.max("file_bytes") > 0) & (lacking | (F.count("*") == 1)), UNREADABLE).otherwise(error)
     ledger = scan.groupBy("file", "folder").agg(
-        F.max("error").alias("error"),
+        error.alias("error"),
         F.count_if("is_article").alias("n_articles"),
         F.count_if("null_text").alias("null_texts"),
     )
@@ -305,6 +376,31 @@ def load_ledger(scan: DataFrame) -> DataFrame:
     )
 
 
+def with_reasons(ledger: DataFrame, path: str) -> DataFrame:
+    """A ledger of ``path`` whose unreadable files are told apart: those that may not be read become ``permission``.
+
+    The file system is asked for unreadable files alone, one call for each, from the driver.
+    """
+    spark = ledger.sparkSession
+    hadoop, base = spark._jvm.org.apache.hadoop, base_folder(spark, path)
+    given = hadoop.fs.Path(path)
+    system = given.getFileSystem(spark._jsc.hadoopConfiguration())
+    is_file = system.exists(given) and system.getFileStatus(given).isFile()
+
+    def is_denied(file: str) -> bool:
+        try:
+            system.access(hadoop.fs.Path(base if is_file else f"{base}/{file}"), hadoop.fs.permission.FsAction.READ)
+        except Py4JJavaError as failed:
+            return failed.java_exception.getClass().getSimpleName() in _DENIALS
+        return False
+
+    unread = ledger.filter(F.col("error") == UNREADABLE).select("file")
+    denied = [(row["file"],) for row in unread.toLocalIterator() if is_denied(row["file"])]
+    marks = spark.createDataFrame(denied, "file string").withColumn("denied", F.lit(True))
+    told = F.when(F.col("denied"), NO_PERMISSION).otherwise(F.col("error"))
+    return ledger.join(marks, "file", "left").withColumn("error", told).drop("denied")
+
+
 def ledger_totals(ledger: DataFrame) -> DataFrame:
     """Articles loaded, files loaded and files rejected."""
     return ledger.agg(
@@ -341,11 +437,12 @@ def counted_value(value: Column) -> tuple[Column, Column]:
 
 
 def count_array_files(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
-    """Articles per matching file exactly one folder below ``path``; a file of zero bytes is no JSON.
+    """Articles per matching file exactly one folder below ``path``; a file of zero bytes is no JSON, an unreadable one has that error.
 
     An array counts its elements, an object those of its first array-valued
     key; anything else is an error: ``file, folder, n_articles, error``.
     """
+    listing = listed_files(spark, path, glob)
     count, error = counted_value(F.col("value"))
     counts = (
         _whole_files(spark, path, glob)
@@ -357,8 +454,9 @@ def count_array_files(spark: SparkSession, path: str, glob: str = "*.json") -> D
             error.alias("error"),
         )
     )
-    empty = empty_files(spark, path, glob).withColumn("error", F.lit(INVALID_JSON))
-    every = counts.unionByName(empty, allowMissingColumns=True)
+    lacking = F.when(F.col("file_bytes") == 0, INVALID_JSON).otherwise(UNREADABLE)
+    found = listing.join(counts.withColumn("was_read", F.lit(True)), ["file", "folder"], "left")
+    every = found.select("file", "folder", "n_articles", F.when(F.col("was_read"), F.col("error")).otherwise(lacking).alias("error"))
     return every.filter(F.length(F.regexp_replace("file", "[^/]", "")) == 1)
 
 
