@@ -5,10 +5,13 @@ with fewer words has its whole sequence as the only one; without words the set
 is empty and linked with nothing). Texts of equal sets form a class, represented
 by its smallest id, and only representatives are compared.
 
-Representatives with an equal band of minima share a bucket. First each bucket's
-smallest member is compared with the others, which is linear in the bucket and
-joins most groups. Then, in a round more, members outside the largest
-component of their bucket are compared with another member of it. Pairs that are
+Representatives with an equal band of minima share a bucket. First each is
+compared with the smallest members of its buckets, ``STARS`` different ones at
+most, which joins most groups. Then, round by round, members outside the largest
+component of their bucket are compared with ``STARS`` members of such components,
+drawn anew, as long as a round joins a fair share of what it compares. A round is
+linear in the members, whatever the buckets hold, and later rounds look only at
+buckets that are still mixed. Pairs that are
 across components even then are compared one by one if they share three bands (a
 pair of similarity 0.8 misses that with a probability of 2.6e-5): at once in
 buckets where they are at most ``PAIRS_PER_MEMBER`` for each member, else in
@@ -23,11 +26,11 @@ Null ids have no class of their own: their rows keep null components. Rows that
 share an id are separate texts with one name; links join the names.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.components import components
@@ -35,7 +38,9 @@ from lexmill.llm.texts import LOWER, SPACE, list_array, mixed, run_hashes, slice
 
 BANDS, ROWS = 40, 5
 MINIMA = BANDS * ROWS
-STAR_ROUNDS, PAIRS_PER_MEMBER, NEAR_BANDS = 1, 32, 12
+#: The rounds end before ``STAR_ROUNDS`` if fewer than ``FRUITFUL`` of the compared pairs are links. What they leave is compared pair by pair.
+STARS, STAR_ROUNDS, FRUITFUL = 4, 5, 0.05
+PAIRS_PER_MEMBER, NEAR_BANDS = 32, 12
 #: Signature pairs pass if the share of equal minima is not this much below the similarity: five standard errors.
 MARGIN = 0.15
 _random = np.random.RandomState(20240229)
@@ -171,6 +176,13 @@ def verified(pairs: DataFrame, sources: DataFrame, size: int, percent: int) -> D
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def few_each(stars: DataFrame, rank: Callable[[Column], Column]) -> DataFrame:
+    """``a, b``: each ``node`` with the first ``STARS`` of its distinct ``centre`` by ``rank``; a node has one centre a band, so lists are short."""
+    ranked = F.array_sort(F.transform(F.collect_set("centre"), lambda c: F.struct(rank(c).alias("rank"), c.alias("centre"))))
+    pairs = stars.groupBy("node").agg(F.slice(ranked, 1, STARS).alias("drawn")).select("node", F.explode("drawn.centre").alias("centre"))
+    return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+
+
 def mixed_buckets(multi: DataFrame, links: DataFrame) -> DataFrame:
     """Members of buckets that hold several components: ``band, node, component``, the largest component ``top``, the members and the pairs across components."""
     labels = stored(components(links), "labels").withColumnRenamed("component", "c")
@@ -212,21 +224,25 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", *, size: int
     buckets = nodes.select("node", F.explode("bands").alias("band"))
     centres = stored(buckets.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("band", "a"), "centres")
     multi = stored(buckets.join(centres, "band"), "multi")
-    tried = stored(likely(multi.where("node > a").select("a", F.col("node").alias("b")).distinct(), nodes, similarity), "pairs")
-    links = stored(verified(tried, sources, size, percent), "verified")
-    multi = multi.select("band", "node")
-    # Stragglers against other members of the largest component of their buckets, drawn anew in each round.
+    tried = stored(few_each(multi.where("node > a").select("node", F.col("a").alias("centre")), lambda c: c), "tried")
+    links = stored(verified(stored(likely(tried, nodes, similarity), "pairs"), sources, size, percent), "verified")
+    # A bucket within one component stays so: each round goes on with the members of mixed buckets.
+    members = mixed_buckets(multi.select("band", "node"), links)
     for turn in range(STAR_ROUNDS):
-        members = mixed_buckets(multi, links)
         centre = stored(members.where("component = top").groupBy("band").agg(F.min_by("node", F.xxhash64("node", "band", F.lit(turn))).alias("centre")), "centres")
-        star = members.where("component <> top").join(centre, "band").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-        fresh = stored(likely(star.distinct().join(tried, ["a", "b"], "left_anti"), nodes, similarity), "pairs")
-        if fresh.isEmpty():
+        star = members.where("component <> top").join(centre, "band").select("node", "centre", F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        fresh = stored(few_each(star.join(tried, ["a", "b"], "left_anti"), lambda c, turn=turn: F.xxhash64(c, F.col("node"), F.lit(turn))), "tried")
+        compared = fresh.count()
+        if not compared:
+            break
+        more = stored(verified(stored(likely(fresh, nodes, similarity), "pairs"), sources, size, percent), "verified")
+        joined = more.count()
+        tried, links = tried.union(fresh), links.union(more)
+        if joined:
+            members = mixed_buckets(members.select("band", "node"), links)
+        if joined < FRUITFUL * compared:
             break
-        more = stored(verified(fresh, sources, size, percent), "verified")
-        tried, links = stored(tried.union(fresh), "tried"), stored(links.union(more), "links")
     # All pairs that are still across components: at once where they are in proportion to the bucket, else by a second band.
-    members = mixed_buckets(multi, links)
     light = members.where(F.col("pairs") <= PAIRS_PER_MEMBER * F.col("members"))
     heavy = members.where(F.col("pairs") > PAIRS_PER_MEMBER * F.col("members")).join(nodes.select("node", "bands"), "node")
     place = F.array_position("bands", F.col("band")).cast("int") - 1
