@@ -173,6 +173,15 @@ def replay(digest, outside, min_frequency, tokens, room):
     return settled
 
 
+def most_frequent(counts: DataFrame, rows: int) -> DataFrame:
+    """The first pairs by count, in order, in one partition.
+
+    Collecting an ordered limit itself would send the first rows of every partition
+    to the driver. Below ``coalesce`` a task reduces them, and only ``rows`` are sent.
+    """
+    return counts.orderBy(F.desc("cnt"), "pair").limit(rows).coalesce(1)
+
+
 def fetch_digest(words: DataFrame, frequent: list[str], longest: int, max_rows: int) -> dict | None:
     """The fragments and their counts, or None if there are too many to fetch.
 
@@ -211,17 +220,14 @@ def train_bpe(
     state = written(spread(state), "bpe-words")
     counts = written(count_pairs(state), "bpe-pairs")
 
+    # Cached sums keep the session's number of shuffle partitions, each a task in every round: as many as the words have are enough.
+    parts = state.rdd.getNumPartitions()
+
     longest = state.agg(F.max(F.length("word"))).first()[0] or 0
 
     merges, width, rounds, replaced = [], min(32, frequent_pairs), 0, []
     while len(tokens) < vocab_size:
-        top = (
-            counts
-            .filter(F.col("cnt") >= min_frequency)
-            .orderBy(F.desc("cnt"), "pair")
-            .limit(frequent_pairs + 1)
-            .collect()
-        )
+        top = most_frequent(counts.filter(F.col("cnt") >= min_frequency), frequent_pairs + 1).collect()
         while replaced:
             for table in replaced.pop():
                 table.unpersist()
@@ -242,7 +248,7 @@ def train_bpe(
             # Only words that changed are counted again, and their old pairs taken off. Both tables stay in memory
             # or on disk until the next round has read them; what is lost is made again from the last written round.
             changed = apply_merges(state, settled).persist()
-            added = counts.unionByName(count_changes(changed)).groupBy("pair").agg(F.sum("cnt").alias("cnt"))
+            added = counts.unionByName(count_changes(changed)).repartition(parts, "pair").groupBy("pair").agg(F.sum("cnt").alias("cnt"))
             replaced.append((state, counts))
             state, counts = changed, added.filter("cnt > 0").persist()
             rounds += 1

@@ -315,3 +315,30 @@ def test_written_rounds_change_nothing(spark, monkeypatch):
     one = bpe.train_bpe(texts, 60, frequent_pairs=2).merges.orderBy("rank").collect()
     monkeypatch.setattr(bpe, "ROUNDS_TO_WRITE", 1000)
     assert one == bpe.train_bpe(texts, 60, frequent_pairs=2).merges.orderBy("rank").collect()
+
+
+def test_the_most_frequent_pairs_reach_the_driver_from_one_task(spark, capsys):
+    """An ordered limit that is collected itself sends the first rows of every partition."""
+    counts = spark.range(5000).selectExpr("cast(id as string) AS pair", "id % 40 AS cnt").repartition(16)
+    few = bpe.most_frequent(counts, 7)
+    few.explain()
+    assert "Coalesce 1" in capsys.readouterr().out and few.rdd.getNumPartitions() == 1
+    assert [(row["pair"], row["cnt"]) for row in few.collect()] == [(str(39 + 40 * i), 39) for i in sorted(range(125), key=lambda i: str(39 + 40 * i))[:7]]
+
+
+def test_rounds_have_as_many_partitions_as_the_words(spark, monkeypatch):
+    seen, collected = [], bpe.most_frequent
+
+    def watched(counts, rows):
+        seen.append(counts.rdd.getNumPartitions())
+        return collected(counts, rows)
+
+    monkeypatch.setattr(bpe, "most_frequent", watched)
+    texts = spark.createDataFrame([(f"{'ab' * (i % 5)} {'cab' * (i % 3)} abba {i}",) for i in range(60)], "text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    try:
+        bpe.train_bpe(texts, 60, frequent_pairs=2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(seen) > 3 and max(seen) <= 2 * spark.sparkContext.defaultParallelism
