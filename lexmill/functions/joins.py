@@ -5,6 +5,7 @@ another, so that a round of joins is a few array operations for all words.
 """
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,17 @@ def symbol_id(char: str) -> int:
     return point - _FIRST_SYMBOL - (_SURROGATE_COUNT if point >= _SURROGATES else 0)
 
 
+def row_slices(batch: pa.Array, words: int) -> Iterator[pa.Array]:
+    """The rows of a batch of word lists in slices of at most so many words; a longer row is a slice of its own."""
+    total = np.cumsum(batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(batch):
+        before = total[at - 1] if at else 0
+        to = max(int(np.searchsorted(total, before + words, "right")), at + 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def symbols_of(words: pa.Array) -> tuple:
     """Training words as one id array and word lengths; all words are decoded at once."""
     offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]

@@ -10,13 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.cleaning import _col
-from lexmill.functions.joins import join_table, join_words
+from lexmill.functions.joins import join_table, join_words, row_slices
 from lexmill.functions.tokens import SPECIAL_TOKENS, UNK_ID, byte_alphabet, text_of_symbols, words_to_encode
 from lexmill.operators.bpe import Tokenizer
 
 # A vocabulary is a broadcast value; anything larger than this is not one.
 MAX_VOCABULARY = 1_000_000
 
+# A task's arrays hold the ids of at most so many words, or of one text.
+SLICE_WORDS = 1 << 19
+
 
 def vocabulary_of(vocab: DataFrame) -> list[str]:
     """Tokens by id, brought to the driver after a check of their number."""
@@ -36,8 +39,9 @@ def _join_table(merges: DataFrame) -> tuple:
 def encode(df: DataFrame, tokenizer: Tokenizer, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add the token ids of a text column; a narrow operation.
 
-    The JVM splits the text into words. A task joins each distinct word of an
-    Arrow batch once, all words together, and gathers ids by position.
+    The JVM splits the text into words. A task goes through an Arrow batch in slices
+    of ``SLICE_WORDS`` words, which bounds its arrays; it joins each distinct word of
+    a slice once, all words together, and gathers ids by position.
     """
     known = {token: token_id for token_id, token in enumerate(vocabulary_of(tokenizer.vocab))}
     letters = np.array([known.get(char, UNK_ID) for char in byte_alphabet()], np.int32)
@@ -47,7 +51,7 @@ def encode(df: DataFrame, tokenizer: Tokenizer, text: str = "text", ids: str = "
     @F.arrow_udf("array<int>")
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         letters, table = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_slices(whole, SLICE_WORDS)):
             words = batch.flatten().dictionary_encode()
             distinct = words.dictionary.cast(pa.large_binary())
             data = b"".join(distinct.to_pylist())

@@ -5,6 +5,7 @@ import random
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Library
@@ -342,3 +343,18 @@ def test_rounds_have_as_many_partitions_as_the_words(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(seen) > 3 and max(seen) <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_encoding_in_slices_changes_nothing(spark, texts, trained, monkeypatch):
+    rows = [(i, None if i % 7 == 0 else "" if i % 11 == 0 else text) for i, text in enumerate(texts + TRICKY)]
+    df = spark.createDataFrame(rows, "i int, text string").coalesce(1)
+    whole = encoding.encode(df, trained).orderBy("i").collect()
+    monkeypatch.setattr(encoding, "SLICE_WORDS", 3)
+    assert encoding.encode(df, trained).orderBy("i").collect() == whole
+
+
+def test_slices_hold_at_most_so_many_words():
+    lists = pa.array([["a"] * 4, None, [], ["b"] * 9, ["c"], ["d"] * 4, ["e"]], pa.list_(pa.string()))
+    parts = [part.to_pylist() for part in joins.row_slices(lists, 5)]
+    assert sum(parts, []) == lists.to_pylist()
+    assert [sum(len(row or []) for row in part) for part in parts] == [4, 9, 5, 1]
