@@ -11,6 +11,7 @@ bytes it should have (``file_bytes``); every other row says how many bytes it st
 """
 
 import fnmatch
+from urllib.parse import unquote, urlsplit
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,23 +61,33 @@ def relative_file(base: str, file: Column) -> Column:
     return F.coalesce(below, F.raise_error(F.concat(F.lit(f"not below {base}: "), file)).cast("string"))
 
 
-def empty_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def _listing(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
+    """The files that a scan of the folder would read, their content left alone."""
+    reader = spark.read.format("binaryFile").options(recursiveFileLookup=True, ignoreMissingFiles=True)
+    return (reader if glob is None else reader.option("pathGlobFilter", glob)).load(path)
+
+
+def empty_files(spark: SparkSession, path: str, glob: str | None = None, listing: DataFrame | None = None) -> DataFrame:
     """``file, folder`` of the files of zero bytes, which Spark's readers leave out.
 
-    Only the file system's listing is read, as for any scan of the folder; hidden
-    files do not count, as in a scan.
+    Spark's list of names has them, its scan has not. Only names that the scan
+    lacks are looked at one by one; hidden files do not count, as in a scan.
     """
-    given = spark._jvm.org.apache.hadoop.fs.Path(path)
-    listing = given.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(given, True)
-    base, found = base_folder(spark, path), []
-    while listing.hasNext():
-        status = listing.next()
-        if status.getLen() == 0:
-            file = status.getPath().toUri().getPath().removeprefix(base + "/")
-            parts = file.split("/")
-            hidden = any(part.startswith(".") or part.startswith("_") and "=" not in part for part in parts)
-            if not hidden and (glob is None or fnmatch.fnmatchcase(parts[-1], glob)):
-                found.append((file,))
+    listing = _listing(spark, path, glob) if listing is None else listing
+    base = base_folder(spark, path)
+    names = [(unquote(urlsplit(file).path).removeprefix(base + "/"),) for file in listing.inputFiles()]
+    scanned = listing.select(relative_file(base, F.col("_metadata.file_path")).alias("file"))
+    lacking = spark.createDataFrame(names, "file string").join(scanned, "file", "left_anti").collect()
+    system = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for row in lacking:
+        parts = row["file"].split("/")
+        hidden = any(part.startswith(".") or part.startswith("_") and "=" not in part for part in parts)
+        if not hidden and (glob is None or fnmatch.fnmatchcase(parts[-1], glob)):
+            full = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{row['file']}")
+            # What was lost since it was listed is lacking, too.
+            if system.exists(full) and system.getFileStatus(full).getLen() == 0:
+                found.append((row["file"],))
     return spark.createDataFrame(found, "file string").withColumn("folder", folder_of(F.col("file")))
 
 
@@ -87,12 +98,11 @@ def listed_files(spark: SparkSession, path: str, glob: str | None = None) -> Dat
     of each file. The list is stored at once, so files that are lost later stay on it. Spark's
     own list leaves out files of zero bytes.
     """
-    reader = spark.read.format("binaryFile").options(recursiveFileLookup=True, ignoreMissingFiles=True)
-    found = (reader if glob is None else reader.option("pathGlobFilter", glob)).load(path)
+    found = _listing(spark, path, glob)
     file = relative_file(base_folder(spark, path), F.col("_metadata.file_path"))
     named = found.select(file.alias("file"), F.col("length").alias("file_bytes"))
     listed = named.select("file", folder_of(F.col("file")).alias("folder"), "file_bytes")
-    return materialize(listed.unionByName(empty_files(spark, path, glob).withColumn("file_bytes", F.lit(0).cast("bigint"))))
+    return materialize(listed.unionByName(empty_files(spark, path, glob, found).withColumn("file_bytes", F.lit(0).cast("bigint"))))
 
 
 def _without_records(files: DataFrame, error: Column) -> DataFrame:

@@ -352,6 +352,17 @@ def test_files_of_zero_bytes(spark, tmp_path):
     assert ("AA/a.txt", "ok", 0) in rows(lines, "file", "status", "n_articles")
 
 
+def test_files_of_zero_bytes_are_told_from_one_listing(spark, tmp_path):
+    """Names that Spark encodes are found; a file lost since it was listed is none of zero bytes."""
+    odd = "A A/é+%20 #1.json"
+    path = write(tmp_path / "x", {odd: "", "AA/lost.json": "", "AA/gone.json": "[]", "AA/b.json": "[]", "AA/.hidden.json": "", "k=_1/c.json": ""})
+    listing = articles._listing(spark, path, "*.json")
+    (tmp_path / "x/AA/lost.json").unlink()
+    (tmp_path / "x/AA/gone.json").unlink()
+    found = articles.empty_files(spark, path, "*.json", listing)
+    assert rows(found, "file", "folder") == [(odd, "A A"), ("k=_1/c.json", "k=_1")]
+
+
 def test_scalars_and_repeated_keys_in_arrays(spark, tmp_path):
     path = write(
         tmp_path / "x",
