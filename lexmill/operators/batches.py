@@ -42,12 +42,17 @@ def numbered(df: DataFrame, order: list[str], name: str = "position", unique: bo
     With ``unique`` the order columns must identify a row: equal keys are
     neighbours in the sorted partition, so that check needs no shuffle either.
     """
+    # The ranges are sampled in a pass of its own: rows stay in memory or on disk for the second one, which moves them.
+    level = df.storageLevel
+    held = None if level.useMemory or level.useDisk else df.persist()
     ranged = df.repartitionByRange(*order)
     if unique:
         ranged = ranged.withColumn("_same", F.count(F.lit(1)).over(W.partitionBy(*order)))
     sorted_rows = materialize(
         ranged.sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
     ).withColumn("_part", F.shiftright("_row", _ROW_BITS))
+    if held is not None:
+        held.unpersist()
     if unique:
         if not sorted_rows.filter("_same > 1").isEmpty():
             raise ValueError(f"several rows have the same {', '.join(order)}")

@@ -114,3 +114,27 @@ def test_collate_needs_no_single_task(spark):
     assert [(row["n"], row["count"]) for row in sizes] == [(8, 12_500)]
     plan = batches.assign_batches(df, "key")._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan.split("Broadcast")[0]
+
+
+def test_rows_are_made_once_to_be_numbered(spark):
+    """Sampling the ranges is a pass of its own; what made the rows, such as encoding, is not done again for it."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(value):
+        made.add(1)
+        return value
+
+    df = spark.range(500).select("id", counted.asNondeterministic()(F.col("id").cast("int")).alias("made"))
+    rows = batches.numbered(df, ["id"]).collect()
+    assert made.value == 500
+    assert [row["position"] for row in sorted(rows, key=lambda row: row["id"])] == list(range(500))
+    level = df.storageLevel
+    assert not level.useMemory and not level.useDisk
+
+
+def test_numbering_leaves_a_cache_of_the_caller(spark):
+    df = spark.range(20).withColumn("x", F.lit(1)).persist()
+    assert batches.numbered(df, ["id"]).count() == 20
+    assert df.storageLevel.useMemory
+    df.unpersist()
