@@ -13,11 +13,13 @@ drawn anew, as long as a round joins a fair share of what it compares. A round i
 linear in the members, whatever the buckets hold, and later rounds look only at
 buckets that are still mixed. Pairs that are
 across components even then are compared one by one if they share three bands (a
-pair of similarity 0.8 misses that with a probability of 2.6e-5): at once in
-buckets where they are at most ``PAIRS_PER_MEMBER`` for each member, else in
-parts of the bucket that agree in one of the ``NEAR_BANDS`` next bands too. Pairs
-pass if the share of equal minima allows the similarity, and are links only if
-100 * intersection >= 100 * similarity * union holds on the full sets.
+pair of similarity 0.8 misses that with a probability of 2.6e-5) in buckets
+where they are at most ``PAIRS_PER_MEMBER`` for each member. The members of other
+buckets are compared by their rarest shingles (``rare_first``), which misses no
+link: a group of texts that have much in common, but less than a link needs, has
+none of these in common. Pairs pass if the share of equal minima allows the
+similarity, and are links only if 100 * intersection >= 100 * similarity * union
+holds on the full sets.
 
 With 200 minima in 40 bands of 5, a pair of similarity 0.8 has no common band
 with a probability of 1.2e-7.
@@ -40,7 +42,11 @@ BANDS, ROWS = 40, 5
 MINIMA = BANDS * ROWS
 #: The rounds end before ``STAR_ROUNDS`` if fewer than ``FRUITFUL`` of the compared pairs are links. What they leave is compared pair by pair.
 STARS, STAR_ROUNDS, FRUITFUL = 4, 5, 0.05
-PAIRS_PER_MEMBER, NEAR_BANDS = 32, 12
+PAIRS_PER_MEMBER = 32
+#: Shingles are ordered by counters of how many sets hold them; each counter serves all shingles of a remainder.
+COUNTERS = 1 << 18
+#: Classes of set sizes, the smallest size of each: partners are sought class by class, as their size tells how much must be shared.
+SIZE_CLASSES = np.unique(np.ceil(1.1 ** np.arange(300)).astype(np.int64))
 #: Signature pairs pass if the share of equal minima is not this much below the similarity: five standard errors.
 MARGIN = 0.15
 _random = np.random.RandomState(20240229)
@@ -195,22 +201,85 @@ def mixed_buckets(multi: DataFrame, links: DataFrame) -> DataFrame:
     return stored(members.join(stored(buckets, "buckets"), "band"), "members")
 
 
-def pairs_across(members: DataFrame, nodes: DataFrame, whole: bool) -> DataFrame:
-    """Pairs of different components in a bucket that share three bands at least.
-
-    In ``whole`` buckets, those of one band, a pair counts only in the first two that it shares.
-    """
+def pairs_across(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of different components in a bucket that share three bands at least; a pair counts only in the first two that it shares."""
     bands = nodes.select("node", "bands")
     rows = members.join(bands, "node")
     few = rows.where("component <> top").select(F.col("band").alias("band_a"), F.col("node").alias("a"), F.col("component").alias("c_a"), F.col("bands").alias("bands_a"))
     all_of = rows.select(F.col("band").alias("band_b"), F.col("node").alias("b"), F.col("component").alias("c_b"), F.col("bands").alias("bands_b"), (F.col("component") == F.col("top")).alias("in_top"))
     different = (F.col("c_a") != F.col("c_b")) & (F.col("in_top") | (F.col("a") < F.col("b")))
     shared = F.array_intersect("bands_a", "bands_b")
-    first = F.array_position(F.slice(F.array_sort(shared), 1, 2), F.col("band_a")) > 0 if whole else F.lit(True)
+    first = F.array_position(F.slice(F.array_sort(shared), 1, 2), F.col("band_a")) > 0
     joined = few.join(all_of, (F.col("band_a") == F.col("band_b")) & different & (F.size(shared) >= 3) & first)
     return joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def shingle_counters(sets: DataFrame) -> np.ndarray:
+    """How many sets hold shingles of each remainder; tasks add up batches, and the driver gets ``COUNTERS`` rows at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for batch in batches for part in slices(batch, "items")):
+            values = np.frombuffer(b"".join(part.column("items").to_pylist()), np.uint64) % np.uint64(COUNTERS)
+            place, n = np.unique(values, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(n.astype(np.int64))], ["place", "n"])
+
+    found = sets.select("items").mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    counters = np.zeros(COUNTERS, np.int64)
+    counters[found.column("place").to_numpy()] = found.column("n").to_numpy()
+    return counters
+
+
+def prefixes(sets: DataFrame, counters: np.ndarray, percent: int) -> DataFrame:
+    """``band, node, component, n, at, kind``: the rarest shingles of each set, as many as a partner of a size class calls for.
+
+    Two sets are linked only if they share ``percent * (n_a + n_b) / (100 + percent)``
+    shingles. So the first that both hold, in whatever order, is among the first
+    ``n - shared + 1`` of either. A counter of one tells that no other set holds a shingle.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(counters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = shared.value
+        for batch in batches:
+            for node, component, items in zip(*(batch.column(c).to_pylist() for c in ("node", "component", "items")), strict=True):
+                items = np.frombuffer(items, np.uint64)
+                n, seen = len(items), counters[(items % np.uint64(COUNTERS)).astype(np.int64)]
+                order = np.lexsort((items, seen))
+                items, alone = items[order], int((seen == 1).sum())
+                least, most = -(-percent * n // 100), 100 * n // percent
+                own, low, high = np.searchsorted(SIZE_CLASSES, [n, least, most], "right") - 1
+                keys, ats, kinds = [], [], []
+                for kind in range(low, high + 1):
+                    need = -(-percent * (n + max(int(SIZE_CLASSES[kind]), least)) // (100 + percent))
+                    at = np.arange(alone, n - need + 1)
+                    keys.append(mixed(mixed(items[at]) ^ np.uint64(min(own, kind) << 16 | max(own, kind))))
+                    ats.append(at)
+                    kinds.append(np.full(len(at), np.sign(kind - own)))
+                keys, ats, kinds = (np.concatenate(x) for x in (keys, ats, kinds))
+                full = np.ones(len(keys), np.int64)
+                columns = (keys.view(np.int64), full * node, full * component, full * n, ats.astype(np.int64), kinds.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["band", "node", "component", "n", "at", "kind"])
+
+    return sets.select("node", "component", "items").mapInArrow(run, "band long, node long, component long, n long, at long, kind int")
+
+
+def rare_first(members: DataFrame, sources: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs of different components, of all ``members`` (``node, component``), that share one of the shingles that every link shares."""
+    sets = stored(full_sets(sources.join(members, "node").select("node", "source"), size).join(members, "node"), "sets")
+    rows = stored(prefixes(sets, shingle_counters(sets), percent), "prefixes")
+    sizes = rows.groupBy("band", "component").agg(F.count("*").alias("n"))
+    tops = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("band", "top")
+    rows = rows.join(stored(tops, "tops"), "band")
+    few, all_of = (rows.select("band", "top", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "n", "at", "kind"))) for side in "ab")
+    need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent) - 1e-9)
+    reached = (F.col("at_a") <= F.col("n_a") - need) & (F.col("at_b") <= F.col("n_b") - need)
+    # Below a key of two size classes, partners are of different ones.
+    facing = (F.col("component_a") != F.col("component_b")) & (F.col("kind_a") == -F.col("kind_b"))
+    once = (F.col("component_b") == F.col("top")) | (F.col("node_a") < F.col("node_b"))
+    joined = few.where("component_a <> top").join(all_of.drop("top"), "band").where(facing & once & reached)
+    return joined.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", *, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``id, tk, n, component`` of every row: the smallest id that links of at least ``similarity`` reach; ``tk`` is a hash of the text."""
     percent = round(100 * similarity)
@@ -242,15 +311,12 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", *, size: int
             members = mixed_buckets(members.select("band", "node"), links)
         if joined < FRUITFUL * compared:
             break
-    # All pairs that are still across components: at once where they are in proportion to the bucket, else by a second band.
+    # All pairs that are still across components: by bands where they are in proportion to the bucket, else by the rarest shingles.
     light = members.where(F.col("pairs") <= PAIRS_PER_MEMBER * F.col("members"))
-    heavy = members.where(F.col("pairs") > PAIRS_PER_MEMBER * F.col("members")).join(nodes.select("node", "bands"), "node")
-    place = F.array_position("bands", F.col("band")).cast("int") - 1
-    near = F.transform(F.sequence(F.lit(1), F.lit(NEAR_BANDS)), lambda step: F.get("bands", (place + step) % BANDS))
-    finer = heavy.select("node", "component", "band", F.explode(near).alias("other"))
-    finer = finer.select(F.xxhash64("band", "other").alias("band"), "node", "component")
-    kinds = stored(finer.groupBy("band").agg(F.min("component").alias("top"), F.max("component").alias("z")).where("top < z").select("band", "top"), "finer")
-    rest = pairs_across(light.select("band", "node", "component", "top"), nodes, True).union(pairs_across(finer.join(kinds, "band"), nodes, False))
+    heavy = stored(members.where(F.col("pairs") > PAIRS_PER_MEMBER * F.col("members")).select("node", "component").distinct(), "heavy")
+    rest = pairs_across(light.select("band", "node", "component", "top"), nodes)
+    if not heavy.isEmpty():
+        rest = rest.union(rare_first(heavy, sources, size, percent))
     rest = stored(likely(rest.distinct().join(tried, ["a", "b"], "left_anti"), nodes, similarity), "pairs")
     if not rest.isEmpty():
         links = stored(links.union(verified(rest, sources, size, percent)), "verified")

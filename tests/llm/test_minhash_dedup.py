@@ -62,6 +62,28 @@ def test_large_buckets_and_chains(spark, monkeypatch):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in made.collect()), key=repr) == brute(rows, 4)
 
 
+def test_pairs_of_a_group_below_the_similarity_do_not_grow_with_its_square(spark, monkeypatch):
+    """All texts share bands, but most have too many words of their own for a link; all links are found."""
+    import random
+
+    rng = random.Random(3)
+    words = prose(rng, "en", 200).split(" ")
+    rows = []
+    for i in range(400):
+        changed = list(words)
+        for at in rng.sample(range(4, len(words) - 4), 1 if i % 20 == 0 else 7 + i % 3):
+            changed[at] = f"new{i}at{at}"
+        rows.append(row(i, " ".join(changed)))
+        if i % 25 == 7:
+            rows.append(row(1000 + i, " ".join([*changed[:-1], "end"])))
+    given, real = [], minhash_dedup.likely
+    monkeypatch.setattr(minhash_dedup, "likely", lambda pairs, *rest: given.append(pairs.distinct().count()) or real(pairs, *rest))
+    monkeypatch.setattr(minhash_dedup, "PAIRS_PER_MEMBER", 2)
+    made = minhash_dedup.near_duplicates(frame(spark, rows), size=4)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in made.collect()), key=repr) == brute(rows, 4)
+    assert sum(given) < 20 * len(rows)
+
+
 def test_keep_first(spark):
     rows = documents()
     df = frame(spark, rows)
