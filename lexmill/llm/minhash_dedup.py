@@ -15,7 +15,7 @@ buckets that are still mixed. Pairs that are
 across components even then are compared one by one if they share three bands (a
 pair of similarity 0.8 misses that with a probability of 2.6e-5) in buckets
 where they are at most ``PAIRS_PER_MEMBER`` for each member. The members of other
-buckets are compared by their rarest shingles (``rare_first``), which misses no
+buckets are compared by their rarest shingles (``rare_pairs``), which misses no
 link: a group of texts that have much in common, but less than a link needs, has
 none of these in common. Pairs pass if the share of equal minima allows the
 similarity, and are links only if 100 * intersection >= 100 * similarity * union
@@ -189,10 +189,14 @@ def few_each(stars: DataFrame, rank: Callable[[Column], Column]) -> DataFrame:
     return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
+def labelled(links: DataFrame) -> DataFrame:
+    """``node, c``: the component of every node with a link."""
+    return stored(components(links), "labels").withColumnRenamed("component", "c")
+
+
 def mixed_buckets(multi: DataFrame, links: DataFrame) -> DataFrame:
     """Members of buckets that hold several components: ``band, node, component``, the largest component ``top``, the members and the pairs across components."""
-    labels = stored(components(links), "labels").withColumnRenamed("component", "c")
-    members = multi.join(labels, "node", "left").select("band", "node", F.coalesce("c", "node").alias("component"))
+    members = multi.join(labelled(links), "node", "left").select("band", "node", F.coalesce("c", "node").alias("component"))
     sizes = members.groupBy("band", "component").agg(F.count("*").alias("n"))
     buckets = sizes.groupBy("band").agg(
         F.max_by("component", F.struct("n", "component")).alias("top"), F.sum("n").alias("members"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("kinds")
@@ -230,7 +234,7 @@ def shingle_counters(sets: DataFrame) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, counters: np.ndarray, percent: int) -> DataFrame:
-    """``band, node, component, n, at, kind``: the rarest shingles of each set, as many as a partner of a size class calls for.
+    """``band, node, n, at, kind``: the rarest shingles of each set, as many as a partner of a size class calls for.
 
     Two sets are linked only if they share ``percent * (n_a + n_b) / (100 + percent)``
     shingles. So the first that both hold, in whatever order, is among the first
@@ -241,7 +245,7 @@ def prefixes(sets: DataFrame, counters: np.ndarray, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = shared.value
         for batch in batches:
-            for node, component, items in zip(*(batch.column(c).to_pylist() for c in ("node", "component", "items")), strict=True):
+            for node, items in zip(batch.column("node").to_pylist(), batch.column("items").to_pylist(), strict=True):
                 items = np.frombuffer(items, np.uint64)
                 n, seen = len(items), counters[(items % np.uint64(COUNTERS)).astype(np.int64)]
                 order = np.lexsort((items, seen))
@@ -257,19 +261,35 @@ def prefixes(sets: DataFrame, counters: np.ndarray, percent: int) -> DataFrame:
                     kinds.append(np.full(len(at), np.sign(kind - own)))
                 keys, ats, kinds = (np.concatenate(x) for x in (keys, ats, kinds))
                 full = np.ones(len(keys), np.int64)
-                columns = (keys.view(np.int64), full * node, full * component, full * n, ats.astype(np.int64), kinds.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["band", "node", "component", "n", "at", "kind"])
+                columns = (keys.view(np.int64), full * node, full * n, ats.astype(np.int64), kinds.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["band", "node", "n", "at", "kind"])
+
+    return sets.select("node", "items").mapInArrow(run, "band long, node long, n long, at long, kind int")
+
 
-    return sets.select("node", "component", "items").mapInArrow(run, "band long, node long, component long, n long, at long, kind int")
+def rare_rows(members: DataFrame, sources: DataFrame, size: int, percent: int) -> DataFrame:
+    """The prefixes of all ``members`` (``node``): two of them are linked only if they share a ``band`` of these."""
+    sets = stored(full_sets(sources.join(members, "node").select("node", "source"), size), "sets")
+    return stored(prefixes(sets, shingle_counters(sets), percent), "prefixes")
 
 
-def rare_first(members: DataFrame, sources: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs of different components, of all ``members`` (``node, component``), that share one of the shingles that every link shares."""
-    sets = stored(full_sets(sources.join(members, "node").select("node", "source"), size).join(members, "node"), "sets")
-    rows = stored(prefixes(sets, shingle_counters(sets), percent), "prefixes")
+def with_tops(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of bands that hold several components, with their ``component`` and the band's largest, ``top``."""
+    rows = rows.join(labels, "node", "left").withColumn("component", F.coalesce("c", "node")).drop("c")
     sizes = rows.groupBy("band", "component").agg(F.count("*").alias("n"))
     tops = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("band", "top")
-    rows = rows.join(stored(tops, "tops"), "band")
+    return stored(rows.join(stored(tops, "tops"), "band"), "members")
+
+
+def rare_stars(rows: DataFrame) -> DataFrame:
+    """Each node outside a band's largest component with the member of it that has the fewest shingles which are rarer: one pair a row."""
+    centre = rows.where("component = top").groupBy("band").agg(F.min_by("node", F.struct("at", "node")).alias("centre"))
+    star = rows.where("component <> top").join(centre, "band")
+    return star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+
+
+def rare_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs of different components that share one of the shingles that a link of their sizes shares."""
     few, all_of = (rows.select("band", "top", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "n", "at", "kind"))) for side in "ab")
     need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent) - 1e-9)
     reached = (F.col("at_a") <= F.col("n_a") - need) & (F.col("at_b") <= F.col("n_b") - need)
@@ -313,10 +333,15 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", *, size: int
             break
     # All pairs that are still across components: by bands where they are in proportion to the bucket, else by the rarest shingles.
     light = members.where(F.col("pairs") <= PAIRS_PER_MEMBER * F.col("members"))
-    heavy = stored(members.where(F.col("pairs") > PAIRS_PER_MEMBER * F.col("members")).select("node", "component").distinct(), "heavy")
+    heavy = stored(members.where(F.col("pairs") > PAIRS_PER_MEMBER * F.col("members")).select("node").distinct(), "heavy")
     rest = pairs_across(light.select("band", "node", "component", "top"), nodes)
     if not heavy.isEmpty():
-        rest = rest.union(rare_first(heavy, sources, size, percent))
+        rare = rare_rows(heavy, sources, size, percent)
+        # A text that is close to its group's core is linked to what has least besides the core.
+        fresh = stored(rare_stars(with_tops(rare, labelled(links))).join(tried, ["a", "b"], "left_anti"), "tried")
+        links = links.union(stored(verified(stored(likely(fresh, nodes, similarity), "pairs"), sources, size, percent), "verified"))
+        tried = tried.union(fresh)
+        rest = rest.union(rare_pairs(with_tops(rare, labelled(links)), percent))
     rest = stored(likely(rest.distinct().join(tried, ["a", "b"], "left_anti"), nodes, similarity), "pairs")
     if not rest.isEmpty():
         links = stored(links.union(verified(rest, sources, size, percent)), "verified")
